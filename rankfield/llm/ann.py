@@ -30,6 +30,8 @@ LEAST_BLOCK, MOST_BLOCK = 512, 65_536
 COLUMNS = 16
 #: Margin of the hypothesis test.
 MARGIN = 2.1
+#: Share of candidates alive below which they are followed pair by pair.
+DENSE = 0.02
 #: Share of true neighbours within the probed lists, on the sample.
 COVER = 0.98
 
@@ -149,22 +151,31 @@ def _prober(index: Index, k: int):
     return probe
 
 
+def _allowance(seen: int, dims: int) -> float:
+    """How much of the bound a partial distance over ``seen`` of ``dims`` rotated columns may reach."""
+    margin = MARGIN / seen**0.5 if seen < dims else 1e-9
+    return seen / dims * (1 + margin) ** 2
+
+
 def scan(index: Index, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score): up to k best candidates of each query in one block."""
     dims = x.shape[1] + 1
     y = lifted(x, index.top_norm) @ index.rotation
     p = np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ index.rotation
     reach = (q * q).sum(axis=1) + index.top_norm**2 - 2 * bound  # squared distance at the bound
-    partial = np.maximum(_distances(p[:, :COLUMNS], y[:, :COLUMNS]), 0)
-    keep = partial * dims / min(COLUMNS, dims) <= (reach * (1 + MARGIN / min(COLUMNS, dims) ** 0.5) ** 2)[:, None]
-    keep &= query_ids[:, None] != ids
+    keep = query_ids[:, None] != ids
+    partial, seen = np.zeros(keep.shape), 0
+    while seen < dims and keep.mean() > DENSE:  # most are alive: whole column blocks by matrix product
+        at, seen = seen, min(seen + COLUMNS, dims)
+        partial += _distances(p[:, at:seen], y[:, at:seen])
+        keep &= partial <= (reach * _allowance(seen, dims))[:, None]
     row, candidate = np.nonzero(keep)
     sums = partial[row, candidate]
-    for at in range(COLUMNS, dims, COLUMNS):
-        seen = min(at + COLUMNS, dims)
+    while seen < dims and len(row):  # few are alive: pair by pair
+        at, seen = seen, min(seen + COLUMNS, dims)
         step = y[candidate, at:seen] - p[row, at:seen]
         sums = sums + (step * step).sum(axis=1)
-        alive = sums * dims / seen <= reach[row] * (1 + (MARGIN / seen**0.5 if seen < dims else 1e-9)) ** 2
+        alive = sums <= reach[row] * _allowance(seen, dims)
         row, candidate, sums = row[alive], candidate[alive], sums[alive]
     score = (x[candidate] * q[row]).sum(axis=1)
     order = np.lexsort((ids[candidate], -score, row))
