@@ -13,17 +13,22 @@ def day_number(date: str) -> Column:
     return F.datediff(F.col(date), F.lit(EPOCH))
 
 
-def rolling_history(rows: DataFrame, key: str, date: str, days: int, measures: dict[str, Column]) -> DataFrame:
-    """``rows`` with sums of ``measures`` over the same key in [date - days, date).
+def rolling_history(rows: DataFrame, key: str, date: str, spans: dict[str, int], measures: dict[str, Column]) -> DataFrame:
+    """``rows`` with sums of ``measures`` over the same key in [date - days, date), for each span (suffix: days).
 
     A range frame on the day number excludes the day itself and anything later, so no row sees
-    its own day. One shuffle by key serves all measures. First days are aggregated per (key, day),
-    so many rows of a key on one day are reduced before the window; the daily sums are joined back.
+    its own day. First days are aggregated per (key, day), so many rows of a key on one day are
+    reduced before the window; all spans share one shuffle and one sort, and the daily sums are
+    joined back once.
     """
-    daily = rows.groupBy(key, date).agg(*[F.sum(value).alias(name) for name, value in measures.items()])
-    frame = Window.partitionBy(key).orderBy(day_number(date)).rangeBetween(-days, -1)
-    sums = daily.select(key, date, *[F.coalesce(F.sum(name).over(frame), F.lit(0)).alias(name) for name in measures])
-    return rows.join(sums, [key, date])
+    daily = rows.groupBy(key, date).agg(*[F.sum(value).alias(f"_{name}") for name, value in measures.items()])
+    by_day = Window.partitionBy(key).orderBy(day_number(date))
+    sums = [
+        F.coalesce(F.sum(f"_{name}").over(by_day.rangeBetween(-days, -1)), F.lit(0)).alias(f"{name}{suffix}")
+        for suffix, days in spans.items()
+        for name in measures
+    ]
+    return rows.join(daily.select(key, date, *sums), [key, date])
 
 
 def lookback(targets: DataFrame, history: DataFrame, key: str, date: str, days: int, measures: dict[str, Column]) -> DataFrame:

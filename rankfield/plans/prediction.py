@@ -29,8 +29,7 @@ def with_history(rows: DataFrame) -> DataFrame:
     """90-day and 730-day history of each horse-like key: starts, wins, top3; only entries with positive odds count."""
     live = (F.coalesce("win_odds", F.lit(0)) > 0).cast("long")
     measures = {"starts": live, "wins": live * (F.col("place") == 1).cast("long"), "top3": live * (F.col("place") <= 3).cast("long")}
-    recent = rolling_history(rows, "horse_id", "race_date", 90, measures)
-    return rolling_history(recent, "horse_id", "race_date", 730, {f"{k}_t": v for k, v in measures.items()})
+    return rolling_history(rows, "horse_id", "race_date", {"": 90, "_t": 730}, measures)
 
 
 HISTORY_SQL = (
