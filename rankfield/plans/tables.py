@@ -345,7 +345,7 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", F.col("window.start").alias("minute"), "n", "total")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS calls FROM events")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS calls FROM events")
 def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of a user within the last hour of each event."""
     seconds = F.unix_timestamp(F.date_trunc("second", F.col("ts")).cast("timestamp"))
