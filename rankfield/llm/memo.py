@@ -22,9 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
 import tokenizers  # noqa: E402
 
 #: Bytes of text worked on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Cuts remembered in each of two generations; the older one goes when the younger is full.
-MEMO_CUTS = 400_000
+MEMO_CUTS = 120_000
 #: Longer cuts are encoded but not remembered.
 MEMO_BYTES = 48
 
@@ -137,6 +137,7 @@ class MemoTokenizer:
             ids, ends = self._slice(texts.slice(at, upto - at))
             yield at, ids, ends
             at = upto
+        pa.default_memory_pool().release_unused()
 
 
 _OPEN: dict[tuple[str, bool], MemoTokenizer] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: Text bytes worked on at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 FEATURES = 2 * DIM + 4
 HIDDEN, EPOCHS, BATCH = 32, 40, 256
 
@@ -55,11 +55,14 @@ _powers = np.ones((2, 1), dtype=np.uint64)
 def _power_rows(n: int) -> np.ndarray:
     """Powers of an odd number and of its inverse, modulo 2^64."""
     global _powers
-    if _powers.shape[1] < n:
+    powers = _powers
+    if powers.shape[1] < n:
         steps = np.full((2, max(n, 2 * SLICE_BYTES)), [[_ODD], [_INVERSE]], dtype=np.uint64)
         steps[:, 0] = 1
-        _powers = np.multiply.accumulate(steps, axis=1)
-    return _powers[:, :n]
+        powers = np.multiply.accumulate(steps, axis=1)
+        if n <= 2 * SLICE_BYTES:  # those of a very long text are not kept
+            _powers = powers
+    return powers[:, :n]
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +97,7 @@ def _sliced(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         upto = min(upto, len(texts))
         yield at, upto - at, data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
         at = upto
+    pa.default_memory_pool().release_unused()
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
