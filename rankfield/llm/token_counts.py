@@ -5,7 +5,7 @@ executors share. Content is normalised as the count sees it (null text becomes t
 nothing else may change, since every other rewriting can change a count) and digested with
 SHA-256; the tokenizer digest covers its file and the library's version. Texts without a stored
 count are reduced to one per digest, map-side first, encoded, and appended to the cache; then the
-narrow documents join the stored counts. A second run over the same texts encodes nothing.
+narrow documents join the stored counts of their digests. A second run over the same texts encodes nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.llm.memo import opened, version_digest
+from rankfield.llm.tables import staged
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -61,5 +62,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     misses = distinct.join(stored_counts(spark, cache_path, version), "content_digest", "left_anti")
     misses.mapInArrow(_encoder(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
-    narrow = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
-    return narrow.join(stored_counts(spark, cache_path, version), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    # Both sides of the last join are plain tables, so that a digest with very many rows is split at run time.
+    narrow = staged(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
+    wanted = narrow.select("content_digest").distinct()
+    counts = staged(stored_counts(spark, cache_path, version).join(wanted, "content_digest", "left_semi"), "counts")
+    return narrow.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
