@@ -37,7 +37,7 @@ def _byte_classes() -> np.ndarray:
         kinds[byte] = LETTER if chr(byte).isalpha() else DIGIT if chr(byte).isdigit() else MARK
     kinds[ord("'")] = 0  # contractions join it with letters
     kinds[ord(" ")], kinds[ord("\n")] = SPACE, LINE
-    kinds[0xC3:0xCA] = LEAD  # U+00C0 to U+027F, letters but for two signs
+    kinds[0xC3:0xCA] = LEAD  # U+00C0 to U+027F, letters but for two signs and U+0130
     return kinds
 
 
@@ -48,7 +48,8 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     kinds = _CLASSES[data]
     lead = np.flatnonzero(kinds[:-1] == LEAD)
     sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))
-    kinds[lead] = kinds[lead + 1] = np.where(sign, 0, LETTER)
+    dotted = (data[lead] == 0xC4) & (data[lead + 1] == 0xB0)  # its lower case ends in a combining dot, which joins marks
+    kinds[lead] = kinds[lead + 1] = np.where(sign | dotted, 0, LETTER)
     kinds[kinds == LEAD] = 0
     return kinds
 

@@ -8,11 +8,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankfield.llm import mixing, packing, secret_scan, sharding, token_counts
+from rankfield.llm.memo import MemoTokenizer
 from rankfield.llm.tables import shared_dir
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +80,17 @@ def test_packing(awkward, no_rows, texts):
     assert packing.pack(no_rows, WORDS).collect() == []
 
 
+@pytest.mark.parametrize(("path", "spaces_matter"), [(BYTES, True), (WORDS, False)])
+def test_cut_ids_are_those_of_the_whole_text(path, spaces_matter):
+    tokenizer, memo = Tokenizer.from_file(path), MemoTokenizer(path, spaces_matter=spaces_matter)
+    shapes = ["{0}. x", "a{0}, b", ".{0} ({0}) [{0}]", "{0}{0}!{0}", "x {0} y {0}", "{0}x.{0}\n{0}-z", "I{0}: {0}1; 1{0}?", "'{0}' {0}'s \"{0}\""]
+    texts = [shape.format(chr(c)) for c in range(0xC0, 0x280) for shape in shapes]
+    texts += ["İstanbul, İZMİR. (DİYARBAKIRİ)"]
+    for at, ids, ends in memo.encode(pa.array(texts)):
+        for i, part in enumerate(np.split(ids, ends[:-1])):
+            assert part.tolist() == tokenizer.encode(texts[at + i], add_special_tokens=False).ids, texts[at + i]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_covers_the_histogram(seed):
     rng = np.random.default_rng(seed)
