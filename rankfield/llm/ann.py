@@ -11,7 +11,8 @@ exactly, in double precision, on the original vectors.
 
 Scale: centres, rotation, probe count and bounds are fitted on a sample of at most ``sample``
 vectors; every vector is indexed. Lists longer than a block are split into blocks and their
-queries into chunks, so no list, however hot, meets in one task; a task keeps k rows a query.
+queries into chunks, so no list, however hot, meets in one task; a task keeps k rows a query and
+compares a chunk with a block in slices of ``CELLS`` pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a list block and queries of a chunk, between these bounds.
 LEAST_BLOCK, MOST_BLOCK = 512, 65_536
+#: Pairs of a query and a candidate held as matrices at a time.
+CELLS = 2_000_000
 #: Width of a column block.
 COLUMNS = 16
 #: Margin of the hypothesis test.
@@ -158,9 +161,22 @@ def _allowance(seen: int, dims: int) -> float:
 
 
 def scan(index: Index, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score): up to k best candidates of each query in one block."""
-    dims = x.shape[1] + 1
+    """(query row, candidate row, score): up to k best candidates of each query in one block.
+
+    Queries are taken in slices of at most CELLS pairs with the block, so memory does not grow with both sides.
+    """
     y = lifted(x, index.top_norm) @ index.rotation
+    step = max(1, CELLS // max(1, len(x)))
+    found = []
+    for at in range(0, len(q), step):
+        some = slice(at, at + step)
+        row, candidate, score = _scan_slice(index, k, ids, x, y, query_ids[some], q[some], bound[some])
+        found.append((row + at, candidate, score))
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
+def _scan_slice(index: Index, k: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    dims = x.shape[1] + 1
     p = np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ index.rotation
     reach = (q * q).sum(axis=1) + index.top_norm**2 - 2 * bound  # squared distance at the bound
     keep = query_ids[:, None] != ids
@@ -177,7 +193,11 @@ def scan(index: Index, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.nda
         sums = sums + (step * step).sum(axis=1)
         alive = sums <= reach[row] * _allowance(seen, dims)
         row, candidate, sums = row[alive], candidate[alive], sums[alive]
-    score = (x[candidate] * q[row]).sum(axis=1)
+    score = np.empty(len(row))
+    pairs = max(1, CELLS // dims)
+    for at in range(0, len(row), pairs):
+        some = slice(at, at + pairs)
+        score[some] = (x[candidate[some]] * q[row[some]]).sum(axis=1)
     order = np.lexsort((ids[candidate], -score, row))
     row, candidate, score = row[order], candidate[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)

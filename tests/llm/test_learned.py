@@ -77,6 +77,28 @@ def test_neighbour_recall(spark):
     assert hit / (20 * 300) >= 0.9
 
 
+def test_scan_holds_few_pairs_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 24))
+    top_norm = float(np.linalg.norm(x, axis=1).max())
+    index = ann.Index(top_norm, np.linalg.qr(rng.normal(size=(25, 25)))[0], np.zeros((1, 25)), np.zeros(1), 1, x, np.arange(700))
+    bound = np.sort(x @ x.T, axis=1)[:, -50]
+    bound[:40] = -np.inf  # every candidate is scored
+    arguments = (index, 20, np.arange(700), x, np.arange(700), x, bound)
+    whole = ann.scan(*arguments)
+    made, measure = [], ann._distances
+
+    def measured(a, b):
+        made.append(len(a) * len(b))
+        return measure(a, b)
+
+    monkeypatch.setattr(ann, "_distances", measured)
+    monkeypatch.setattr(ann, "CELLS", 10_000, raising=False)
+    sliced = ann.scan(*arguments)
+    assert max(made) <= 10_000
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:2], sliced[:2], strict=True)) and np.allclose(whole[2], sliced[2], rtol=0, atol=1e-12)
+
+
 def brute_fingerprint(text):
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)][: len(words)]
