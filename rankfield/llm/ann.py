@@ -12,7 +12,8 @@ exactly, in double precision, on the original vectors.
 Scale: centres, rotation, probe count and bounds are fitted on a sample of at most ``sample``
 vectors; every vector is indexed. Lists longer than a block are split into blocks and their
 queries into chunks, so no list, however hot, meets in one task; a task keeps k rows a query and
-compares a chunk with a block in slices of ``CELLS`` pairs.
+compares a chunk with a block in slices of ``CELLS`` pairs. Queries left with fewer than k rows are
+scanned again over all lists in the same blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankfield.llm.tables import staged
+
 #: Rows of a list block and queries of a chunk, between these bounds.
 LEAST_BLOCK, MOST_BLOCK = 512, 65_536
 #: Pairs of a query and a candidate held as matrices at a time.
@@ -176,6 +179,11 @@ def scan(index: Index, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.nda
 
 
 def _scan_slice(index: Index, k: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if np.isneginf(bound).all():  # nothing is abandoned: the best of the block by one matrix product
+        rough = np.where(query_ids[:, None] != ids, q @ x.T, -np.inf)
+        least = -np.partition(-rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), -np.inf)
+        least -= 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        return _ranked(k, ids, x, q, *np.nonzero((rough >= least[:, None]) & np.isfinite(rough)))
     dims = x.shape[1] + 1
     p = np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ index.rotation
     reach = (q * q).sum(axis=1) + index.top_norm**2 - 2 * bound  # squared distance at the bound
@@ -193,8 +201,13 @@ def _scan_slice(index: Index, k: int, ids: np.ndarray, x: np.ndarray, y: np.ndar
         sums = sums + (step * step).sum(axis=1)
         alive = sums <= reach[row] * _allowance(seen, dims)
         row, candidate, sums = row[alive], candidate[alive], sums[alive]
+    return _ranked(k, ids, x, q, row, candidate)
+
+
+def _ranked(k: int, ids: np.ndarray, x: np.ndarray, q: np.ndarray, row: np.ndarray, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row's candidates by exact scores."""
     score = np.empty(len(row))
-    pairs = max(1, CELLS // dims)
+    pairs = max(1, CELLS // x.shape[1])
     for at in range(0, len(row), pairs):
         some = slice(at, at + pairs)
         score[some] = (x[candidate[some]] * q[row[some]]).sum(axis=1)
@@ -205,6 +218,7 @@ def _scan_slice(index: Index, k: int, ids: np.ndarray, x: np.ndarray, y: np.ndar
 
 
 FOUND = "query_id long, vec_id long, score double"
+PROBE = "query_id long, query array<double>, bound double, list int"
 
 
 def _scanner(index: Index, k: int):
@@ -236,17 +250,36 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, sample: int = 81
 
     Candidates are all rows but those of the query's own vec_id; ties go to the smaller vec_id.
     Rows that ``usable`` leaves out take no part on either side; an empty table gives no rows;
-    further columns are ignored. Fewer than k candidates are all returned where the sample holds
-    fewer than 40 k vectors, since then every list is probed.
+    further columns are ignored. Fewer than k rows are returned only where fewer candidates exist:
+    queries that the probed lists leave short are scanned again, over every list and without a bound.
     """
     known = usable(vectors)
     index = fit_index(known, k, sample)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = known.mapInArrow(_assigner(index), "vec_id long, embedding array<double>, list int")
-    probing = known.filter(queries).mapInArrow(_prober(index, k), "query_id long, query array<double>, bound double, list int")
+    asked = known.filter(queries)
+    probing = asked.mapInArrow(_prober(index, k), PROBE)
+    sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # a number per list
+    found = staged(_scanned(index, k, listed, probing, sizes), "neighbours")
+    enough = min(k, sum(sizes.values()) - 1)
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("query_id")
+    short = asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti") if enough else asked.filter("false")
+    if short.isEmpty():
+        return found
+    again = short.select(
+        F.col("vec_id").alias("query_id"),
+        F.col("embedding").alias("query"),
+        F.lit(float("-inf")).alias("bound"),
+        F.explode(F.sequence(F.lit(0), F.lit(len(index.centres) - 1))).alias("list"),
+    )
+    return found.join(full, "query_id", "left_semi").unionByName(_scanned(index, k, listed, again, sizes))
+
+
+def _scanned(index: Index, k: int, listed: DataFrame, probing: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best that the lists give for the rows of ``probing``."""
     lists = len(index.centres)
-    blocks = _parts({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}, lists)  # a number per list
+    blocks = _parts(sizes, lists)
     chunks = _parts({r["list"]: r["count"] for r in probing.groupBy("list").count().collect()} or {0: 1}, lists)
 
     block_of = F.pmod(F.xxhash64("vec_id"), _by_list(blocks)).cast("int")

@@ -77,6 +77,21 @@ def test_neighbour_recall(spark):
     assert hit / (20 * 300) >= 0.9
 
 
+def test_short_queries_are_scanned_again(spark, monkeypatch):
+    monkeypatch.setattr(ann, "COVER", 0.0)  # one probed list, so that many queries are left short
+    x = np.random.default_rng(6).normal(size=(2000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rank int, score double")
+    found = ann.nearest(frame, F.col("vec_id") % 20 == 0).toPandas()
+    assert found.groupby("query_id").size().tolist() == [20] * 100
+    assert (found.sort_values(["query_id", "rank"])["rank"].to_numpy().reshape(100, 20) == np.arange(1, 21)).all()
+    y, exact = x.astype(float), 0
+    for query, mine in found.sort_values("rank").groupby("query_id"):
+        score = y @ y[query]
+        score[query] = -np.inf
+        exact += mine.vec_id.tolist() == np.lexsort((np.arange(2000), -score))[:20].tolist()
+    assert exact > 50
+
+
 def test_scan_holds_few_pairs_at_a_time(monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 24))
