@@ -5,8 +5,9 @@ Only DataFrame functions are used. Patterns are cut out of a text with ``split``
 lengths between them, in code points.
 
 A candidate is a maximal run of 20 or more characters of an encoded key. Its encoding (hex,
-upper-case base 32, base 36, letters and digits, base 64) is the smallest alphabet that holds its
-characters. Under the hypothesis that the characters are drawn uniformly from that alphabet it
+base 32 and base 36 of either case, letters of both, letters and digits, base 64) is the smallest
+alphabet that holds its characters; hex with dashes is taken without them. Runs of letters of one
+case alone are words and are not tested; runs of digits alone are base spans of kind ``hex``. Under the hypothesis that the characters are drawn uniformly from that alphabet it
 undergoes three tests: chi-squared uniformity over 8 classes of the alphabet, the number of runs
 above and below the alphabet's middle, and the serial correlation of neighbouring characters. The
 p-values are combined with Bonferroni's bound. Random runs have p-values spread evenly over
@@ -32,11 +33,17 @@ CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 #: Encodings, smallest alphabet first; characters in the alphabet's order. The last one also stands for its URL form.
 ENCODINGS = [
     ("hex", "0123456789abcdef"),
+    ("upper_hex", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower_base32", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("upper_base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
+#: Hex in groups joined by dashes, and the fewest digits of it that are tested.
+DASHED_HEX, LEAST_DASHED = "^([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$", 16
 CLASSES = 8
 #: Length strata begin here.
 STRATA = [20, 24, 32, 40, 64, 128]
@@ -130,12 +137,19 @@ def _upper_tail(z: F.Column) -> F.Column:
 
 
 def _encoding(hit: F.Column) -> F.Column:
-    """Index into ENCODINGS of the smallest alphabet, -1 where the run has no digit or no letter."""
+    """Index into ENCODINGS of the smallest alphabet, -1 where the run has no letters or only letters of one case."""
     url = F.translate(hit, "-_", "+/")
     found = F.lit(-1)
     for number, (_, alphabet) in reversed(list(enumerate(ENCODINGS))):
         found = F.when(F.translate(url, alphabet, "") == "", F.lit(number)).otherwise(found)
-    return F.when(hit.rlike("[0-9]") & hit.rlike("[A-Za-z]"), found).otherwise(F.lit(-1))
+    mixed = (hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")) | (hit.rlike("[a-z]") & hit.rlike("[A-Z]"))
+    return F.when(mixed, found).otherwise(F.lit(-1))
+
+
+def _bare(hit: F.Column) -> F.Column:
+    """The characters to be tested: those of hex with dashes without the dashes."""
+    dashless = F.translate(hit, "-", "")
+    return F.when(hit.rlike(DASHED_HEX) & hit.rlike("[A-Fa-f]") & (F.char_length(dashless) >= LEAST_DASHED), dashless).otherwise(hit)
 
 
 def _p_value(hit: F.Column, encoding: F.Column) -> F.Column:
@@ -177,19 +191,18 @@ def _candidates(text: F.Column) -> F.Column:
     """Array of structs (start, end, encoding, stratum, p) of the runs that have an encoding."""
 
     def tested(m: F.Column) -> F.Column:
-        n = m["end"] - m["start"]
-        stratum = sum((F.when(n >= least, 1).otherwise(0) for least in STRATA[1:]), F.lit(0))
-        encoding = _encoding(m["hit"])
-        return _let(
-            encoding,
-            lambda e: F.struct(
+        def judged(run: F.Column) -> F.Column:
+            n = F.char_length(run["hit"])
+            stratum = sum((F.when(n >= least, 1).otherwise(0) for least in STRATA[1:]), F.lit(0))
+            return F.struct(
                 m["start"].alias("start"),
                 m["end"].alias("end"),
-                e.alias("encoding"),
+                run["encoding"].alias("encoding"),
                 stratum.alias("stratum"),
-                F.when(e >= 0, _p_value(m["hit"], e)).otherwise(F.lit(-1.0)).alias("p"),
-            ),
-        )
+                F.when(run["encoding"] >= 0, _p_value(run["hit"], run["encoding"])).otherwise(F.lit(-1.0)).alias("p"),
+            )
+
+        return _let(_let(_bare(m["hit"]), lambda hit: F.struct(hit.alias("hit"), _encoding(hit).alias("encoding"))), judged)
 
     return F.filter(F.transform(_matches(text, CANDIDATE, []), tested), lambda c: c["encoding"] >= 0)
 

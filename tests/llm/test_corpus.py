@@ -156,3 +156,27 @@ def test_randomness_tests_tell_keys_from_words(spark):
     docs = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(keys + names)], "doc_id long, text string")
     found = {r["doc_id"] for r in secret_scan.find_secrets(docs).collect() if any(s["kind"] == 3 for s in r["secrets"])}
     assert sum(i in found for i in range(300)) > 240 and sum(i in found for i in range(300, 600)) < 60
+
+
+FORMS = {
+    "upper hex": lambda rng: "".join(rng.choice(list("0123456789ABCDEF"), 40)),
+    "upper base 36": lambda rng: "".join(rng.choice(list("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 48)),
+    "lower base 32": lambda rng: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz234567"), 52)),
+    "dashed hex": lambda rng: "-".join("".join(rng.choice(list("0123456789abcdef"), n)) for n in (8, 4, 4, 4, 12)),
+    "dashed upper hex": lambda rng: "-".join("".join(rng.choice(list("0123456789ABCDEF"), n)) for n in (8, 4, 4, 4, 12)),
+    "letters": lambda rng: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 40)),
+}
+
+
+def test_every_form_of_key_is_found(spark):
+    """All forms in one table, with names and words that are none; and all are redacted."""
+    rng = np.random.default_rng(8)
+    keys = [(form, make(rng)) for form, make in FORMS.items() for _ in range(100)]
+    names = [("name", "".join(rng.choice(["Item", "List", "Node", "Value", "Count", "Page"], 8)) + "1" * (i % 2)) for i in range(200)]
+    words = [("word", "donaudampfschifffahrtsgesellschaft"), ("word", "COUNTERREVOLUTIONARIES"), ("word", "-" * 40)] * 20
+    rows = [(i, form, f"a {t} b") for i, (form, t) in enumerate(keys + names + words)]
+    docs = spark.createDataFrame(rows, "doc_id long, form string, text string")
+    found = Counter(r["form"] for r in secret_scan.find_secrets(docs).collect() if any(s["kind"] == 3 for s in r["secrets"]))
+    assert all(found[form] >= 70 for form in FORMS) and found["name"] < 20 and found["word"] == 0, found
+    marked = Counter(r["form"] for r in secret_scan.redact(docs).collect() if r["text"] == "a [secret] b")
+    assert all(marked[form] >= found[form] for form in FORMS)
