@@ -1,15 +1,16 @@
 """A quality classifier on random-indexing word vectors.
 
-Words (runs of letters, digits and other non-ASCII characters; runs of marks) are hashed into
-``BUCKETS`` classes. Each class has a fixed sparse random index vector; its context vector is the
+Words (runs of letters, digits and other non-ASCII characters; runs of marks) are told apart by
+64-bit hashes. Each word has a sparse index vector derived from its hash; its context vector is the
 sum of the index vectors of the words up to ``WINDOW`` places away, over all documents. These sums
-are integers, added up in the tasks and then over a shuffle by class, so they do not depend on
+are integers, added up in blocks of texts and then over a shuffle by word, so they do not depend on
 how the work was divided. A document's features pool its words' context vectors (mean, spread,
 agreement of neighbours, length). A two-layer network in numpy is fitted on labelled rows and its
 logits are divided by a temperature fitted on rows that the weights never saw.
 
-Bounds: the word table has BUCKETS x DIM numbers whatever the corpus, so it is broadcast; the
-network is fitted on about ``max_rows`` labelled documents drawn by a hash of their ids.
+Bounds: every word has its own vector, and no table of words meets in one place: a task holds one
+range of words or the words of one block. The network is fitted on about ``max_rows`` labelled
+documents drawn by a hash of their ids.
 """
 
 from __future__ import annotations
@@ -19,10 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
+from rankfield.llm.tables import staged
+
+DIM, NONZERO, WINDOW = 32, 4, 2
+#: Words are dealt by this many leading bits of their hash.
+PART_BITS = 10
+#: Text bytes of a block, and words pooled at a time.
+BLOCK_BYTES, SLICE_WORDS = 16 << 20, 100_000
 #: Text bytes worked on at a time.
 SLICE_BYTES = 1 << 19
 FEATURES = 2 * DIM + 4
@@ -32,11 +41,18 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs), each (BUCKETS, NONZERO): the nonzero entries of every class's index vector."""
-    rng = np.random.default_rng(11)
-    places = np.argsort(rng.random((BUCKETS, DIM)), axis=1)[:, :NONZERO]
-    return places.astype(np.int64), rng.choice([-1, 1], size=(BUCKETS, NONZERO))
+def _index_vectors(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs), each (words, NONZERO): the nonzero entries of each word's index vector, from its hash."""
+    mixed = hashed * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(32)
+    places = np.empty((len(hashed), NONZERO), dtype=np.int64)
+    for j in range(NONZERO):
+        place = (mixed >> np.uint64(12 * j) & np.uint64(0xFFF)).astype(np.int64) % (DIM - j)
+        for taken in np.sort(places[:, :j], axis=1).T:
+            place += place >= taken
+        places[:, j] = place
+    signs = (mixed[:, None] >> np.arange(48, 48 + NONZERO, dtype=np.uint64) & np.uint64(1)).astype(np.int64) * 2 - 1
+    return places, signs
 
 
 def _character_kinds() -> np.ndarray:
@@ -66,7 +82,7 @@ def _power_rows(n: int) -> np.ndarray:
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, firsts): the class of every word of the texts, and for each text and the end its first word's number."""
+    """(hashes, firsts): the 64-bit hash of every word of the texts, and for each text and the end its first word's number."""
     kinds = _KINDS[data]
     change = np.empty(len(data), dtype=bool)
     change[:1] = True
@@ -82,8 +98,8 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     hashed = (sums[ends] - sums[starts]) * down[starts]
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
-    classes = (hashed >> np.uint64(64 - 14)).astype(np.int64)
-    return classes, np.searchsorted(starts, bounds)
+    hashed ^= hashed >> np.uint64(32)
+    return hashed, np.searchsorted(starts, bounds)
 
 
 def _sliced(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,79 +116,167 @@ def _sliced(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     pa.default_memory_pool().release_unused()
 
 
-def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, signs = _index_vectors()
-    total = np.zeros(BUCKETS * DIM, dtype=np.int64)
-    for batch in batches:
-        for _, _, data, bounds in _sliced(batch.column(0)):
-            classes, firsts = words(data, bounds)
-            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(firsts))
-            for gap in range(1, WINDOW + 1):
-                near = np.flatnonzero(owner[gap:] == owner[:-gap])
-                for a, b in ((classes[near], classes[near + gap]), (classes[near + gap], classes[near])):
-                    flat = (a[:, None] * DIM + places[b]).ravel()
-                    total += np.bincount(flat, weights=signs[b].ravel(), minlength=len(total)).astype(np.int64)
-    table = total.reshape(BUCKETS, DIM)
-    seen = np.flatnonzero(table.any(axis=1))
-    if len(seen):
-        yield _vector_rows(seen, table[seen])
-
-
-def _vector_rows(classes: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-    offsets = np.arange(len(classes) + 1, dtype=np.int32) * DIM
-    rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel(), pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), rows], names=["class", "vector"])
-
-
-def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((BUCKETS, DIM), dtype=np.int64)
-    seen = np.zeros(BUCKETS, dtype=bool)
+def _squeezed(raw: bytes) -> bytes:
+    """Entropy-coded, as small sums and frequent word numbers have few bits each."""
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _restored(squeezed: pa.Buffer) -> bytes:
+    return pa.decompress(squeezed[4:], decompressed_size=int(np.frombuffer(squeezed, np.uint32, 1)[0]), codec="zstd", asbytes=True)
+
+
+def _packed(vectors: np.ndarray) -> bytes:
+    """Rows of integers as bytes: 8 bits a number where a whole row fits, else 64."""
+    wide = (np.abs(vectors) > 127).any(axis=1)
+    return _squeezed(b"".join([np.uint32(len(wide)).tobytes(), np.packbits(wide).tobytes(), vectors[~wide].astype(np.int8).tobytes(), vectors[wide].astype(np.int64).tobytes()]))
+
+
+def _unpacked(squeezed: pa.Buffer) -> np.ndarray:
+    packed = _restored(squeezed)
+    n = int(np.frombuffer(packed, np.uint32, 1)[0])
+    marks = -(-n // 8)
+    wide = np.unpackbits(np.frombuffer(packed, np.uint8, marks, 4), count=n).astype(bool)
+    narrow = int(n - wide.sum())
+    vectors = np.empty((n, DIM), dtype=np.int64)
+    vectors[~wide] = np.frombuffer(packed, np.int8, narrow * DIM, 4 + marks).reshape(-1, DIM)
+    vectors[wide] = np.frombuffer(packed, np.int64, (n - narrow) * DIM, 4 + marks + narrow * DIM).reshape(-1, DIM)
+    return vectors
+
+
+BLOCKS = "dealt int, block long, part int, words binary, vectors binary"
+
+
+def _block_rows(block: int, hashes: list[np.ndarray], docs: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A block's own context sums, a row for each range of words, and one row of its texts as word numbers (part -1)."""
+    table = pa.Table.from_batches(docs)
+    known, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+    hashes.clear()
+    places, signs = _index_vectors(known)
+    sums = np.zeros(len(known) * DIM)
+    owner = np.repeat(np.arange(len(table)), table["count"].to_numpy())
+    for gap in range(1, WINDOW + 1):
+        near = np.flatnonzero(owner[gap:] == owner[:-gap])
+        for a, b in ((codes[near], codes[near + gap]), (codes[near + gap], codes[near])):
+            for j in range(NONZERO):
+                sums += np.bincount(a * DIM + places[b, j], weights=signs[b, j], minlength=len(sums))
+    sums = sums.reshape(-1, DIM).astype(np.int64)
+    parts = (known >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    edges = np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(parts))
+    kinds = parts[edges[:-1]]
+    # word numbers in order of frequency, so that the high plane is nearly empty and packs well
+    rank = np.empty(len(known), dtype=np.uint32)
+    order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable").astype(np.uint32)
+    rank[order] = np.arange(len(known), dtype=np.uint32)
+    numbers = rank[codes]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    text = b"".join([np.uint32(len(known)).tobytes(), order.tobytes(), (numbers & 0xFFFF).astype(np.uint16).tobytes(), (numbers >> 16).astype(np.uint16).tobytes()])
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    columns = [
+        pa.array([*kinds, block % (1 << PART_BITS)], pa.int32()),
+        pa.array([block] * (len(spans) + 1), pa.int64()),
+        pa.array([*kinds, -1], pa.int32()),
+        pa.array([*[known[a:b].tobytes() for a, b in spans], _squeezed(text)], pa.binary()),
+        pa.array([*[_packed(sums[a:b]) for a, b in spans], _squeezed(sink.getvalue().to_pybytes())], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["dealt", "block", "part", "words", "vectors"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole texts of about BLOCK_BYTES, of (doc_id, digest, text)."""
+    block, size, hashes, docs = TaskContext.get().partitionId() << 24, 0, [], []
     for batch in batches:
-        classes = batch["class"].to_numpy()
-        np.add.at(total, classes, batch["vector"].flatten().to_numpy().reshape(-1, DIM))
-        seen[classes] = True
-    if seen.any():
-        yield _vector_rows(np.flatnonzero(seen), total[seen])
+        for at, n, data, bounds in _sliced(batch["text"]):
+            hashed, firsts = words(data, bounds)
+            part = batch.slice(at, n)
+            columns = [part["doc_id"], part["digest"], pa.array(np.diff(firsts), pa.int64()), pa.array(np.diff(bounds), pa.int64())]
+            docs.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "count", "bytes"]))
+            hashes.append(hashed)
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield _block_rows(block, hashes, docs)
+                block, size, hashes, docs = block + 1, 0, [], []
+    if docs:
+        yield _block_rows(block, hashes, docs)
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The sums over all blocks of a range's words, given back to each block that has the word; texts pass through."""
+    texts = rows.filter(pc.equal(rows["part"], -1))
+    rows = rows.filter(pc.greater_equal(rows["part"], 0))
+    if not rows.num_rows:
+        return texts
+    every = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["words"]]
+    known, codes = np.unique(np.concatenate(every), return_inverse=True)
+    sums = np.zeros((len(known), DIM), dtype=np.int64)
+    at = np.cumsum([0] + [len(x) for x in every])
+    mine = [codes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    for one, packed in zip(mine, rows["vectors"], strict=True):
+        sums[one] += _unpacked(packed.as_buffer())  # words of a row are distinct
+    given = pa.table([rows["dealt"], rows["block"], rows["part"], pa.array([b""] * len(mine), pa.binary()), pa.array([_packed(sums[one]) for one in mine], pa.binary())], schema=rows.schema)
+    return pa.concat_tables([texts, given])
+
+
+def _pooled_block(rows: pa.Table) -> pa.Table:
+    """(doc_id, digest, features) of a block's texts, whose words' vectors have met here."""
+    rows = rows.sort_by("part")  # the texts, then the ranges in the order of the block's sorted hashes
+    text = _restored(rows["words"][0].as_buffer())
+    docs = pa.ipc.open_stream(_restored(rows["vectors"][0].as_buffer())).read_all()
+    parts = [_unpacked(x.as_buffer()) for x in rows["vectors"][1:]]
+    vectors = np.concatenate([(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32) for v in parts]) if parts else np.zeros((0, DIM), np.float32)
+    n = int(np.frombuffer(text, np.uint32, 1)[0])
+    counts = docs["count"].to_numpy()
+    firsts = np.append(0, np.cumsum(counts))
+    order = np.frombuffer(text, np.uint32, n, 4)
+    low, high = (np.frombuffer(text, np.uint16, firsts[-1], 4 + 4 * n + 2 * firsts[-1] * plane) for plane in (0, 1))
+    features, sizes, at = np.zeros((len(docs), FEATURES), dtype=np.float32), docs["bytes"].to_numpy(), 0
+    while at < len(docs):
+        upto = min(len(docs), max(at + 1, int(np.searchsorted(firsts, firsts[at] + SLICE_WORDS, side="right")) - 1))
+        own = slice(firsts[at], firsts[upto])
+        codes = order[low[own] | high[own].astype(np.uint32) << 16]
+        features[at:upto] = pooled(vectors, codes, firsts[at : upto + 1] - firsts[at], sizes[at:upto])
+        at = upto
+    offsets = np.arange(len(docs) + 1, dtype=np.int32) * FEATURES
+    return pa.table([docs["doc_id"], docs["digest"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel()))], names=["doc_id", "digest", "value"])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(BUCKETS, DIM) unit context vectors over all of ``docs``; classes without context are zero.
+def text_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, value) for every row of ``docs``: features over the vectors of all words of ``docs``.
 
-    A task's own sums are one row per class that it met, and are added up by class after a shuffle.
+    A block of texts sends its words' partial sums to the words' ranges (by the first PART_BITS of
+    the hash) and gets the whole sums back; the block's texts follow as word numbers.
     """
-    schema = "class int, vector array<bigint>"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(_context_batches, schema)
-    rows = parts.repartition("class").mapInArrow(_sum_batches, schema).toArrow()  # BUCKETS rows at most
-    vectors = np.zeros((BUCKETS, DIM))
-    if rows.num_rows:
-        vectors[rows["class"].to_numpy()] = rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return vectors.astype(np.float32)
-
-
-def pooled(vectors: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """(texts, FEATURES): pooled word vectors of whole texts; zeros for a text without words."""
-    out = np.zeros((len(texts), FEATURES))
-    for at, n, data, bounds in _sliced(texts):
-        classes, firsts = words(data, bounds)
-        if not len(classes):
-            continue
-        counts = np.diff(firsts)
-        some = np.flatnonzero(counts)
-        begins, size = firsts[some], counts[some][:, None]
-        rows = vectors[classes]
-        mean = np.add.reduceat(rows, begins, axis=0) / size
-        square = np.add.reduceat(rows * rows, begins, axis=0) / size
-        inner = np.ones(len(classes), dtype=bool)
-        inner[begins] = False  # no neighbour before the first word
-        near = np.zeros(len(classes), dtype=np.float32)
-        same = np.zeros(len(classes), dtype=np.float32)
-        near[1:] = (rows[1:] * rows[:-1]).sum(axis=1)
-        same[1:] = classes[1:] == classes[:-1]
-        agree = np.add.reduceat(np.stack([near * inner, same * inner], axis=1), begins, axis=0) / size
-        width = (bounds[1:] - bounds[:-1])[some][:, None] / size
-        block = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), agree, np.log1p(size), np.log1p(width)], axis=1)
-        out[at + some] = block
+    rows = docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(_blocks, BLOCKS)
+    return rows.groupBy("dealt").applyInArrow(_summed, BLOCKS).groupBy("block").applyInArrow(_pooled_block, "doc_id long, digest long, value array<float>")
+
+
+def _key() -> list[F.Column]:
+    """What tells rows of documents apart as far as their scores may differ."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("digest")]
+
+
+def pooled(vectors: np.ndarray, codes: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, FEATURES): pooled word vectors of whole texts, given as rows of ``vectors``; zeros for a text without words."""
+    out = np.zeros((len(sizes), FEATURES))
+    if not len(codes):
+        return out
+    counts = np.diff(firsts)
+    some = np.flatnonzero(counts)
+    begins, size = firsts[some], counts[some][:, None]
+    rows = vectors[codes]
+    mean = np.add.reduceat(rows, begins, axis=0) / size
+    square = np.add.reduceat(rows * rows, begins, axis=0) / size
+    inner = np.ones(len(codes), dtype=bool)
+    inner[begins] = False  # no neighbour before the first word
+    near = np.zeros(len(codes), dtype=np.float32)
+    same = np.zeros(len(codes), dtype=np.float32)
+    near[1:] = (rows[1:] * rows[:-1]).sum(axis=1)
+    same[1:] = codes[1:] == codes[:-1]
+    agree = np.add.reduceat(np.stack([near * inner, same * inner], axis=1), begins, axis=0) / size
+    width = sizes[some][:, None] / size
+    out[some] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), agree, np.log1p(size), np.log1p(width)], axis=1)
     return out
 
 
@@ -241,24 +345,6 @@ def fit_network(features: np.ndarray, labels: np.ndarray, seed: int = 5) -> Netw
     return net
 
 
-def _pool_rows(docs: DataFrame, vectors: np.ndarray, net: Network | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
-
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = shared.value
-        for batch in batches:
-            found = pooled(vectors, batch.column(1))
-            if net is None:
-                offsets = np.arange(len(found) + 1, dtype=np.int32) * FEATURES
-                value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-            else:
-                value = pa.array(net.score(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), value], names=["doc_id", "value"])
-
-    kind = "array<double>" if net is None else "double"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pool, f"doc_id long, value {kind}")
-
-
 def held_out(doc_id: F.Column) -> F.Column:
     """Whether labels of this document are kept from learning: crc32 of its id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -272,15 +358,21 @@ def training_labels(labels: DataFrame, max_rows: int) -> DataFrame:
     return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, Network]:
-    """Word vectors over all of ``docs`` and a network fitted on a bounded sample of ``labels``."""
-    vectors = word_vectors(docs)
+def _scored(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, digest, score) of every row of ``docs``, by a network fitted on a bounded sample of ``labels``."""
+    rows = staged(text_features(docs), "quality-features")
     sample = training_labels(labels, max_rows)
     # the sample is bounded by max_rows, so it is broadcast and its features fit on the driver
-    rows = docs.join(F.broadcast(sample), "doc_id", "left_semi")
-    found = _pool_rows(rows, vectors, None).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
+    found = rows.join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
     features = found["value"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if found.num_rows else np.zeros((0, FEATURES))
-    return vectors, fit_network(features, found["quality"].to_numpy().astype(int) if found.num_rows else np.zeros(0, dtype=int))
+    net = fit_network(features.astype(float), found["quality"].to_numpy().astype(int) if found.num_rows else np.zeros(0, dtype=int))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = net.score(batch["value"].flatten().to_numpy().reshape(-1, FEATURES).astype(float))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], pa.array(value)], names=["doc_id", "digest", "score"])
+
+    return rows.mapInArrow(score, "doc_id long, digest long, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
@@ -291,19 +383,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
     labels (or with one class) every score is the base rate, 0.5 without labels; an empty table
     gives no rows; further columns are ignored.
     """
-    vectors, net = fit(docs, labels, max_rows)
-    return _pool_rows(docs, vectors, net).withColumnRenamed("value", "score")
+    return _scored(docs, labels, max_rows).select("doc_id", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float, max_rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with all their columns, decided where they lie."""
-    vectors, net = fit(docs, labels, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    place = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array(net.score(pooled(vectors, batch.column(place).cast(pa.string()))) >= least))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    doc_id, digest = _key()
+    kept = _scored(docs, labels, max_rows).filter(F.col("score") >= least).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("digest").alias("_digest"))
+    keyed = docs.withColumns({"_doc": F.coalesce(doc_id, F.lit(-1)), "_digest": digest})
+    return keyed.join(kept, ["_doc", "_digest"], "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -38,6 +39,29 @@ def test_word_classes_do_not_depend_on_position():
     assert a[0] == a[3] == b[2] and a[2] == b[1] and a[1] == b[3] and firsts.tolist() == [0, 1, 1, 1, 4]
 
 
+def test_every_word_has_its_own_vector(spark):
+    """Features over many small blocks equal a plain sum over all texts, with far more words than a fixed table would hold."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 40_000, 50)) for _ in range(1200)] + ["", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    found = {r["doc_id"]: r["value"] for r in quality.text_features(docs).collect()}
+    said = [t.split() for t in texts]
+    (slice_of,) = quality._sliced(pa.array([" ".join(sorted({w for words in said for w in words}))]))
+    hashed = dict(zip(sorted({w for words in said for w in words}), quality.words(slice_of[2], slice_of[3])[0], strict=True))
+    assert len(set(hashed.values())) == len(hashed) > 20_000
+    places, signs = quality._index_vectors(np.array(list(hashed.values())))
+    index = dict(zip(hashed, zip(places, signs, strict=True), strict=True))
+    sums = {w: np.zeros(quality.DIM) for w in hashed}
+    for words in said:
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)):
+                if j != i:
+                    sums[w][index[words[j]][0]] += index[words[j]][1]
+    for i in (0, 7, 1199, 1200, 1201):
+        rows = np.array([sums[w] / max(np.linalg.norm(sums[w]), 1e-9) for w in said[i]]) if said[i] else np.zeros((1, quality.DIM))
+        assert np.allclose(found[i][: quality.DIM], rows.mean(axis=0), atol=1e-5), i
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double")
 
