@@ -4,9 +4,9 @@
    narrow rows (ids of document and piece, start, length, checksum) go on.
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the corpus) comes to the
    driver. Patterns of one to three lengths that fill a sequence exactly are enumerated, their
-   repeat counts fitted to the histogram by accelerated projected-gradient non-negative least
-   squares, rounded down, and what they leave over is packed by best fit decreasing, in bulk on
-   the histogram. The plan's size depends on ``capacity`` alone.
+   repeat counts fitted to the histogram by active-set non-negative least squares and rounded, and
+   what they leave over (mostly short documents) is packed by best fit decreasing, in bulk on the
+   histogram. The plan's size depends on ``capacity`` alone.
 3. Pieces of one length are ranked by a two-level prefix count (cells of a hash of the document,
    then rows in a cell), so no length, however frequent, meets in one task. A piece's rank picks
    its pattern, its sequence and its offset by binary search in the plan.
@@ -71,27 +71,116 @@ def exact_patterns(present: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Non-negative repeat counts x that make sum of patterns * x close to the histogram in least squares.
+def _without_shared_lengths(patterns: np.ndarray, gain: np.ndarray, turns: int = 4) -> np.ndarray:
+    """Numbers of patterns of high gain of which no two hold the same length."""
+    order, chosen = np.argsort(-gain, kind="stable"), []
+    taken = np.zeros(int(patterns.max()) + 1, dtype=bool)
+    for _ in range(turns):
+        rows = patterns[order]
+        order = order[~taken[rows].any(axis=1)]
+        if not len(order):
+            break
+        rows, here = patterns[order], np.arange(len(order))
+        first = np.full(len(taken), len(order))
+        for column in rows.T:
+            np.minimum.at(first, column, here)
+        wins = ((first[rows] == here[:, None]) | (rows == 0)).all(axis=1)
+        chosen.append(order[wins])
+        taken[rows[wins]] = True
+        taken[0] = False
+        order = order[~wins]
+    return np.concatenate(chosen)
+
+
+def _made(patterns: np.ndarray, repeats: np.ndarray, n: int) -> np.ndarray:
+    """The histogram of so many repeats of the patterns; index 0 counts padding."""
+    return np.bincount(patterns.ravel(), weights=np.repeat(repeats, 3), minlength=n)
+
+
+def _least_squares(patterns: np.ndarray, histogram: np.ndarray, weight: np.ndarray, x: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Repeats of either sign that fit best, by conjugate gradients from ``x``."""
+
+    def slope(gap: np.ndarray) -> np.ndarray:
+        return (weight * gap)[patterns].sum(axis=1)
+
+    rest = slope(histogram - _made(patterns, x, len(histogram)))
+    way, size = rest, rest @ rest
+    enough = 1e-12 * size
+    for _ in range(steps):
+        if size <= enough:
+            break
+        bent = slope(_made(patterns, way, len(histogram)))
+        length = size / max(way @ bent, 1e-300)
+        x, rest = x + length * way, rest - length * bent
+        new = rest @ rest
+        way, size = rest + new / size * way, new
+    return x
+
 
-    Accelerated projected gradient on the sparse pattern matrix. The weights 1/count make errors
-    relative, so rare lengths count as well. Length 0 is padding and takes no part.
+def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 24, entering: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of patterns, their repeats > 0) that make the histogram in non-negative least squares.
+
+    An active-set method: in each round the patterns of steepest slope that share no length enter,
+    the active ones are fitted without a sign, and where some become negative the step ends at the
+    first zero and they leave. So few patterns a length are used and their repeats are large.
+    An error counts relative to the length's count and in proportion to the length, as long
+    documents are the hardest to place. Length 0 is padding and takes no part.
     """
     weight = np.zeros(len(histogram))
-    weight[1:] = 1 / np.maximum(histogram[1:], 1)
-    used = np.bincount(patterns.ravel(), minlength=len(histogram)).astype(float)
-    # diagonal scaling: a bound on the row sums of the normal matrix, pattern by pattern
-    step = 1 / np.maximum((3 * weight * used)[patterns].sum(axis=1), 1e-12)
-    x = np.zeros(len(patterns))
-    ahead, momentum = x, 1.0
+    weight[1:] = np.arange(1, len(histogram)) / np.maximum(histogram[1:], 1)
+    least = 1e-3 * (weight * histogram).max()
+    columns = np.ascontiguousarray(patterns.T)
+    active, x = np.zeros(0, dtype=np.int64), np.zeros(0)
     for _ in range(rounds):
-        made = np.bincount(patterns.ravel(), weights=np.repeat(ahead, 3), minlength=len(histogram))
-        slope = (weight * (made - histogram))[patterns].sum(axis=1)
-        new = np.maximum(ahead - step * slope, 0)
-        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        ahead = np.maximum(new + (momentum - 1) / following * (new - x), 0)
-        x, momentum = new, following
-    return x
+        error = weight * (histogram - _made(patterns[active], x, len(histogram)))
+        slope = error[columns[0]] + error[columns[1]] + error[columns[2]]
+        slope[active] = 0
+        steep = np.flatnonzero(slope > least)
+        if not len(steep):
+            break
+        if len(steep) > entering:
+            steep = steep[np.argpartition(-slope[steep], entering)[:entering]]
+        new = steep[_without_shared_lengths(patterns[steep], slope[steep])]
+        active, x = np.append(active, new), np.append(x, np.zeros(len(new)))
+        while len(x):
+            aim = _least_squares(patterns[active], histogram, weight, x)
+            down = aim < 0
+            if not down.any():
+                x = aim
+                break
+            x = x + (x[down] / (x[down] - aim[down])).min() * (aim - x)
+            keep = ~(down & (x <= 1e-9))
+            active, x = active[keep], np.maximum(x[keep], 0)
+    return active[x > 0], x[x > 0]
+
+
+def pattern_bins(histogram: np.ndarray, capacity: int) -> tuple[list[tuple[list[int], int]], np.ndarray]:
+    """Full sequences as (lengths, repeats), and the histogram of what they leave over.
+
+    Fitted repeats are rounded down; then patterns take one more each, by falling remainder, while
+    all their lengths are left; and what is left is fitted again until patterns place hardly anything.
+    """
+    left, bins = histogram.astype(np.int64).copy(), []
+    left[0] = 0
+    while left.any():
+        patterns = exact_patterns(left > 0, capacity)
+        if not len(patterns):
+            break
+        active, repeats = fit_repeats(patterns, left.astype(float))
+        placed = 0
+        whole = np.floor(repeats + 1e-6)
+        for order, times in ((np.argsort(-whole, kind="stable"), whole), (np.argsort(whole - repeats, kind="stable"), np.ones(len(whole)))):
+            for i in order.tolist():
+                contents = [x for x in patterns[active[i]].tolist() if x]
+                n = min(int(times[i]), *(int(left[x]) // contents.count(x) for x in contents))
+                if n > 0:
+                    bins.append((contents, n))
+                    placed += n * len(contents)
+                    for x in contents:
+                        left[x] -= n
+        if placed <= left.sum() // 100:
+            break
+    return bins, left
 
 
 def best_fit_residuals(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -138,19 +227,8 @@ class Plan:
 
 def packing_plan(histogram: np.ndarray, capacity: int) -> Plan:
     """The packing of a histogram of lengths (index = length)."""
-    left = histogram.astype(np.int64).copy()
-    bins: list[tuple[list[int], int]] = []
-    if left[1:].any():
-        patterns = exact_patterns(left > 0, capacity)
-        repeats = np.floor(fit_repeats(patterns, left.astype(float)) + 1e-6).astype(np.int64) if len(patterns) else []
-        for i in np.argsort(-np.asarray(repeats), kind="stable"):
-            contents = [int(x) for x in patterns[i] if x]
-            times = min(int(repeats[i]), *(int(left[x]) // contents.count(x) for x in contents))
-            if times > 0:
-                bins.append((contents, times))
-                for x in contents:
-                    left[x] -= times
-        bins += best_fit_residuals(left, capacity)
+    bins, left = pattern_bins(histogram, capacity)
+    bins += best_fit_residuals(left, capacity)
     slots, taken, base = [], defaultdict(int), 0
     for contents, times in bins:
         offset = 0
