@@ -84,6 +84,27 @@ def test_neighbours_leave_out_unusable_vectors(spark):
     assert ann.nearest(vectors(spark, []), F.lit(True)).collect() == []
 
 
+def test_a_repeated_id_with_another_vector_is_a_row_of_its_own(spark):
+    rows = [(i, [float(i % 5), 1.0, 0.5], 1, 0.0) for i in range(1, 40)] + [(7, [6.0, 0.0, 0.0], 1, 0.0), (20, [0.0, 0.0, 9.0], 1, 0.0), (20, [0.0, 0.0, 9.0], 1, 0.0)]
+    found = ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 5).collect()
+    x = [(i, np.array(v)) for i, v in dict.fromkeys((i, tuple(v)) for i, v, *_ in rows)]
+    want = []
+    for query, v in x:
+        if query % 20 == 0:
+            best = sorted((-(v * w).sum(), i) for i, w in x if (i, tuple(w)) != (query, tuple(v)))[:5]
+            want += [(query, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
+def test_equal_vectors_beyond_k_are_told_apart_by_id(spark):
+    rows = [(i, [1.0, 2.0], 1, 0.0) for i in range(100)] + [(200, [0.5, 0.5], 1, 0.0)]
+    found = ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 5).collect()
+    assert ann.candidates(ann.usable(vectors(spark, rows)), 5).count() == 7
+    for query in (0, 20, 40, 60, 80, 200):
+        want = [i for i in range(6) if i != query][:5]
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query] == want
+
+
 def test_neighbour_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 32)).astype(np.float32)
