@@ -96,7 +96,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
-    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
     counts = [_kind_count(number, kind) for number, kind in enumerate(secret_scan.KINDS[:3])]
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     return found.select(

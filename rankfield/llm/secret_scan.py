@@ -7,14 +7,20 @@ lengths between them, in code points.
 A candidate is a maximal run of 20 or more characters of an encoded key. Its encoding (hex,
 base 32 and base 36 of either case, letters of both, letters and digits, base 64) is the smallest
 alphabet that holds its characters; hex with dashes is taken without them. Runs of letters of one
-case alone are words and are not tested; runs of digits alone are base spans of kind ``hex``. Under the hypothesis that the characters are drawn uniformly from that alphabet it
-undergoes three tests: chi-squared uniformity over 8 classes of the alphabet, the number of runs
-above and below the alphabet's middle, and the serial correlation of neighbouring characters. The
-p-values are combined with Bonferroni's bound. Random runs have p-values spread evenly over
-(0, 1], others crowd near 0; so in each stratum (encoding and length) the number of random runs
-is estimated from the upper half, and the smallest threshold whose estimated share of false
-discoveries is within the level is taken. Short runs, where the tests have less power, thereby
-get stricter thresholds. Only (encoding, length, threshold) counts leave the tasks.
+case alone are words and are not tested; runs of digits alone are base spans of kind ``hex``. A run
+undergoes three tests of characters drawn uniformly from its alphabet: chi-squared uniformity over 8
+classes of the alphabet, the number of runs above and below the alphabet's middle, and the serial
+correlation of neighbouring characters. The smallest of the three p-values, taken as one of three
+independent ones (1 - (1 - p)^3), is the run's score; keys have scores spread evenly over (0, 1].
+
+False-discovery control: the null hypothesis is that a run is no key. Runs full of the letter pairs
+of prose are known not to be keys; their scores are the null distribution of their stratum (encoding
+and length). A run's chance under the null is the share of null runs of a higher score, and the
+Benjamini-Hochberg procedure on the other runs of the stratum gives the smallest score whose expected
+share of false discoveries is within the level. Short runs, where the tests have less power, thereby
+get stricter thresholds. A stratum with few null runs borrows those of other encodings, then of shorter
+and of longer runs; without any null run nothing is called a discovery. A text is searched once;
+its runs with their scores are staged, and only (encoding, length, threshold) counts reach the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankfield.llm.tables import staged
+
 #: Base kinds in the order of the contract, as (kind, pattern, least length, group it applies to).
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 BASE = [("assign", ASSIGN, 12), ("access", "AKIA[A-Z0-9]{14,}", 18), ("hex", "[0-9a-f]{16,}", 16)]
@@ -47,10 +55,18 @@ DASHED_HEX, LEAST_DASHED = "^([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$",
 CLASSES = 8
 #: Length strata begin here.
 STRATA = [20, 24, 32, 40, 64, 128]
-#: Thresholds tried on the combined p-value.
-GRID = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5]
+#: Thresholds tried on the score.
+GRID = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9]
+#: Frequent letter pairs of prose.
+PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur co me li ri ro ic ne io ct la el us ge".split()
+#: A run is full of them when they are this share of at least so many pairs of letters; a random run is so less than once in a thousand times.
+PAIR_SHARE, LEAST_PAIRS = 0.3, 8
+#: Null runs that a stratum should have of its own.
+ENOUGH_NULL = 50
 #: Matches whose positions are summed up together; keeps prefix sums from being quadratic in the matches.
 BLOCK = 64
+#: Code points of a chunk of a text that is cut up.
+CHUNK = 4096
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -59,30 +75,35 @@ def _let(value: F.Column, body) -> F.Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _total(values: F.Column) -> F.Column:
-    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+def _running(values: F.Column, fold, least: int) -> F.Column:
+    """For each value ``fold`` (a sum or a maximum) of the values before it, in blocks, so that long arrays are not quadratic."""
+
+    def placed(values: F.Column) -> F.Column:
+        last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), F.lit(least)))
+        bases = F.aggregate(blocks, F.array(F.lit(least)), lambda done, x: F.concat(done, F.array(fold(F.array(x), F.element_at(done, -1)))))
+
+        def before(bases: F.Column) -> F.Column:
+            number = lambda i: F.floor(i / BLOCK).cast("int")
+            return F.transform(values, lambda _, i: fold(F.slice(values, number(i) * BLOCK + 1, i % BLOCK), F.get(bases, number(i))))
+
+        return _let(bases, before)
+
+    return F.when(F.size(values) > 0, _let(values, placed)).otherwise(F.array().cast("array<int>"))
+
+
+def _sum(values: F.Column, start: F.Column) -> F.Column:
+    return F.aggregate(values, start, lambda s, x: s + x)
+
+
+def _largest(values: F.Column, start: F.Column) -> F.Column:
+    return F.aggregate(values, start, lambda s, x: F.greatest(s, x))
 
 
 def _starts(gaps: F.Column, lengths: F.Column) -> F.Column:
     """Start of each match from the lengths of the matches and of the text before each."""
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda a, b: a + b)
-
-    def placed(steps: F.Column) -> F.Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: _total(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
-        )
-        bases = F.aggregate(blocks, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
-        return _let(
-            bases,
-            lambda bases: F.transform(
-                steps,
-                lambda _, i: F.get(bases, F.floor(i / BLOCK).cast("int"))
-                + _total(F.slice(steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
-                + F.get(gaps, i),
-            ),
-        )
-
-    return _let(steps, placed)
+    return F.transform(_running(steps, _sum, 0), lambda before, i: before + F.get(gaps, i))
 
 
 def _matches(text: F.Column, pattern: str, extra: list[int]) -> F.Column:
@@ -153,7 +174,7 @@ def _bare(hit: F.Column) -> F.Column:
 
 
 def _p_value(hit: F.Column, encoding: F.Column) -> F.Column:
-    """The combined p-value of the three tests for uniform randomness, for a run with an encoding."""
+    """The score of the three tests for uniform randomness, for a run with an encoding."""
     alphabets = F.array(*[F.lit(a) for _, a in ENCODINGS])
     shares = [[sum(c * CLASSES // len(a) == k for c in range(len(a))) / len(a) for k in range(CLASSES)] for _, a in ENCODINGS]
     shares_of = F.array(*[F.array(*[F.lit(x) for x in row]) for row in shares])
@@ -187,8 +208,16 @@ def _p_value(hit: F.Column, encoding: F.Column) -> F.Column:
     )
 
 
+def _word_like(hit: F.Column) -> F.Column:
+    """Whether the run is full of the letter pairs of prose."""
+    said = F.lower(hit)
+    pairs = F.regexp_count(said, F.lit("(?=[a-z]{2})"))
+    frequent = F.regexp_count(said, F.lit(f"(?={'|'.join(PAIRS)})"))
+    return (pairs >= LEAST_PAIRS) & (frequent >= PAIR_SHARE * pairs)
+
+
 def _candidates(text: F.Column) -> F.Column:
-    """Array of structs (start, end, encoding, stratum, p) of the runs that have an encoding."""
+    """Array of structs (start, end, encoding, stratum, word_like, p) of the runs that have an encoding."""
 
     def tested(m: F.Column) -> F.Column:
         def judged(run: F.Column) -> F.Column:
@@ -199,6 +228,7 @@ def _candidates(text: F.Column) -> F.Column:
                 m["end"].alias("end"),
                 run["encoding"].alias("encoding"),
                 stratum.alias("stratum"),
+                _word_like(run["hit"]).alias("word_like"),
                 F.when(run["encoding"] >= 0, _p_value(run["hit"], run["encoding"])).otherwise(F.lit(-1.0)).alias("p"),
             )
 
@@ -207,51 +237,76 @@ def _candidates(text: F.Column) -> F.Column:
     return F.filter(F.transform(_matches(text, CANDIDATE, []), tested), lambda c: c["encoding"] >= 0)
 
 
-def thresholds(docs: DataFrame, level: float) -> dict[tuple[int, int], float]:
-    """The p-value above which a run counts as random, by (encoding, stratum); strata where none serves are missing.
+def _null_counts(null: dict[tuple[int, int], list[int]], encoding: int, stratum: int) -> list[int]:
+    """Null runs above each threshold, all of them first: of the stratum, then borrowed until there are enough."""
+    lengths = sorted(range(len(STRATA)), key=lambda s: (s != stratum, s > stratum, abs(s - stratum)))
+    order = [(encoding, stratum)] + [(e, s) for s in lengths for e in range(len(ENCODINGS)) if (e, s) != (encoding, stratum)]
+    total = [0] * (len(GRID) + 1)
+    for key in order:
+        if total[0] >= ENOUGH_NULL:
+            break
+        total = [a + b for a, b in zip(total, null.get(key, [0] * len(total)), strict=True)]
+    return total
+
 
-    Of ``count`` runs in a stratum about twice those above 0.5 are random; of these a share 1 - t
-    lies above t. What else lies above t is the estimated number of false discoveries.
+def thresholds(runs: DataFrame, level: float) -> dict[tuple[int, int], float]:
+    """The score above which a run that is not word-like counts as random, by (encoding, stratum); strata where none serves are missing.
+
+    ``runs`` has a row for each run, as the struct ``c``.
     """
-    runs = docs.select(F.explode(_candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("c"))
     above = [F.count(F.when(F.col("c.p") > t, 1)).alias(f"t{i}") for i, t in enumerate(GRID)]
+    counted = runs.groupBy("c.encoding", "c.stratum", "c.word_like").agg(F.count(F.lit(1)).alias("all"), *above)
+    null, tested = {}, {}
+    for row in counted.collect():  # twice encodings times strata
+        (null if row["word_like"] else tested)[row["encoding"], row["stratum"]] = [row["all"], *(row[f"t{i}"] for i in range(len(GRID)))]
     found = {}
-    for row in runs.groupBy("c.encoding", "c.stratum").agg(*above).collect():  # encodings times strata
-        random = 2 * row[f"t{len(GRID) - 1}"]
-        for i, t in enumerate(GRID):
-            kept = row[f"t{i}"]
-            if kept and max(0.0, kept - random * (1 - t)) <= level * kept:
-                found[row["encoding"], row["stratum"]] = t
+    for key, (runs_tested, *kept) in tested.items():
+        nulls, *exceeding = _null_counts(null, *key)
+        for t, discoveries, over in zip(GRID, kept, exceeding, strict=True):
+            if discoveries and nulls and runs_tested * (1 + over) / (1 + nulls) <= level * discoveries:
+                found[key] = t
                 break
     return found
 
 
-def find_secrets(docs: DataFrame, level: float = 0.1) -> DataFrame:
-    """``docs`` with ``secrets``: array of (start, kind, end), by start, then kind; kind indexes KINDS.
-
-    Offsets are code points of the whole text, ends exclusive. Spans of the method that overlap a
-    base span are left out. Null and empty texts have no spans; repeated rows get equal spans; an
-    empty table gives no rows; a column of ``docs`` named secrets is replaced.
-    """
-    limits = thresholds(docs, level)
+def _searched(docs: DataFrame, level: float) -> DataFrame:
+    """``docs``, which have a text, with ``secrets``; texts are searched once and the rows staged with what was found."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = _base_spans(text)
+    return _judged(staged(docs.withColumn("secrets", F.struct(_base_spans(text).alias("base"), _candidates(text).alias("runs"))), "searched"), level)
+
+
+def _judged(searched: DataFrame, level: float) -> DataFrame:
+    limits = thresholds(searched.select(F.explode("secrets.runs").alias("c")), level)
+    base = F.col("secrets.base")
     if not limits:
-        return docs.withColumn("secrets", base)
+        return searched.withColumn("secrets", base)
     passes = reduce(
         lambda rest, item: lambda c: ((c["encoding"] == item[0][0]) & (c["stratum"] == item[0][1]) & (c["p"] > item[1])) | rest(c),
         sorted(limits.items()),
         lambda c: F.lit(False),
     )
+    clear = F.filter(
+        "secrets.runs", lambda c: ~c["word_like"] & passes(c) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    )
+    extra = F.transform(clear, lambda c: F.struct(c["start"], F.lit(KINDS.index("random")).alias("kind"), c["end"]).cast(SPAN))
+    return searched.withColumn("secrets", F.array_sort(F.concat(base, extra)))
 
-    def joined(base: F.Column) -> F.Column:
-        clear = F.filter(
-            _candidates(text), lambda c: passes(c) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        )
-        extra = F.transform(clear, lambda c: F.struct(c["start"], F.lit(KINDS.index("random")).alias("kind"), c["end"]).cast(SPAN))
-        return F.array_sort(F.concat(base, extra))
 
-    return docs.withColumn("secrets", _let(base, joined))
+def find_secrets(docs: DataFrame, level: float = 0.1) -> DataFrame:
+    """``docs`` with ``secrets``: array of (start, kind, end), by start, then kind; kind indexes KINDS.
+
+    Offsets are code points of the whole text, ends exclusive. Spans of the method that overlap a
+    base span are left out. Null and empty texts have no spans; repeated rows get equal spans; an
+    empty table gives no rows; a column of ``docs`` named secrets is replaced.
+    """
+    return _searched(docs.drop("secrets"), level)
+
+
+def secret_spans(docs: DataFrame, level: float = 0.1) -> DataFrame:
+    """(doc_id, secrets) of every row of ``docs``, as ``find_secrets`` has them; texts are read once and not staged."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select("doc_id", F.struct(_base_spans(text).alias("base"), _candidates(text).alias("runs")).alias("secrets"))
+    return _judged(staged(found, "searched"), level)
 
 
 def span_text(spans: F.Column) -> F.Column:
@@ -260,25 +315,46 @@ def span_text(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _piece(chunks: F.Column, start: F.Column, end: F.Column) -> F.Column:
+    """Code points start to end of a text that is given in chunks of CHUNK; only the chunks it lies in are touched."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    chunk = lambda n: F.coalesce(F.get(chunks, n), F.lit(""))
+    inside = F.substr(chunk(first), start % CHUNK + 1, end - start)
+    across = F.concat(
+        F.substr(chunk(first), start % CHUNK + 1),
+        F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substr(chunk(last), F.lit(1), end % CHUNK),
+    )
+    return F.when(first == last, inside).otherwise(across)
+
+
+def _cut(text: F.Column, spans: F.Column, mark: str) -> F.Column:
+    """The text with ``mark`` for every stretch covered by spans, in time linear in the text and its spans."""
+    ends = _running(F.transform(spans, lambda s: s["end"]), _largest, 0)  # how far the spans before each reach
+
+    def outer(s: F.Column) -> F.Column:
+        opens = F.filter(F.zip_with(spans, s["reach"], lambda one, reach: F.struct(one["start"], reach.alias("reach"))), lambda x: x["start"] >= x["reach"])
+        kept = F.transform(opens, lambda x: _piece(s["chunks"], x["reach"], x["start"]))
+        tail = _piece(s["chunks"], F.array_max(F.transform(spans, lambda one: one["end"])), F.char_length(text))
+        return F.array_join(F.concat(kept, F.array(tail)), mark)
+
+    return _let(F.struct(ends.alias("reach"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks")), outer)
+
+
 def redact(docs: DataFrame, level: float = 0.1, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one.
 
-    n_chars follows the new text where that column exists. Texts without secrets, nulls included, stay as they are.
+    n_chars follows the new text where that column exists. Texts without secrets, nulls included,
+    stay as they are; repeated rows stay; an empty table gives no rows; a column of ``docs`` named
+    secrets stays, as all others do.
     """
-    found = find_secrets(docs.drop("secrets"), level)
+    own = {c: f"_own_{n}" if c not in ("text", "n_chars") else c for n, c in enumerate(docs.columns)}
+    found = _searched(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]), level)
     spans, text = F.col("secrets"), F.col("text")
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda done, s: F.struct(
-            F.when(s["start"] >= done["at"], F.concat(done["out"], F.substr(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mark)))
-            .otherwise(done["out"])
-            .alias("out"),
-            F.greatest(done["at"], s["end"]).alias("at"),
-        ),
-        lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)),
-    )
-    cleaned = found.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(text))
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns) if "secrets" not in docs.columns else cleaned.drop("secrets").select(*[c for c in docs.columns if c != "secrets"])
+    changed = F.size(spans) > 0
+    new = {"text": F.when(changed, _cut(text, spans, mark)).otherwise(text)}
+    cleaned = found.withColumns(new)
+    if "n_chars" in own:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return cleaned.select(*[F.col(name).alias(c) for c, name in own.items()])

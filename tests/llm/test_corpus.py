@@ -57,6 +57,40 @@ def test_token_counts_and_cache(spark, awkward, no_rows, texts):
     assert token_counts.count_tokens(no_rows, BYTES, cache).collect() == []
 
 
+def test_full_cache_leaves_texts_where_they_are(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    cache = f"{shared_dir(spark)}/cache-full"
+    first = sorted(map(tuple, token_counts.count_tokens(docs, BYTES, cache).collect()))
+    shuffled = []
+    stage = token_counts.staged
+
+    def watched(rows, name):
+        shuffled.append((name, rows._jdf.queryExecution().executedPlan().toString()))
+        return stage(rows, name)
+
+    def forbidden(*_):
+        raise AssertionError("nothing is missing")
+
+    monkeypatch.setattr(token_counts, "staged", watched)
+    monkeypatch.setattr(token_counts, "_encode_missing", forbidden)
+    assert sorted(map(tuple, token_counts.count_tokens(docs, BYTES, cache).collect())) == first
+    assert [name for name, _ in shuffled] == ["digests", "missing", "counts"]  # rows of files are not written anew
+    assert "Exchange" not in shuffled[0][1] and all("text" not in plan.split("Location")[0] for name, plan in shuffled[1:])
+
+
+def test_missing_texts_are_encoded_in_place(spark, data):
+    """No exchange carries texts when all of them are missing, and each distinct one is encoded once."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs = docs.union(docs)
+    path = f"{shared_dir(spark)}/twice"
+    docs.withColumn("_metadata", F.lit("mine")).write.parquet(path)
+    cache = f"{shared_dir(spark)}/cache-twice"
+    rows = token_counts.count_tokens(spark.read.parquet(path), BYTES, cache)
+    assert rows.count() == docs.count()
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("content_digest").distinct().count() == docs.select("text").distinct().count()
+
+
 def test_packing(awkward, no_rows, texts):
     tokenizer = Tokenizer.from_file(WORDS)
     ids = Counter()
@@ -104,6 +138,20 @@ def test_packing_plan_covers_the_histogram(seed):
     assert (taken > 0).all() and np.array_equal(np.bincount(plan.length, weights=taken, minlength=257), histogram)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_patterns_place_most_pieces(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").repartition(8)
+    histogram = np.zeros(2049, dtype=np.int64)
+    for row in packing.pieces(docs, WORDS).groupBy("length").count().collect():
+        histogram[row["length"]] = row["count"]
+    bins, left = packing.pattern_bins(histogram, 2048)
+    assert all(sum(contents) == 2048 and len(contents) <= 3 for contents, _ in bins)
+    made = np.bincount([x for c, _ in bins for x in c], weights=[n for c, n in bins for _ in c], minlength=2049)
+    assert np.array_equal(made + left, histogram)
+    assert left[:2048].sum() < histogram[:2048].sum() / 3
+    assert packing.packing_plan(histogram, 2048).sequences <= 1.01 * (np.arange(2049) @ histogram) / 2048
+
+
 def test_mixing(spark, awkward, no_rows):
     rows = mixing.mix(awkward).collect()
     again = mixing.mix(awkward.repartition(2)).collect()
@@ -168,6 +216,124 @@ FORMS = {
 }
 
 
+def camel_names(rng, n):
+    words = "get set user factory builder manager service handler request response index value item list node count page order price total update create delete find parse render stream buffer cache token config option event queue thread worker client server".split()
+    said = [rng.choice(words, rng.integers(4, 7)) for _ in range(n)]
+    return [w[0] + "".join(x.capitalize() for x in w[1:]) + str(rng.integers(1, 99)) * (i % 2) for i, w in enumerate(said)]
+
+
+def spans_found(spark, texts, level=0.1):
+    docs = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"] for r in secret_scan.secret_spans(docs, level).collect() if any(s["kind"] == 3 for s in r["secrets"])}
+
+
+@pytest.mark.parametrize("level", [0.1, 1e-9])
+def test_names_alone_are_no_discoveries(spark, level):
+    assert spans_found(spark, camel_names(np.random.default_rng(0), 600), level) == set()
+
+
+def test_false_discoveries_are_within_the_level(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(rng.choice(letters, rng.integers(20, 45))) for _ in range(500)]
+    plain = camel_names(rng, 2000) + [f"{'0' * 15}{i:09d}x" for i in range(100)] + [f"aaaaBBBB1111cccc{i:08d}" for i in range(100)]
+    found = {level: spans_found(spark, keys + plain, level) for level in (0.2, 0.1, 0.01, 0.0001)}
+    for level, some in found.items():
+        false = sum(i >= 500 for i in some)
+        assert false <= level * len(some) + 2, (level, false, len(some))
+    assert len(found[0.1]) - sum(i >= 500 for i in found[0.1]) > 350
+    assert len(found[0.2]) >= len(found[0.1]) >= len(found[0.01]) >= len(found[0.0001])
+    assert len(found[0.2]) > len(found[0.0001])
+
+
+def brute_score(run, alphabet):
+    """The three tests in plain Python."""
+    tail = lambda z: 1 / (1 + np.exp(1.5976 * min(max(z, -8), 8) + 0.07056 * min(max(z, -8), 8) ** 3))
+    size, n = len(alphabet), len(run)
+    codes = [alphabet.index({"-": "+", "_": "/"}.get(c, c)) for c in run]
+    share = [sum(c * 8 // size == k for c in range(size)) / size for k in range(8)]
+    counts = [sum(c * 8 // size == k for c in codes) / n for k in range(8)]
+    chi = n * sum((o - e) ** 2 / e for o, e in zip(counts, share, strict=True))
+    uniform = tail(((chi / 7) ** (1 / 3) - (1 - 2 / 63)) / (2 / 63) ** 0.5)
+    up = [2 * c >= size for c in codes]
+    high = sum(up) / n
+    changes = sum(a != b for a, b in zip(up, up[1:], strict=False))
+    mean = 2 * n * high * (1 - high)
+    variance = mean * (mean - 1) / (n - 1)
+    runs_p = 2 * tail(abs(changes - mean) / max(variance, 1e-9) ** 0.5) if variance > 0 else 0.0
+    middle = sum(codes) / n
+    spread = sum((c - middle) ** 2 for c in codes)
+    serial = sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:], strict=False))
+    serial_p = 2 * tail(abs(serial / max(spread, 1e-9) + 1 / n) * n**0.5) if spread > 0 else 0.0
+    return 1 - (1 - min(max(min(uniform, runs_p, serial_p), 0), 1)) ** 3
+
+
+def brute_word_like(run):
+    said = run.lower()
+    pairs = [said[i : i + 2] for i in range(len(said) - 1) if re.fullmatch("[a-z]{2}", said[i : i + 2])]
+    return len(pairs) >= 8 and sum(p in secret_scan.PAIRS for p in pairs) >= 0.3 * len(pairs)
+
+
+def test_random_spans_equal_a_plain_version(spark):
+    """Scores, known names, borrowed nulls, thresholds and spans, all in plain Python."""
+    rng = np.random.default_rng(12)
+    keys = [FORMS[form](rng) for form in FORMS for _ in range(12)]
+    tails = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n)) for n in (20, 30, 50, 90, 200) * 4]
+    texts = [f"😀 {a} and {b}; token={b}" for a, b in zip(keys + tails, camel_names(rng, len(keys + tails)), strict=True)] + camel_names(rng, 150)
+    runs, names = [], [name for name, _ in secret_scan.ENCODINGS]
+    for doc, text in enumerate(texts):
+        for m in re.finditer(secret_scan.CANDIDATE, text):
+            run, bare = m[0], m[0].replace("-", "")
+            if re.match(secret_scan.DASHED_HEX, run) and re.search("[A-Fa-f]", run) and len(bare) >= 16:
+                run = bare
+            url = run.replace("-", "+").replace("_", "/")
+            kinds = [n for n, (_, alphabet) in enumerate(secret_scan.ENCODINGS) if set(url) <= set(alphabet)]
+            has = [bool(re.search(p, run)) for p in ("[0-9]", "[a-z]", "[A-Z]")]
+            if sum(has) >= 2 and kinds:
+                stratum = sum(len(run) >= least for least in secret_scan.STRATA[1:])
+                runs.append((doc, m.start(), m.end(), kinds[0], stratum, brute_word_like(run), brute_score(run, secret_scan.ENCODINGS[kinds[0]][1])))
+    spans = set()
+    for key in {(r[3], r[4]) for r in runs if not r[5]}:
+        mine = [r for r in runs if (r[3], r[4]) == key and not r[5]]
+        null = []
+        for stratum in sorted(range(6), key=lambda s: (s != key[1], s > key[1], abs(s - key[1]))):
+            for kind in sorted(range(len(names)), key=lambda e: (stratum != key[1] or e != key[0], e)):
+                if len(null) < 50:
+                    null += [r[6] for r in runs if (r[3], r[4]) == (kind, stratum) and r[5]]
+        for t in secret_scan.GRID:
+            kept = [r for r in mine if r[6] > t]
+            if kept and null and len(mine) * (1 + sum(x > t for x in null)) / (1 + len(null)) <= 0.1 * len(kept):
+                spans |= {r[:3] for r in kept if not any(a < r[2] and r[1] < b for a, _, b in brute_spans(texts[r[0]]))}
+                break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.secret_spans(docs).collect()
+    assert {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["secrets"] if s["kind"] == 3} == spans and len(spans) > 60
+    whole = {r["doc_id"]: r["secrets"] for r in found}
+    cut = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert cut == {doc: plain_redaction(texts[doc], whole[doc]) for doc in cut}
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for start, _, end in sorted((s["start"], s["kind"], s["end"]) for s in spans):
+        if start >= at:
+            out += [text[at:start], "[secret]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    parts = ["é" * int(n) + " token=abcdefabcdef0123456789 " * (i % 3) + "😀" * int(n % 7) for i, n in enumerate(rng.integers(0, 9000, 120))]
+    texts = ["".join(parts), "token=abcdefabcdef0123456789", "x" * 4096 + "0" * 4096 + "y" * 4096, ""]
+    docs = spark.createDataFrame([(i, t, "kept", -1) for i, t in enumerate(texts)], "doc_id long, text string, secrets string, n_chars int")
+    for row in secret_scan.redact(docs).collect():
+        text = texts[row["doc_id"]]
+        spans = [{"start": a, "kind": k, "end": b} for a, k, b in brute_spans(text)]
+        assert row["text"] == plain_redaction(text, spans) and row["secrets"] == "kept"
+        assert row["n_chars"] == (len(row["text"]) if spans else -1)
+
+
 def test_every_form_of_key_is_found(spark):
     """All forms in one table, with names and words that are none; and all are redacted."""
     rng = np.random.default_rng(8)
