@@ -52,6 +52,13 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
+def _text_column(formatted: pa.Array) -> pa.Array:
+    """As strings; one conversation of 2 GB or more does not fit an Arrow string or a row."""
+    if len(formatted) == 1 and formatted.nbytes >= 1 << 31:
+        raise ValueError("a formatted conversation of 2 GB or more")
+    return formatted.cast(pa.string())
+
+
 def assemble(turns: pa.Table) -> pa.RecordBatch:
     """Formatted conversations from turns (conv_id, role, text) in order; nulls in role and text are empty."""
     roles = pc.fill_null(turns["role"].combine_chunks().cast(pa.large_string()), "")
@@ -81,34 +88,30 @@ def assemble(turns: pa.Table) -> pa.RecordBatch:
     span = [pa.array((points[x[learned, 3]] - base).astype(np.int32)) for x in (places, ends)]
     counts = np.append(0, np.cumsum(np.bincount(owner, minlength=len(first)))).astype(np.int32)
     loss = pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays(span, names=["start", "end"]))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), formatted.cast(pa.string()), loss], names=["conv_id", "formatted", "loss"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), _text_column(formatted), loss], names=["conv_id", "formatted", "loss"])
 
 
 def _assemble_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole conversations of sorted turns, about BUFFER_BYTES at a time; an open conversation waits, untouched, until another one follows it."""
     held: list[pa.RecordBatch] = []
     size = 0
-
-    def cut(turns: pa.Table) -> int:
-        """Row at which the last conversation begins."""
-        ids = turns["conv_id"].to_pylist()
-        at = len(ids) - 1
-        while at and ids[at - 1] == ids[-1]:
-            at -= 1
-        return at
-
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch["conv_id"]
+        key, known = np.nan_to_num(ids.fill_null(0).to_numpy()), ids.is_valid().to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero((key[1:] != key[:-1]) | (known[1:] != known[:-1])) + 1
+        if held and held[-1]["conv_id"][-1].as_py() != ids[0].as_py():
+            changes = np.append(0, changes)
+        if len(changes) and size + batch.nbytes >= BUFFER_BYTES:
+            at = int(changes[-1])
+            yield assemble(pa.Table.from_batches([*held, batch.slice(0, at)]))
+            held, size = [], 0
+            batch = batch.slice(at)
         held.append(batch)
         size += batch.nbytes
-        if size >= BUFFER_BYTES:
-            turns = pa.Table.from_batches(held)
-            at = cut(turns)
-            if at:
-                yield assemble(turns.slice(0, at))
-                held = turns.slice(at).combine_chunks().to_batches()
-                size = sum(b.nbytes for b in held)
-    turns = pa.Table.from_batches(held) if held else None
-    if turns is not None and turns.num_rows:
-        yield assemble(turns)
+    if held:
+        yield assemble(pa.Table.from_batches(held))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A stream is a row of 188-byte packets: a program association table, a program map table, and the
 packetised elementary stream of one program. The writer stores 8-bit samples in frames of 576 (12
-ms at 48 kHz), eight frames to an elementary packet with a timestamp, each a random-access point.
-The parser takes any stream of whole packets: it reads the tables, checks continuity counters,
-reassembles the first listed elementary stream and lists timestamps and random-access points.
+ms at 48 kHz), eight frames to an elementary packet with a timestamp, each a random-access point
+with the tables before it, so that a stream can be entered there. The parser takes any stream of
+whole packets: it reads the tables, checks continuity counters, reassembles every listed elementary
+stream and lists the first one's timestamps and random-access points.
 Every row is independent; batches are bounded by Spark's Arrow limits.
 """
 
@@ -23,13 +24,17 @@ PACKET, SYNC, STUFFING = 188, 0x47, 0xFF
 PAT_PID, NULL_PID = 0x0000, 0x1FFF
 PRIVATE_STREAM, PRIVATE_DATA = 0xBD, 0x06
 
+#: A section has 4,096 bytes at most.
+MOST_SECTION_PACKETS = 24
+
 MAP_PID, DATA_PID, PROGRAM = 0x100, 0x101, 1
 #: Samples of a frame, frames of an elementary packet, and 90 kHz ticks of a frame.
 FRAME, FRAMES, TICKS = 576, 8, 1080
 
 INDEX = (
     "packets int, programs string, continuity_errors int, elementary_packets int, "
-    "timestamps array<bigint>, random_access array<int>, payload binary"
+    "timestamps array<bigint>, random_access array<int>, payload binary, "
+    "others array<struct<program:int,kind:int,pid:int,elementary_packets:int,timestamps:array<bigint>,payload:binary>>"
 )
 
 
@@ -85,7 +90,7 @@ def _layout(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _elementary(data: np.ndarray, first_frame: int) -> np.ndarray:
-    """The packets of equally long elementary packets, one per row of ``data``; counters are still zero."""
+    """The packets of equally long elementary packets, one per row of ``data``, each after the tables; counters are still zero."""
     count, size = data.shape
     blank, places = _layout(14 + size)
     out = np.tile(blank, (count, 1))
@@ -99,7 +104,8 @@ def _elementary(data: np.ndarray, first_frame: int) -> np.ndarray:
     for n, shift in enumerate((25, 17, 9, 1)):
         out[:, 6 + n] = clock >> shift & 0xFF
     out[:, 10] = (clock & 1) << 7 | 0x7E
-    return out.reshape(-1)
+    tables = np.frombuffer(_tables(), dtype=np.uint8)
+    return np.concatenate([np.tile(tables, (count, 1)), out], axis=1).reshape(-1)
 
 
 def write_stream(payload: bytes) -> bytes:
@@ -113,9 +119,12 @@ def write_stream(payload: bytes) -> bytes:
         parts.append(_elementary(data[whole * FRAME * FRAMES :].reshape(1, -1), whole * FRAMES))
     if not parts:
         return _tables()
-    stream = np.concatenate(parts)
-    stream[3::PACKET] |= (np.arange(len(stream) // PACKET) % 16).astype(np.uint8)
-    return _tables() + stream.tobytes()
+    stream = np.concatenate(parts).reshape(-1, PACKET)
+    pid = (stream[:, 1].astype(np.int32) & 0x1F) << 8 | stream[:, 2]
+    for one in (PAT_PID, MAP_PID, DATA_PID):
+        rows = np.flatnonzero(pid == one)
+        stream[rows, 3] |= (np.arange(len(rows)) % 16).astype(np.uint8)
+    return stream.tobytes()
 
 
 def _sections(packets: np.ndarray, starts: np.ndarray, unit: np.ndarray) -> bytes:
@@ -123,7 +132,7 @@ def _sections(packets: np.ndarray, starts: np.ndarray, unit: np.ndarray) -> byte
     first = np.flatnonzero(unit)
     if not len(first):
         return b""
-    data = b"".join(packets[i, starts[i] :].tobytes() for i in range(first[0], len(packets)))
+    data = b"".join(packets[i, starts[i] :].tobytes() for i in range(first[0], min(len(packets), first[0] + MOST_SECTION_PACKETS)))
     data = data[1 + data[0] :] if data else b""
     size = 3 + (int.from_bytes(data[1:3]) & 0x0FFF) if len(data) >= 3 else 0
     return data[:size] if 12 <= size <= len(data) and crc_mpeg(data[:size]) == 0 else b""
@@ -169,8 +178,8 @@ def parse_stream(media: bytes | None) -> dict:
         section = _sections(packets[table], starts[table], unit[table])
         streams += [(number, kind, p) for kind, p in (_streams(section) if section else [])]
 
-    errors, payload, clocks, access, count = 0, b"", [], [], 0
-    for n, (_, _, stream_pid) in enumerate(streams):
+    errors, access, found = 0, [], []
+    for n, (number, kind, stream_pid) in enumerate(streams):
         rows = of(stream_pid)
         step = (counter[rows][1:].astype(np.int32) - counter[rows][:-1]) % 16
         again = np.zeros(len(rows), dtype=bool)
@@ -178,27 +187,34 @@ def parse_stream(media: bytes | None) -> dict:
         again[stays] = (packets[rows[stays]] == packets[rows[stays - 1]]).all(axis=1) if len(stays) else False
         excused = again[1:] | ((flags[rows][1:] & 0x80) > 0)
         errors += int(((step != 1) & ~excused).sum())
-        if n:
-            continue
         rows = rows[~again]
-        begins = np.cumsum(PACKET - starts[rows]) - (PACKET - starts[rows])
-        joined = packets[rows][np.arange(PACKET) >= starts[rows][:, None]].tobytes()
-        access = rows[(flags[rows] & 0x40) > 0].tolist()
-        edges = [*begins[unit[rows]].tolist(), len(joined)]
-        parts = []
-        for at, end in zip(edges, edges[1:], strict=False):
-            head = joined[at : at + 14]
-            if len(head) < 9 or head[:3] != b"\0\0\1":
-                continue
-            size = int.from_bytes(head[4:6])
-            count += 1
-            if head[7] & 0x80 and len(head) == 14:
-                b = head[9:14]
-                clocks.append((b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1)
-            parts.append(joined[at + 9 + head[8] : min(end, at + 6 + size) if size else end])
-        payload = b"".join(parts)
+        if not n:
+            access = rows[(flags[rows] & 0x40) > 0].tolist()
+        found.append((number, kind, stream_pid, *_elementary_packets(packets[rows], starts[rows], unit[rows])))
+    _, _, _, count, clocks, payload = found[0] if found else (0, 0, 0, 0, [], b"")
+    others = [dict(zip(("program", "kind", "pid", "elementary_packets", "timestamps", "payload"), x, strict=True)) for x in found[1:]]
     names = ",".join(f"{number}:{kind:02x}@{p}" for number, kind, p in streams)
-    return dict(zip(("packets", "programs", "continuity_errors", "elementary_packets", "timestamps", "random_access", "payload"), (len(packets), names, errors, count, clocks, access, payload), strict=True))
+    values = (len(packets), names, errors, count, clocks, access, payload, others)
+    return dict(zip(("packets", "programs", "continuity_errors", "elementary_packets", "timestamps", "random_access", "payload", "others"), values, strict=True))
+
+
+def _elementary_packets(packets: np.ndarray, starts: np.ndarray, unit: np.ndarray) -> tuple[int, list[int], bytes]:
+    """(elementary packets, timestamps, payload) that one stream's transport packets carry."""
+    begins = np.cumsum(PACKET - starts) - (PACKET - starts)
+    joined = packets[np.arange(PACKET) >= starts[:, None]].tobytes()
+    edges = [*begins[unit].tolist(), len(joined)]
+    count, clocks, parts = 0, [], []
+    for at, end in zip(edges, edges[1:], strict=False):
+        head = joined[at : at + 14]
+        if len(head) < 9 or head[:3] != b"\0\0\1":
+            continue
+        size = int.from_bytes(head[4:6])
+        count += 1
+        if head[7] & 0x80 and len(head) == 14:
+            b = head[9:14]
+            clocks.append((b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1)
+        parts.append(joined[at + 9 + head[8] : min(end, at + 6 + size) if size else end])
+    return count, clocks, b"".join(parts)
 
 
 def _write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +238,8 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    other = {"program": pa.int32(), "kind": pa.int32(), "pid": pa.int32(), "elementary_packets": pa.int32(), "timestamps": pa.list_(pa.int64()), "payload": pa.binary()}
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.struct(other))]
     for batch in batches:
         rows = [parse_stream(media.as_py()) for media in batch["media"]]
         names = list(rows[0]) if rows else []
@@ -234,7 +251,8 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def index_media(stored: DataFrame) -> DataFrame:
     """The columns of store_media with the index of each stream read back from its bytes (see INDEX).
 
-    timestamps are 90 kHz ticks in stream order, random_access numbers of packets. A null or
+    timestamps are 90 kHz ticks in stream order, random_access numbers of packets; payload is that of
+    the first listed stream, ``others`` holds the further streams of all programs. A null or
     empty stream has no packets and an empty payload; damaged tables leave the payload empty;
     counter jumps that no discontinuity mark excuses count as continuity_errors.
     """
