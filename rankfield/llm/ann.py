@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfield.llm.tables import staged
+from rankfield.llm.tables import discard, staged
 
 #: Candidates of a block and queries of a chunk at most, about.
 MOST_BLOCK, MOST_CHUNK = 65_536, 32_768
@@ -403,6 +403,7 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, sample: int = 81
     full = found.groupBy("query_id", "twin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("query_id", "twin")
     short = asked.join(full, ["query_id", "twin"], "left_anti") if enough else asked.filter("false")
     result = found
+    discard(known, own)
     if not short.isEmpty():
         result = found.join(full, ["query_id", "twin"], "left_semi").unionByName(_nearest_of(scanned(short, None), k))
     return result.select("query_id", "rank", "vec_id", "score")

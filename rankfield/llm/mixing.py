@@ -4,7 +4,7 @@ Each source gets a mean repetition rate: its share of the target bytes over its
 corpus. A document's count is drawn by inverting the Poisson distribution at a uniform number
 hashed from its id and a seed, so it depends on nothing but id, seed and rate, and a lost task
 draws the same again. Copies are exploded and shuffled globally by a hash of (id, copy, seed):
-rows are ranged over that key and sorted in each partition.
+rows are dealt by that key and their text (rows without id share keys) and sorted in each partition.
 """
 
 from __future__ import annotations
@@ -61,27 +61,34 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
     return by_k.groupBy("source", "rate", "parts").agg(F.array_sort(F.collect_list("step")).alias("steps"))
 
 
+def _new_names(taken: list[str], n: int) -> list[str]:
+    """``n`` column names that differ from the taken ones."""
+    longest = max((len(c) for c in taken), default=0)
+    return [f"mix_{'_' * longest}{i}" for i in range(n)]
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """The columns of ``docs`` with ``copy`` (from 1), ``rate`` and ``shuffle_key``, in shuffled order.
 
     Over the output each source has its weight's share of ``epochs`` times the corpus's bytes, in
     expectation. Null sources form one source (weight of "" if weights are given); null and empty
     texts have size 1; documents drawn 0 times are not in the output, by design; rows of equal
-    doc_id draw the same count; an empty table gives no rows; columns of ``docs`` named like the
+    doc_id (or without one) draw the same count; an empty table gives no rows; columns of ``docs`` named like the
     three new ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
     tables = staged(poisson_tables(source_rates(docs, weights, epochs)), "rates")
-    tables = tables.select(F.struct("rate", "parts", "steps").alias("_mix"), F.col("source").alias("_mix_source"))
+    law, source, drawn_copies = _new_names(own, 3)
+    tables = tables.select(F.struct("rate", "parts", "steps").alias(law), F.col("source").alias(source))
     if tables.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    joined = docs.select(*own).join(tables, F.col("source").eqNullSafe(F.col("_mix_source")))
+    joined = docs.select(*own).join(tables, F.col("source").eqNullSafe(F.col(source)))
     draws = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix.parts")),
+        F.sequence(F.lit(1), F.col(f"{law}.parts")),
         F.lit(0),
-        lambda n, part: n + F.size(F.filter("_mix.steps", lambda step: step <= uniform(F.col("doc_id"), part, F.lit(seed)))),
+        lambda n, part: n + F.size(F.filter(f"{law}.steps", lambda step: step <= uniform(F.col("doc_id"), part, F.lit(seed)))),
     )
-    drawn = joined.withColumn("_mix_copies", draws).filter("_mix_copies > 0")
-    copies = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy"), F.col("_mix.rate").alias("rate"))
+    drawn = joined.withColumn(drawn_copies, draws).filter(F.col(drawn_copies) > 0)
+    copies = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col(drawn_copies))).alias("copy"), F.col(f"{law}.rate").alias("rate"))
     keyed = copies.withColumn("shuffle_key", uniform(F.col("doc_id"), F.col("copy"), F.lit(seed), F.lit("order")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    return keyed.repartition("shuffle_key", F.xxhash64(F.col("text").cast("string"))).sortWithinPartitions("shuffle_key", "doc_id", "copy")

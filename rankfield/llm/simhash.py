@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.tables import staged
+from rankfield.llm.tables import discard, staged
 
 #: Fingerprints at no more than this many differing bits are linked; the subsets below rest on it.
 MAX_BITS = 3
@@ -205,7 +205,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = staged(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.union(least).distinct(), "edges")
+        before, edges = edges, staged(small.union(least).distinct(), "edges")
+        discard(before, large)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,7 +229,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` left when one document of each near-duplicate group stays.
 
     The smallest doc_id of a group stays, with all its columns; repeated rows of that doc_id
-    count as copies. Rows without doc_id cannot be told apart by name and stay.
+    count as copies, and any one of them stays. Rows without doc_id cannot be told apart by name
+    and stay. Null and empty texts are one group; an empty table gives no rows; no column is
+    added, so none can clash.
     """
     kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.llm.memo import opened, version_digest
-from rankfield.llm.tables import staged
+from rankfield.llm.tables import discard, staged
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Rows whose bitmaps are broadcast at a time: one bit each, so 64 MB at most.
@@ -115,6 +115,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     if not missing.isEmpty():
         _encode_missing(located, missing, narrow.count(), tokenizer_path, version, cache_path)
 
+    discard(missing)
+
     # Both sides of the last join are plain tables, so that a digest with very many rows is split at run time.
     wanted = narrow.select("content_digest").distinct()
     counts = staged(stored_counts(spark, cache_path, version).join(wanted, "content_digest", "left_semi"), "counts")
