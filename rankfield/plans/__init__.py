@@ -1,4 +1,4 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from rankfield.plans import audits, checks, cleaning, documents, feature_rows, features, models, prediction, tables  # noqa: F401
+from rankfield.plans import audits, checks, cleaning, documents, feature_rows, features, manifests, models, prediction, tables  # noqa: F401
 from rankfield.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
