@@ -1,11 +1,12 @@
 """A quality classifier on random-indexing word vectors.
 
 Words (runs of letters, digits and other non-ASCII characters; runs of marks) are told apart by
-64-bit hashes. Each word has a sparse index vector derived from its hash; its context vector is the
+48-bit hashes. Each word has a sparse index vector derived from its hash; its context vector is the
 sum of the index vectors of the words up to ``WINDOW`` places away, over all documents. These sums
 are integers, added up in blocks of texts and then over a shuffle by word, so they do not depend on
-how the work was divided. A document's features pool its words' context vectors (mean, spread,
-agreement of neighbours, length). A two-layer network in numpy is fitted on labelled rows and its
+how the work was divided; what a block gets back of a frequent word's vector is its direction, to one
+part in seven of its largest number. A document's features pool its words' context vectors (mean and spread),
+with the shares of distinct words and of repeats, and lengths. A two-layer network in numpy is fitted on labelled rows and its
 logits are divided by a temperature fitted on rows that the weights never saw.
 
 Bounds: every word has its own vector, and no table of words meets in one place: a task holds one
@@ -20,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +28,14 @@ from pyspark.sql import functions as F
 from rankfield.llm.tables import staged
 
 DIM, NONZERO, WINDOW = 32, 4, 2
-#: Words are dealt by this many leading bits of their hash.
-PART_BITS = 10
-#: Text bytes of a block, and words pooled at a time.
-BLOCK_BYTES, SLICE_WORDS = 16 << 20, 100_000
+#: Bits of a word's hash, a multiple of 8; words are dealt by this many leading ones of them at least.
+WORD_BITS, PART_BITS = 48, 10
+#: Magnitudes of vectors that are packed alike, and the largest number of a vector that is given back.
+MAGNITUDES, LARGEST = (1, 2, 3, 7, 31, 127), 7
+#: Text bytes of a block, and words of sets pooled at a time.
+BLOCK_BYTES, SLICE_WORDS = 32 << 20, 100_000
+#: Neighbours counted at a time.
+SLICE_PAIRS = 500_000
 #: Text bytes worked on at a time.
 SLICE_BYTES = 1 << 19
 FEATURES = 2 * DIM + 4
@@ -82,7 +86,7 @@ def _power_rows(n: int) -> np.ndarray:
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, firsts): the 64-bit hash of every word of the texts, and for each text and the end its first word's number."""
+    """(hashes, firsts): the hash of every word of the texts, and for each text and the end its first word's number."""
     kinds = _KINDS[data]
     change = np.empty(len(data), dtype=bool)
     change[:1] = True
@@ -99,7 +103,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
-    return hashed, np.searchsorted(starts, bounds)
+    return hashed >> np.uint64(64 - WORD_BITS), np.searchsorted(starts, bounds)
 
 
 def _sliced(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -125,130 +129,210 @@ def _restored(squeezed: pa.Buffer) -> bytes:
     return pa.decompress(squeezed[4:], decompressed_size=int(np.frombuffer(squeezed, np.uint32, 1)[0]), codec="zstd", asbytes=True)
 
 
+def _digits(numbers: np.ndarray, largest: int) -> bytes:
+    """Rows of numbers within ``largest`` of zero as bytes that hold as many of them as fit."""
+    base, size = 2 * largest + 1, 1
+    while base ** (size + 1) <= 256:
+        size += 1
+    flat = np.zeros(-(-numbers.size // size) * size, dtype=np.int64)
+    flat[: numbers.size] = numbers.ravel().astype(np.int64) + largest
+    return (flat.reshape(-1, size) @ base ** np.arange(size)).astype(np.uint8).tobytes()
+
+
+def _from_digits(raw: bytes, n: int, largest: int) -> np.ndarray:
+    base, size = 2 * largest + 1, 1
+    while base ** (size + 1) <= 256:
+        size += 1
+    packed = np.frombuffer(raw, np.uint8).astype(np.int64)
+    return ((packed[:, None] // base ** np.arange(size)) % base - largest).ravel()[: n * DIM].reshape(-1, DIM)
+
+
 def _packed(vectors: np.ndarray) -> bytes:
-    """Rows of integers as bytes: 8 bits a number where a whole row fits, else 64."""
-    wide = (np.abs(vectors) > 127).any(axis=1)
-    return _squeezed(b"".join([np.uint32(len(wide)).tobytes(), np.packbits(wide).tobytes(), vectors[~wide].astype(np.int8).tobytes(), vectors[wide].astype(np.int64).tobytes()]))
-
-
-def _unpacked(squeezed: pa.Buffer) -> np.ndarray:
-    packed = _restored(squeezed)
-    n = int(np.frombuffer(packed, np.uint32, 1)[0])
-    marks = -(-n // 8)
-    wide = np.unpackbits(np.frombuffer(packed, np.uint8, marks, 4), count=n).astype(bool)
-    narrow = int(n - wide.sum())
-    vectors = np.empty((n, DIM), dtype=np.int64)
-    vectors[~wide] = np.frombuffer(packed, np.int8, narrow * DIM, 4 + marks).reshape(-1, DIM)
-    vectors[wide] = np.frombuffer(packed, np.int64, (n - narrow) * DIM, 4 + marks + narrow * DIM).reshape(-1, DIM)
+    """Rows of integers as bytes, those of one magnitude together, as each has its own statistics."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    kind = np.searchsorted(MAGNITUDES, most)
+    parts = [_squeezed(kind.astype(np.uint8).tobytes())]
+    for k, largest in enumerate(MAGNITUDES):
+        parts.append(_squeezed(_digits(vectors[kind == k], largest)))
+    parts.append(_squeezed(vectors[kind == len(MAGNITUDES)].astype(np.int64).tobytes()))
+    return b"".join([np.array([len(p) for p in parts], np.uint32).tobytes(), *parts])
+
+
+def _unpacked(packed: pa.Buffer) -> np.ndarray:
+    sizes = np.frombuffer(packed, np.uint32, len(MAGNITUDES) + 2)
+    ends = sizes.nbytes + np.cumsum(sizes)
+    kind, *parts = (_restored(packed[int(end - size) : int(end)]) for end, size in zip(ends, sizes, strict=True))
+    kind = np.frombuffer(kind, np.uint8)
+    vectors = np.empty((len(kind), DIM), dtype=np.int64)
+    for k, part in enumerate(parts):
+        rows = kind == k
+        vectors[rows] = _from_digits(part, rows.sum(), MAGNITUDES[k]) if k < len(MAGNITUDES) else np.frombuffer(part, np.int64).reshape(-1, DIM)
     return vectors
 
 
-BLOCKS = "dealt int, block long, part int, words binary, vectors binary"
+def _given_back(sums: np.ndarray) -> np.ndarray:
+    """Context vectors as blocks get them: as they are while small; the direction, in LARGEST steps, of others."""
+    most = np.abs(sums).max(axis=1, keepdims=True, initial=0)
+    return np.where(most <= LARGEST, sums, np.rint(sums * (LARGEST / np.maximum(most, 1)))).astype(np.int64)
+
+
+def _planes(numbers: np.ndarray, size: int) -> bytes:
+    """Numbers as byte planes, the lowest first: nearly empty planes take no room once squeezed."""
+    return b"".join((numbers >> np.array(8 * k, numbers.dtype)).astype(np.uint8).tobytes() for k in range(size))
+
+
+def _from_planes(raw: bytes, at: int, n: int, size: int) -> np.ndarray:
+    numbers = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        numbers |= np.frombuffer(raw, np.uint8, n, at + k * n).astype(np.uint64) << np.uint64(8 * k)
+    return numbers
+
+
+_FEATURE_ROWS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("value", pa.list_(pa.float32()))])
+BLOCKS = "dealt long, sender long, words binary, vectors binary"
+
+
+def _context_sums(known: np.ndarray, codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each known word the sum of the index vectors of its neighbours in these texts."""
+    places, signs = (x.astype(np.int8) for x in _index_vectors(known))
+    sums = np.zeros(len(known) * DIM, dtype=np.int32)
+    for gap in range(1, WINDOW + 1):
+        for first in range(0, len(codes) - gap, SLICE_PAIRS):
+            left, right = slice(first, min(first + SLICE_PAIRS, len(codes) - gap)), slice(first + gap, min(first + SLICE_PAIRS + gap, len(codes)))
+            near = owner[left] == owner[right]
+            pair = codes[left][near], codes[right][near]
+            for a, b in (pair, pair[::-1]):
+                for j in range(NONZERO):
+                    np.add.at(sums, a.astype(np.int64) * DIM + places[b, j], signs[b, j].astype(np.int32))
+    return sums.reshape(-1, DIM)
+
+
+def _word_sets(codes: np.ndarray, owner: np.ndarray, known: int, docs: pa.Table) -> tuple[bytes, bytes]:
+    """The texts of a block as sets of words with counts, and what else is known of each text.
 
+    Words are numbered by their frequency in the block, which is sent so that the receiver numbers
+    them alike, and a text's numbers are sorted, so that their differences are small.
+    """
+    often = np.bincount(codes, minlength=known)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(known, dtype=np.int64)
+    rank[order] = np.arange(known)
+    sets, times = np.unique(owner.astype(np.int64) << 32 | rank[codes], return_counts=True)
+    number = sets & 0xFFFFFFFF
+    step = np.diff(number, prepend=0)
+    first = np.diff(sets >> 32, prepend=-1) != 0
+    step[first] = number[first]
+    same = np.bincount(owner[1:], weights=(codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1]), minlength=len(docs))
+    docs = docs.append_column("distinct", pa.array(np.bincount(sets >> 32, minlength=len(docs)))).append_column("same", pa.array(same))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as writer:
+        writer.write_table(docs)
+    return b"".join([np.uint32([known, len(sets)]).tobytes(), _planes(often, 4), _planes(step, 4), _planes(times, 4)]), sink.getvalue().to_pybytes()
 
-def _block_rows(block: int, hashes: list[np.ndarray], docs: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """A block's own context sums, a row for each range of words, and one row of its texts as word numbers (part -1)."""
+
+def _block_rows(block: int, part_bits: int, hashes: list[np.ndarray], docs: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A block's own context sums, a row dealt to each range of words, and one row of its texts as sets of word numbers, dealt by the block (below zero)."""
     table = pa.Table.from_batches(docs)
     known, codes = np.unique(np.concatenate(hashes), return_inverse=True)
     hashes.clear()
-    places, signs = _index_vectors(known)
-    sums = np.zeros(len(known) * DIM)
-    owner = np.repeat(np.arange(len(table)), table["count"].to_numpy())
-    for gap in range(1, WINDOW + 1):
-        near = np.flatnonzero(owner[gap:] == owner[:-gap])
-        for a, b in ((codes[near], codes[near + gap]), (codes[near + gap], codes[near])):
-            for j in range(NONZERO):
-                sums += np.bincount(a * DIM + places[b, j], weights=signs[b, j], minlength=len(sums))
-    sums = sums.reshape(-1, DIM).astype(np.int64)
-    parts = (known >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    codes = codes.astype(np.int32)
+    owner = np.repeat(np.arange(len(table), dtype=np.int32), table["count"].to_numpy())
+    sums = _context_sums(known, codes, owner)
+    text, about = _word_sets(codes, owner, len(known), table)
+    parts = (known >> np.uint64(WORD_BITS - part_bits)).astype(np.int32)
     edges = np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(parts))
     kinds = parts[edges[:-1]]
-    # word numbers in order of frequency, so that the high plane is nearly empty and packs well
-    rank = np.empty(len(known), dtype=np.uint32)
-    order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable").astype(np.uint32)
-    rank[order] = np.arange(len(known), dtype=np.uint32)
-    numbers = rank[codes]
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    text = b"".join([np.uint32(len(known)).tobytes(), order.tobytes(), (numbers & 0xFFFF).astype(np.uint16).tobytes(), (numbers >> 16).astype(np.uint16).tobytes()])
     spans = list(zip(edges[:-1], edges[1:], strict=True))
+    mine = np.full(len(spans), -1 - block)
     columns = [
-        pa.array([*kinds, block % (1 << PART_BITS)], pa.int32()),
-        pa.array([block] * (len(spans) + 1), pa.int64()),
-        pa.array([*kinds, -1], pa.int32()),
-        pa.array([*[known[a:b].tobytes() for a, b in spans], _squeezed(text)], pa.binary()),
-        pa.array([*[_packed(sums[a:b]) for a, b in spans], _squeezed(sink.getvalue().to_pybytes())], pa.binary()),
+        pa.array([*kinds.tolist(), -1 - block], pa.int64()),
+        pa.array([*mine.tolist(), 0], pa.int64()),
+        pa.array([*[_squeezed(_planes(known[a:b], WORD_BITS // 8)) for a, b in spans], _squeezed(text)], pa.binary()),
+        pa.array([*[_packed(sums[a:b]) for a, b in spans], _squeezed(about)], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["dealt", "block", "part", "words", "vectors"])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole texts of about BLOCK_BYTES, of (doc_id, digest, text)."""
-    block, size, hashes, docs = TaskContext.get().partitionId() << 24, 0, [], []
-    for batch in batches:
-        for at, n, data, bounds in _sliced(batch["text"]):
-            hashed, firsts = words(data, bounds)
-            part = batch.slice(at, n)
-            columns = [part["doc_id"], part["digest"], pa.array(np.diff(firsts), pa.int64()), pa.array(np.diff(bounds), pa.int64())]
-            docs.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "count", "bytes"]))
-            hashes.append(hashed)
-            size += len(data)
-            if size >= BLOCK_BYTES:
-                yield _block_rows(block, hashes, docs)
-                block, size, hashes, docs = block + 1, 0, [], []
-    if docs:
-        yield _block_rows(block, hashes, docs)
+    return pa.RecordBatch.from_arrays(columns, names=["dealt", "sender", "words", "vectors"])
+
+
+def _blocker(part_bits: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of whole texts of about BLOCK_BYTES, of (doc_id, digest, text)."""
+        block, size, hashes, docs = TaskContext.get().partitionId() << 24, 0, [], []
+        for batch in batches:
+            for at, n, data, bounds in _sliced(batch["text"]):
+                hashed, firsts = words(data, bounds)
+                part = batch.slice(at, n)
+                columns = [part["doc_id"], part["digest"], pa.array(np.diff(firsts), pa.int64()), pa.array(np.diff(bounds), pa.int64())]
+                docs.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "count", "bytes"]))
+                hashes.append(hashed)
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield _block_rows(block, part_bits, hashes, docs)
+                    block, size, hashes, docs = block + 1, 0, [], []
+        if docs:
+            yield _block_rows(block, part_bits, hashes, docs)
+
+    return blocks
+
+
+def _range_words(squeezed: pa.Buffer) -> np.ndarray:
+    raw = _restored(squeezed)
+    return _from_planes(raw, 0, len(raw) * 8 // WORD_BITS, WORD_BITS // 8)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    """The sums over all blocks of a range's words, given back to each block that has the word; texts pass through."""
-    texts = rows.filter(pc.equal(rows["part"], -1))
-    rows = rows.filter(pc.greater_equal(rows["part"], 0))
-    if not rows.num_rows:
-        return texts
-    every = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["words"]]
+    """The sums over all blocks of a range's words, given back to each block that has the word; texts are no ranges."""
+    if rows["dealt"][0].as_py() < 0:
+        return rows.slice(0, 0)
+    every = [_range_words(x.as_buffer()) for x in rows["words"]]
     known, codes = np.unique(np.concatenate(every), return_inverse=True)
     sums = np.zeros((len(known), DIM), dtype=np.int64)
     at = np.cumsum([0] + [len(x) for x in every])
     mine = [codes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     for one, packed in zip(mine, rows["vectors"], strict=True):
         sums[one] += _unpacked(packed.as_buffer())  # words of a row are distinct
-    given = pa.table([rows["dealt"], rows["block"], rows["part"], pa.array([b""] * len(mine), pa.binary()), pa.array([_packed(sums[one]) for one in mine], pa.binary())], schema=rows.schema)
-    return pa.concat_tables([texts, given])
-
-
-def _pooled_block(rows: pa.Table) -> pa.Table:
-    """(doc_id, digest, features) of a block's texts, whose words' vectors have met here."""
-    rows = rows.sort_by("part")  # the texts, then the ranges in the order of the block's sorted hashes
-    text = _restored(rows["words"][0].as_buffer())
-    docs = pa.ipc.open_stream(_restored(rows["vectors"][0].as_buffer())).read_all()
-    parts = [_unpacked(x.as_buffer()) for x in rows["vectors"][1:]]
-    vectors = np.concatenate([(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32) for v in parts]) if parts else np.zeros((0, DIM), np.float32)
-    n = int(np.frombuffer(text, np.uint32, 1)[0])
-    counts = docs["count"].to_numpy()
-    firsts = np.append(0, np.cumsum(counts))
-    order = np.frombuffer(text, np.uint32, n, 4)
-    low, high = (np.frombuffer(text, np.uint16, firsts[-1], 4 + 4 * n + 2 * firsts[-1] * plane) for plane in (0, 1))
-    features, sizes, at = np.zeros((len(docs), FEATURES), dtype=np.float32), docs["bytes"].to_numpy(), 0
+    small = _given_back(sums)
+    nothing, given = pa.array([b""] * len(mine), pa.binary()), pa.array([_packed(small[one]) for one in mine], pa.binary())
+    return pa.table([rows["sender"], rows["dealt"], nothing, given], schema=rows.schema)
+
+
+def _pooled_block(texts: pa.Table, given: pa.Table) -> pa.Table:
+    """(doc_id, digest, features) of a block's texts, whose words' vectors have met here; the key of a range has no texts."""
+    if not texts.num_rows or texts["dealt"][0].as_py() >= 0:
+        return _FEATURE_ROWS.empty_table()
+    text = _restored(texts["words"][0].as_buffer())
+    docs = pa.ipc.open_stream(_restored(texts["vectors"][0].as_buffer())).read_all()
+    given = given.sort_by("sender")  # the ranges in the order of the block's sorted hashes
+    sums = (_unpacked(x.as_buffer()) for x in given["vectors"])
+    vectors = np.concatenate([np.zeros((0, DIM), np.float32), *((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32) for v in sums)])
+    known, entries = np.frombuffer(text, np.uint32, 2).tolist()
+    often, step, times = (_from_planes(text, at, n, 4).astype(np.int64) for at, n in ((8, known), (8 + 4 * known, entries), (8 + 4 * (known + entries), entries)))
+    distinct = docs["distinct"].to_numpy()
+    firsts = np.append(0, np.cumsum(distinct))
+    total = np.append(0, np.cumsum(step))
+    number = total[1:] - np.repeat(total[firsts[:-1]], distinct)
+    codes = np.argsort(-often, kind="stable")[number]
+    counts, sizes, same = (docs[c].to_numpy() for c in ("count", "bytes", "same"))
+    features, at = np.zeros((len(docs), FEATURES), dtype=np.float32), 0
     while at < len(docs):
         upto = min(len(docs), max(at + 1, int(np.searchsorted(firsts, firsts[at] + SLICE_WORDS, side="right")) - 1))
-        own = slice(firsts[at], firsts[upto])
-        codes = order[low[own] | high[own].astype(np.uint32) << 16]
-        features[at:upto] = pooled(vectors, codes, firsts[at : upto + 1] - firsts[at], sizes[at:upto])
+        own, of = slice(firsts[at], firsts[upto]), slice(at, upto)
+        features[of] = pooled(vectors, codes[own], times[own], distinct[of], counts[of], sizes[of], same[of])
         at = upto
     offsets = np.arange(len(docs) + 1, dtype=np.int32) * FEATURES
-    return pa.table([docs["doc_id"], docs["digest"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel()))], names=["doc_id", "digest", "value"])
+    return pa.table([docs["doc_id"], docs["digest"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel()))], schema=_FEATURE_ROWS)
 
 
 def text_features(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, value) for every row of ``docs``: features over the vectors of all words of ``docs``.
 
-    A block of texts sends its words' partial sums to the words' ranges (by the first PART_BITS of
-    the hash) and gets the whole sums back; the block's texts follow as word numbers.
+    A block of texts sends its words' partial sums to the words' ranges (by leading bits of the hash;
+    more ranges where the session has more shuffle partitions) and gets the whole sums back; the block's texts follow as sets of word numbers.
     """
-    rows = docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(_blocks, BLOCKS)
-    return rows.groupBy("dealt").applyInArrow(_summed, BLOCKS).groupBy("block").applyInArrow(_pooled_block, "doc_id long, digest long, value array<float>")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part_bits = max(PART_BITS, (2 * partitions - 1).bit_length())
+    rows = docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(_blocker(part_bits), BLOCKS)
+    given = rows.groupBy("dealt").applyInArrow(_summed, BLOCKS)
+    return rows.groupBy("dealt").cogroup(given.groupBy("dealt")).applyInArrow(_pooled_block, "doc_id long, digest long, value array<float>")
 
 
 def _key() -> list[F.Column]:
@@ -257,26 +341,23 @@ def _key() -> list[F.Column]:
     return [doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("digest")]
 
 
-def pooled(vectors: np.ndarray, codes: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(texts, FEATURES): pooled word vectors of whole texts, given as rows of ``vectors``; zeros for a text without words."""
+def pooled(vectors: np.ndarray, codes: np.ndarray, times: np.ndarray, distinct: np.ndarray, counts: np.ndarray, sizes: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """(texts, FEATURES): word vectors pooled over whole texts; zeros for a text without words.
+
+    ``codes`` are rows of ``vectors``, ``distinct`` of them for each text, each occurring ``times``
+    in it; ``counts`` and ``sizes`` are words and bytes of a text, ``same`` its words that repeat the one before.
+    """
     out = np.zeros((len(sizes), FEATURES))
-    if not len(codes):
+    some = np.flatnonzero(distinct)
+    if not len(some):
         return out
-    counts = np.diff(firsts)
-    some = np.flatnonzero(counts)
-    begins, size = firsts[some], counts[some][:, None]
-    rows = vectors[codes]
-    mean = np.add.reduceat(rows, begins, axis=0) / size
-    square = np.add.reduceat(rows * rows, begins, axis=0) / size
-    inner = np.ones(len(codes), dtype=bool)
-    inner[begins] = False  # no neighbour before the first word
-    near = np.zeros(len(codes), dtype=np.float32)
-    same = np.zeros(len(codes), dtype=np.float32)
-    near[1:] = (rows[1:] * rows[:-1]).sum(axis=1)
-    same[1:] = codes[1:] == codes[:-1]
-    agree = np.add.reduceat(np.stack([near * inner, same * inner], axis=1), begins, axis=0) / size
-    width = sizes[some][:, None] / size
-    out[some] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), agree, np.log1p(size), np.log1p(width)], axis=1)
+    turn = np.lexsort((codes, np.repeat(np.arange(len(distinct)), distinct)))  # the same order for equal texts of all blocks
+    begins = (np.cumsum(distinct) - distinct)[some]
+    size, rows, weight = counts[some][:, None], vectors[codes[turn]].astype(float), times[turn][:, None]
+    mean = np.add.reduceat(rows * weight, begins, axis=0) / size
+    square = np.add.reduceat(rows * rows * weight, begins, axis=0) / size
+    shares = np.stack([distinct[some], same[some]], axis=1) / size
+    out[some] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), shares, np.log1p(size), np.log1p(sizes[some][:, None] / size)], axis=1)
     return out
 
 
@@ -363,7 +444,9 @@ def _scored(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     rows = staged(text_features(docs), "quality-features")
     sample = training_labels(labels, max_rows)
     # the sample is bounded by max_rows, so it is broadcast and its features fit on the driver
-    found = rows.join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+    # one row per document, whatever its repeats
+    chosen = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("digest", "value")).alias("row"))
+    found = chosen.select("doc_id", "quality", "row.value").toArrow().sort_by("doc_id")
     features = found["value"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if found.num_rows else np.zeros((0, FEATURES))
     net = fit_network(features.astype(float), found["quality"].to_numpy().astype(int) if found.num_rows else np.zeros(0, dtype=int))
 
@@ -387,8 +470,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float, max_rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns.
+
+    Scores are those of ``score_quality``; rows of equal doc_id and text go or stay together, rows
+    without doc_id by their text; an empty table gives no rows; no column is added, and columns
+    named like the two that join the scores are kept.
+    """
     doc_id, digest = _key()
-    kept = _scored(docs, labels, max_rows).filter(F.col("score") >= least).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumns({"_doc": F.coalesce(doc_id, F.lit(-1)), "_digest": digest})
-    return keyed.join(kept, ["_doc", "_digest"], "left_semi").select(*docs.columns)
+    named = F.coalesce(doc_id, F.lit(-1))
+    kept = _scored(docs, labels, max_rows).filter(F.col("score") >= least)
+    kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("digest").alias("_digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), named.alias("_doc"), digest.alias("_digest"))
+    return rows.join(kept, ["_doc", "_digest"], "left_semi").select("_row.*")
