@@ -112,12 +112,11 @@ def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
     counts = rows.agg(
         F.count(F.when(~F.col(a) & F.col(b), 1)).alias("b_only"), F.count(F.when(F.col(a) & ~F.col(b), 1)).alias("a_only")
     )
-    n = F.col("b_only") + F.col("a_only")
-    gap = F.abs(F.col("b_only") - F.col("a_only")) - 1
-    counts = counts.withColumn("statistic", F.when(n > 0, gap * gap / n).otherwise(0.0))
-    row = counts.first()
-    p = math.erfc(math.sqrt(row["statistic"] / 2)) if row["b_only"] + row["a_only"] else 1.0
-    return counts.withColumn("p_value", F.lit(p))
+    b_only, a_only = counts.first()
+    n = b_only + a_only
+    statistic = (abs(b_only - a_only) - 1) ** 2 / n if n else 0.0
+    p = math.erfc(math.sqrt(statistic / 2)) if n else 1.0
+    return rows.sparkSession.createDataFrame([(b_only, a_only, statistic, p)], "b_only long, a_only long, statistic double, p_value double")
 
 
 def distribution(rows: DataFrame, value: str, quantiles: list[float], iqr: float = 1.5) -> DataFrame:

@@ -19,16 +19,13 @@ def rolling_history(rows: DataFrame, key: str, date: str, spans: dict[str, int],
     A range frame on the day number excludes the day itself and anything later, so no row sees
     its own day. First days are aggregated per (key, day), so many rows of a key on one day are
     reduced before the window; all spans share one shuffle and one sort, and the daily sums are
-    joined back once.
+    joined back once. A row without a key or a date stays, with zeros.
     """
-    daily = rows.groupBy(key, date).agg(*[F.sum(value).alias(f"_{name}") for name, value in measures.items()])
+    daily = rows.filter(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(key, date).agg(*[F.sum(value).alias(f"_{name}") for name, value in measures.items()])
     by_day = Window.partitionBy(key).orderBy(day_number(date))
-    sums = [
-        F.coalesce(F.sum(f"_{name}").over(by_day.rangeBetween(-days, -1)), F.lit(0)).alias(f"{name}{suffix}")
-        for suffix, days in spans.items()
-        for name in measures
-    ]
-    return rows.join(daily.select(key, date, *sums), [key, date])
+    named = [(f"{name}{suffix}", F.sum(f"_{name}").over(by_day.rangeBetween(-days, -1))) for suffix, days in spans.items() for name in measures]
+    joined = rows.join(daily.select(key, date, *[value.alias(name) for name, value in named]), [key, date], "left")
+    return joined.withColumns({name: F.coalesce(name, F.lit(0)) for name, _ in named})
 
 
 def lookback(targets: DataFrame, history: DataFrame, key: str, date: str, days: int, measures: dict[str, Column]) -> DataFrame:

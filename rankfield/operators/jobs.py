@@ -23,14 +23,21 @@ LIFECYCLE = {
 TERMINAL = ["completed", "failed", "cancelled"]
 
 
-def job_kind(c: Column) -> Column:
-    """The job kind of an alias, null if unknown."""
-    return coded(c, JOB_KINDS)
+def _known(c: Column, codes: dict, what: str, strict: bool) -> Column:
+    found = coded(c, codes)
+    if not strict:
+        return found
+    return F.when(c.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), c)).cast("string"))
 
 
-def dispatch_action(c: Column) -> Column:
-    """The action of an alias, null if unknown."""
-    return coded(c, DISPATCH_ACTIONS)
+def job_kind(c: Column, *, strict: bool = False) -> Column:
+    """The job kind of an alias; an unknown one is null, or an error if ``strict``."""
+    return _known(c, JOB_KINDS, "job kind", strict)
+
+
+def dispatch_action(c: Column, *, strict: bool = False) -> Column:
+    """The action of an alias; an unknown one is null, or an error if ``strict``."""
+    return _known(c, DISPATCH_ACTIONS, "job kind", strict)
 
 
 def lifecycle(c: Column) -> Column:

@@ -16,7 +16,7 @@ def execution_matrix(spark, seeds: list[int]) -> DataFrame:
 
 def expected_rows(expected: DataFrame, records: DataFrame, key: str = "run_id", status: str = "status") -> DataFrame:
     """Every expected run with its record; state ``missing`` where there is none."""
-    joined = F.broadcast(expected).join(records, key, "left")
+    joined = expected.join(records, key, "left")
     return joined.withColumn(status, F.coalesce(status, F.lit("missing")))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Distinct values whose counts may come to the driver.
+MOST_VALUES = 100_000
 
 
 def model(kind: str, features: list[str], label: str = "target", weight: str | None = None) -> Pipeline:
@@ -50,8 +52,11 @@ def feature_coverage(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def value_counts(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values, counts) of a measure with few distinct values, such as a hit rate in thirds."""
-    found = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(value).collect()
+    """(values, counts) of a measure with few distinct values, such as a hit rate in thirds; more than MOST_VALUES are refused."""
+    found = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).limit(MOST_VALUES + 1).collect()
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"{value} has more than {MOST_VALUES} distinct values; round it first")
+    found.sort(key=lambda r: (r[value] is not None, r[value] or 0))
     return np.array([r[value] for r in found], dtype=float), np.array([r["n"] for r in found], dtype=np.int64)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 # Fixed values.
 ALLOWED = ("ALLOW", "ALLOW_SNAPSHOT_ONLY", "ALLOW_STORED_ONLY")
+MOST_RULES = 100_000
 OPTIONAL = {"hold": "HOLD", "label": "LABEL_ONLY", "meta": "META_ONLY"}
 
 
@@ -80,9 +81,11 @@ def policy_report(rows: DataFrame, rules: list[Rule], forbidden: str) -> DataFra
 
 
 def tagged_paths(paths: DataFrame, contract: DataFrame, default: str) -> DataFrame:
-    """``paths`` (..., path) with ``tag`` from a contract (path, tag); unknown ones get the default. The contract is configuration and is broadcast."""
+    """``paths`` (..., path) with ``tag`` from a contract (path, tag); unknown ones get the default. A contract of at most MOST_RULES rows is broadcast."""
     plain = F.regexp_replace("path", r"\[\d*\]", "[]")
-    joined = paths.withColumn("_plain", plain).join(F.broadcast(contract.withColumnRenamed("path", "_plain")), "_plain", "left")
+    rules = contract.withColumnRenamed("path", "_plain")
+    rules = F.broadcast(rules) if contract.count() <= MOST_RULES else rules
+    joined = paths.withColumn("_plain", plain).join(rules, "_plain", "left")
     return joined.withColumn("tag", F.coalesce("tag", F.lit(default))).drop("_plain")
 
 

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Windows that may be broadcast to every row.
+MOST_WINDOWS = 10_000
+
+
 def positions(rows: DataFrame, date: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``position`` from 0 by (date, order) and ``total``."""
+    """``rows`` with ``position`` from 0 by (date, order) and ``total``; rows without a date come last."""
     dates = rows.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(date)) - F.col("_n")  # one row per date
-    dates = dates.select(date, upto.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("_n").over(Window.orderBy(F.col(date).asc_nulls_last())) - F.col("_n")  # one row per date
+    dates = dates.select(F.col(date).alias("_date"), upto.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
     inside = F.row_number().over(Window.partitionBy(date).orderBy(*order)) - 1
-    return rows.join(F.broadcast(dates), date).withColumn("position", (F.col("_before") + inside).cast("long")).drop("_before")
+    joined = rows.join(F.broadcast(dates), F.col(date).eqNullSafe(F.col("_date")))
+    return joined.withColumn("position", (F.col("_before") + inside).cast("long")).drop("_before", "_date")
 
 
 def fraction_split(rows: DataFrame, date: str, order: list[str], train: float = 0.4, dev: float = 0.4) -> DataFrame:
@@ -40,8 +45,11 @@ def walk_forward(rows: DataFrame, date: str, order: list[str], folds: int) -> Da
 def window_membership(rows: DataFrame, date: str, windows: DataFrame) -> DataFrame:
     """(row, window, split) for named windows (name, train_end, eval_start, eval_end); a row may be in several.
 
-    Windows are configuration, a handful of rows, so the range join broadcasts them.
+    Windows are configuration, a handful of rows, so the range join broadcasts them; more than
+    MOST_WINDOWS are refused.
     """
+    if windows.count() > MOST_WINDOWS:
+        raise ValueError(f"more than {MOST_WINDOWS} windows")
     train = F.col(date) <= F.col("train_end")
     evaluated = F.col(date).between(F.col("eval_start"), F.col("eval_end"))
     joined = rows.join(F.broadcast(windows), train | evaluated)

@@ -141,9 +141,9 @@ def job_page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left after old terminal jobs are removed."""
     rows = job_rows(spark, sf_dir)
-    newest = rows.agg(F.max("ts")).first()[0]
-    old = F.col("state").isin(J.TERMINAL) & (F.col("ts") < F.lit(newest) - F.expr("INTERVAL 10 DAYS"))
-    return rows.filter(~old).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    newest = rows.agg(F.max("ts").alias("newest"))
+    old = F.col("state").isin(J.TERMINAL) & (F.col("ts") < F.col("newest") - F.expr("INTERVAL 10 DAYS"))
+    return rows.join(F.broadcast(newest)).filter(~old).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -25,7 +25,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on early events, predict later ones, set match by number of hits."""
-    rows = training_rows(spark, sf_dir).persist()  # read for the class counts, the fit and the scores
+    rows = training_rows(spark, sf_dir)
     early = rows.filter("race_date < '1998-01-01'")
     fitted = L.model("logreg", FEATURES, weight="w").fit(early.withColumn("w", L.balanced_weight(early)))
     late = L.scored(fitted, rows.filter("race_date >= '1998-01-01'"), ["race_id", "entry_no", "place"])

@@ -205,8 +205,8 @@ def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last twelve months by month."""
     orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"))
-    last = orders.agg(F.max("d")).first()[0]
-    return S.retained(orders, "d", S.month_cutoff(F.lit(last), 12)).groupBy(F.trunc("d", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    last = orders.agg(F.max("d").alias("last"))
+    return S.retained(orders.join(F.broadcast(last)), "d", S.month_cutoff(F.col("last"), 12)).groupBy(F.trunc("d", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

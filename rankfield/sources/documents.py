@@ -69,24 +69,27 @@ def result_top3(document: Column) -> Column:
     return F.coalesce(by_shape(document, True), F.array().cast("array<int>"))
 
 
-def leaf_paths(rows: DataFrame, key: str, document: str, depth: int = 6) -> DataFrame:
-    """(key, path) of every leaf of JSON documents, array places as []; ``depth`` levels deep.
+def leaf_paths(rows: DataFrame, key: str, document: str, depth: int = 12) -> DataFrame:
+    """(key, path) of every leaf of JSON documents, array places as [].
 
-    Each level is one explode of variants; scalars leave, containers go on.
+    Each level is one explode of variants; scalars leave, containers go on. Documents with leaves
+    beyond ``depth`` levels are an error, so none is lost.
     """
+    of = rows.sparkSession.tvf
     level = rows.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v"))
     leaves = None
     for _ in range(depth):
         kind = F.schema_of_variant("v")
         scalars = level.filter(~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))).select(key, "path")
         leaves = scalars if leaves is None else leaves.unionByName(scalars)
-        nested = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).createOrReplaceTempView("_rankfield_level")
-        level = rows.sparkSession.sql(
-            f"SELECT l.{key}, CASE WHEN e.key IS NULL THEN concat(l.path, '[]') WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path, e.value AS v FROM _rankfield_level l, LATERAL variant_explode(l.v) e"
-        )
-    return leaves.distinct()
+        containers = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).withColumnRenamed("v", "_v")
+        inner = containers.lateralJoin(of.variant_explode(F.col("_v").outer()))
+        name = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        level = inner.select(containers[key], name.alias("path"), F.col("value").alias("v"))
+    beyond = level.select(key, F.raise_error(F.concat(F.lit(f"deeper than {depth} levels: "), "path")).cast("string").alias("path"))
+    return leaves.unionByName(beyond).distinct()
 
 
 def archive(rows: DataFrame, date: str, cutoff: Column, path: str, order: list[str]) -> None:
-    """Rows before the cutoff as gzipped CSV with a header, sorted within files."""
-    rows.filter(F.col(date) < cutoff).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    """Rows before the cutoff as gzipped CSV with a header, in order within and over the files (a range sort)."""
+    rows.filter(F.col(date) < cutoff).orderBy(*order).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
