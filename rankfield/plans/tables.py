@@ -41,21 +41,8 @@ def latest_before_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.latest_before(targets, orders.drop("o_orderstatus"), "k", "cutoff", "d", [F.asc("id")]).select("k", "cutoff", "id", "price")
 
 
-@query(
-    "WITH "
-    + ENTRIES_SQL
-    + """, t AS (SELECT DISTINCT horse_id, race_date FROM entries_v WHERE race_id % 10 = 0)
-        SELECT t.horse_id, t.race_date, count(*) AS races, round(avg(h.price), 4) AS mean_price, max(h.race_date) AS last_date
-        FROM t JOIN entries_v h ON h.horse_id = t.horse_id AND h.race_date < t.race_date AND h.race_date >= t.race_date - 90 GROUP BY ALL""",
-    dates=("race_date", "last_date"),
-)
-def range_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucketed range join: history of [date - 90, date) for chosen targets."""
-    return _lookback(entries(spark, sf_dir), F.col("race_id") % 10 == 0)
-
-
-def _lookback(rows: DataFrame, chosen: F.Column) -> DataFrame:
-    targets = rows.filter(chosen).select("horse_id", "race_date")
+def _lookback(rows: DataFrame) -> DataFrame:
+    targets = rows.select("horse_id", "race_date")
     past = rows.select("horse_id", "race_date", "price", F.col("race_date").alias("past_date"))
     measures = {"races": F.count(F.lit(1)), "mean_price": F.round(F.avg("price"), 4), "last_date": F.max("past_date")}
     return H.lookback(targets, past, "horse_id", "race_date", 90, measures)
@@ -69,9 +56,9 @@ def _lookback(rows: DataFrame, chosen: F.Column) -> DataFrame:
         FROM t JOIN entries_v h ON h.horse_id = t.horse_id AND h.race_date < t.race_date AND h.race_date >= t.race_date - 90 GROUP BY ALL""",
     dates=("race_date", "last_date"),
 )
-def range_lookback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def range_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucketed range join: history of [date - 90, date) for every key and date."""
-    return _lookback(entries(spark, sf_dir), F.lit(True))
+    return _lookback(entries(spark, sf_dir))
 
 
 @query("WITH " + EVENTS_SQL + " SELECT race_id, race_date FROM events_v WHERE status = 'F' AND race_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')", dates=("race_date",))
@@ -331,30 +318,15 @@ def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.drop("id")
 
 
-@query(
-    "WITH "
-    + PREDICTIONS_SQL
-    + """, e AS (SELECT race_id FROM events_v WHERE race_id % 7 = 0), g AS (SELECT race_id FROM outcome_v WHERE len(predicted) = 3)
-        SELECT count(*) AS expected, count(g.race_id) AS covered, count(*) - count(g.race_id) AS missing, min(e.race_id) FILTER (g.race_id IS NULL) AS first_missing FROM e LEFT JOIN g USING (race_id)"""
-)
-def prediction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected events without a complete prediction."""
-    return _coverage(spark, sf_dir, F.col("race_id") % 7 == 0)
-
-
 @query(
     "WITH "
     + PREDICTIONS_SQL
     + """, g AS (SELECT race_id FROM outcome_v WHERE len(predicted) = 3)
         SELECT count(*) AS expected, count(g.race_id) AS covered, count(*) - count(g.race_id) AS missing, min(e.race_id) FILTER (g.race_id IS NULL) AS first_missing FROM events_v e LEFT JOIN g USING (race_id)"""
 )
-def prediction_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prediction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events without a complete prediction."""
-    return _coverage(spark, sf_dir, F.lit(True))
-
-
-def _coverage(spark: SparkSession, sf_dir: str, chosen: F.Column) -> DataFrame:
-    expected = events(spark, sf_dir).filter(chosen).select("race_id")
+    expected = events(spark, sf_dir).select("race_id")
     given = predictions(spark, sf_dir).filter(F.size("predicted") == 3).select("race_id", F.lit(1).alias("given"))
     return expected.join(given, "race_id", "left").agg(
         F.count(F.lit(1)).alias("expected"), F.count("given").alias("covered"), (F.count(F.lit(1)) - F.count("given")).alias("missing"), F.min(F.when(F.col("given").isNull(), F.col("race_id"))).alias("first_missing")
