@@ -43,7 +43,7 @@ ERROR = 0.001
 #: Share of candidates alive below which they are followed pair by pair.
 DENSE = 0.1
 #: Share of true neighbours within the probed lists, on the sample.
-COVER = 0.96
+COVER = 0.98
 #: Sampled vectors for each centre at least.
 PER_CENTRE = 8
 
