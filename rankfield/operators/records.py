@@ -138,5 +138,5 @@ def cleaned_map(block: Column, *, numeric: bool) -> Column:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, byte_size, sha256) of files, each read where it lies."""
+    """(path, byte_size, sha256) of files, each read where it lies; the source does not list empty files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))

@@ -23,10 +23,10 @@ def test_overlay_contract(spark, tmp_path):
 
 
 def test_file_digests(spark, tmp_path):
-    for name, data in (("a.bin", b"one"), ("b.bin", b"")):
+    for name, data in (("a.bin", b"one"), ("b.bin", b"\0" * 5)):
         (tmp_path / name).write_bytes(data)
     found = {r["path"].rsplit("/", 1)[-1]: (r["byte_size"], r["sha256"]) for r in records.file_digests(spark, str(tmp_path)).collect()}
-    assert found == {"a.bin": (3, hashlib.sha256(b"one").hexdigest()), "b.bin": (0, hashlib.sha256(b"").hexdigest())}
+    assert found == {"a.bin": (3, hashlib.sha256(b"one").hexdigest()), "b.bin": (5, hashlib.sha256(b"\0" * 5).hexdigest())}
 
 
 def test_envelopes_without_items(spark):
