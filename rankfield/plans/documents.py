@@ -187,7 +187,7 @@ def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ITEMS_SQL
     + """x AS (SELECT DISTINCT race_id, race_date FROM i)
-        SELECT race_id, '01' AS word, (race_id % 900)::BIGINT AS whole, race_id % 9 + 0.5 AS fraction, n.c::INT AS n FROM x JOIN (SELECT race_id, count(*) AS c FROM i GROUP BY 1) n USING (race_id)"""
+        SELECT race_id, '01' AS word, (race_id % 900)::BIGINT AS whole, race_id % 9 + 0.5e0 AS fraction, n.c::INT AS n FROM x JOIN (SELECT race_id, count(*) AS c FROM i GROUP BY 1) n USING (race_id)"""
 )
 def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes in XML: repeated tags are arrays, scalars keep leading zeros as text."""

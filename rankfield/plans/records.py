@@ -41,7 +41,7 @@ def artifact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '45%' WHEN 2 THEN '0.5' WHEN 3 THEN 'n/a' WHEN 4 THEN 'oops' ELSE '250' END AS v, p_partkey % 2 AS m FROM part),
-        n AS (SELECT m, CASE WHEN v = '45%' THEN 0.45 WHEN v = '0.5' THEN 0.5 END AS x, CASE WHEN v IN ('45%', '0.5') THEN 'ok' WHEN v IS NULL OR v = 'n/a' THEN 'missing' ELSE 'abnormal' END AS s FROM v)
+        n AS (SELECT m, CASE WHEN v = '45%' THEN 0.45e0 WHEN v = '0.5' THEN 0.5e0 END AS x, CASE WHEN v IN ('45%', '0.5') THEN 'ok' WHEN v IS NULL OR v = 'n/a' THEN 'missing' ELSE 'abnormal' END AS s FROM v)
         SELECT CASE m WHEN 0 THEN 'hit_rate' ELSE 'gap' END AS metric, count(*) AS rows, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'missing') AS missing, count(*) FILTER (s = 'abnormal') AS abnormal, round(avg(x), 9) AS mean, round(min(CASE m WHEN 0 THEN x ELSE 1 - x END), 9) AS least FROM n GROUP BY m"""
 )
 def metric_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

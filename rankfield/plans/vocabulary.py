@@ -32,7 +32,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
             nullif(regexp_replace(t, '\.0$', ''), '') AS identifier, plain AS sentinel, CASE WHEN length(regexp_replace(plain, '\D', '', 'g')) = 8 THEN regexp_replace(plain, '\D', '', 'g') END AS date_digits,
             CASE WHEN length(regexp_replace(v, '\D', '', 'g')) >= 8 THEN substr(regexp_replace(v, '\D', '', 'g'), 1, 8) ELSE '19990101' END AS date_prefix, try_cast(regexp_extract(v, '(\d+)', 1) AS INT) AS first_digits,
             CASE WHEN try_cast(regexp_extract(v, '\(([+-]?\d+)\)', 1) AS INT) BETWEEN -40 AND 40 THEN try_cast(regexp_extract(v, '\(([+-]?\d+)\)', 1) AS DOUBLE) END AS delta,
-            try_cast(regexp_extract(v, '\((\d+)%\)', 1) AS DOUBLE) AS percent, try_cast(regexp_extract(v, '^(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS leading, CASE WHEN isfinite(pct) AND pct >= 0 THEN pct END AS nonnegative_number FROM s"""
+            try_cast(regexp_extract(v, '\((\d+)%\)', 1) AS DOUBLE) AS percent, try_cast(regexp_extract(v, '^(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS leading_number, CASE WHEN isfinite(pct) AND pct >= 0 THEN pct END AS nonnegative_number FROM s"""
 )
 def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading of dirty values side by side."""
@@ -52,7 +52,7 @@ def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         clean.first_digits(v).alias("first_digits"),
         clean.bounded_delta(v).alias("delta"),
         clean.percent_in_parentheses(v).alias("percent"),
-        clean.leading_number(v).alias("leading"),
+        clean.leading_number(v).alias("leading_number"),
         clean.nonnegative_number(v).alias("nonnegative_number"),
     )
 
@@ -60,8 +60,8 @@ def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH c AS (SELECT p_partkey AS id, ['맑음', '흐림', '비', '눈', '안개'][p_partkey % 5 + 1] AS w, ['마령', '별정A', '별정B', '핸디캡', ''][p_partkey % 5 + 1] AS b, ['국6등급', '국4등급', '2등급', '혼OPEN', 'x'][p_partkey % 5 + 1] AS k,
             ['low', 'medium', 'high', 'none'][p_partkey % 4 + 1] AS r, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS f, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE '2024010' || (p_partkey % 9 + 1) END AS d, ['930', '1405', '2560', 'x'][p_partkey % 4 + 1] AS s FROM part)
-        SELECT id, CASE w WHEN '맑음' THEN 0.0 WHEN '흐림' THEN 1 WHEN '비' THEN 2 WHEN '눈' THEN 3 END AS weather, CASE b WHEN '마령' THEN 0.0 WHEN '별정A' THEN 1 WHEN '별정B' THEN 2 WHEN '핸디캡' THEN 3 END AS budam,
-            CASE k WHEN '국6등급' THEN 1.0 WHEN '국4등급' THEN 3 WHEN '2등급' THEN 5 WHEN '혼OPEN' THEN 7 END AS class, CASE r WHEN 'low' THEN 0.0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 END AS rest, f::INT::DOUBLE AS flag,
+        SELECT id, CASE w WHEN '맑음' THEN 0e0 WHEN '흐림' THEN 1 WHEN '비' THEN 2 WHEN '눈' THEN 3 END AS weather, CASE b WHEN '마령' THEN 0e0 WHEN '별정A' THEN 1 WHEN '별정B' THEN 2 WHEN '핸디캡' THEN 3 END AS budam,
+            CASE k WHEN '국6등급' THEN 1e0 WHEN '국4등급' THEN 3 WHEN '2등급' THEN 5 WHEN '혼OPEN' THEN 7 END AS class, CASE r WHEN 'low' THEN 0e0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 END AS rest, f::INT::DOUBLE AS flag,
             strftime(CASE s WHEN '930' THEN strptime(d || '0930', '%Y%m%d%H%M') WHEN '1405' THEN strptime(d || '1405', '%Y%m%d%H%M') END - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS starts FROM c"""
 )
 def coded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
