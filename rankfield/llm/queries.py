@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.llm import ann, chat, media, mixing, packing, quality, secret_scan, sharding, simhash, token_counts
+from rankfield.llm import ann, bpe, centroids, chat, media, merkle, mixing, packing, quality, secret_scan, sharding, simhash, token_counts
 from rankfield.llm.tables import shared_dir, table
 
 #: Production parameters.
@@ -20,6 +20,9 @@ SHARDS = 8
 CAPACITY = 2048
 GOOD_SCORE = 0.7
 NEIGHBOURS = 20
+CLUSTERS, ROUNDS, SEED, COMPONENTS, SCALE = 16, 3, 1, 64, 64
+TAMPERED = 5
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _chat_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +127,39 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _coding_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [batch.column("ids").slice(i, 1).flatten().to_numpy().astype("<u4").tobytes() for i in range(batch.num_rows)]
+        texts = [text.encode() for text in batch.column("decoded").to_pylist()]
+        columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, texts))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def op11_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and its ids decoded."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.mapInArrow(_coding_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place under the root of all, and what its witness makes of a tampered text."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, F.translate("text", CAPITALS, SMALL)))
+    again = merkle.folded(F.coalesce("altered", "leaf"), F.col("witness"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("witness")).alias("proof_sha256"), again.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds, with its centroid's digest."""
+    assigned, found = centroids.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, SEED, COMPONENTS, SCALE)
+    own, every = centroids.inertia(assigned)
+    digests = F.array(*(F.lit(hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for c in found.tolist()))
+    return assigned.select("vec_id", "cluster", "distance", own.alias("cluster_inertia"), every.alias("inertia"), digests[F.col("cluster")].alias("centroid_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -137,9 +173,85 @@ QUERIES = {
         op8_source_mixing,
         op9_nearest_neighbours,
         op10_simhash_near_dedup,
+        op11_bpe_coding,
+        op12_merkle_manifest,
+        op13_centroid_clustering,
     )
 }
 
+
+def _said(column: str, value: str | None = None) -> str:
+    value = value or f"{column}::VARCHAR"
+    return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion: nodes upwards, then every document's walk from its leaf to the root of all."""
+    head = " || ".join(_said(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = f"translate(text, '{CAPITALS}', '{SMALL}')"
+    bits = "CASE WHEN s >= 0 THEN xor(c, s) ELSE c END"
+    crc = f"""xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1]))), lambda c, s: xor(({bits}) >> 1, 3988292384 * (({bits}) & 1))), 4294967295)"""
+
+    def grown(name: str, leaves: str) -> str:
+        return f"""{name} AS (
+            {leaves}
+            UNION ALL
+            SELECT tree, level + 1, pos // 16, (total + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM {name}
+            WHERE total > 1 GROUP BY tree, level, pos // 16, total),
+        {name}_steps AS (
+            SELECT tree, level, pos,
+                coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {name} WHERE total > 1)"""
+
+    def walked(name: str, start: str, steps: str) -> str:
+        return f"""{name} AS (
+            {start}
+            UNION ALL
+            SELECT id, w.tree, w.level + 1, w.pos // 16, sha256(l || w.node || r), proof || l || r FROM {name} w JOIN {steps} s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos),
+        {name}_end AS (SELECT * FROM {name} QUALIFY level = max(level) OVER (PARTITION BY id))"""
+
+    return f"""
+        WITH RECURSIVE base AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({head} || {_said("text")}) AS leaf,
+                CASE WHEN {crc} % 5 = 0 AND text IS NOT NULL THEN sha256({head} || {_said("text", lowered)}) END AS altered FROM documents),
+        placed AS (
+            SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY tree) AS total FROM base),
+        {grown("low", "SELECT tree, 0 AS level, pos, total, leaf AS node FROM placed")},
+        tops AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS trees FROM low WHERE total = 1),
+        {grown("high", "SELECT '' AS tree, 0 AS level, place AS pos, trees AS total, subroot AS node FROM tops")},
+        {walked("up", "SELECT id, tree, 0 AS level, pos, coalesce(altered, leaf) AS node, '' AS proof FROM placed", "low_steps")},
+        {walked("over", "SELECT id, '' AS tree, 0 AS level, place AS pos, node, proof FROM up_end JOIN tops USING (tree)", "high_steps")}
+        SELECT doc_id, leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256, over_end.node AS folded_root, over_end.node = root.node AS verified
+        FROM placed JOIN tops USING (tree) JOIN over_end USING (id) CROSS JOIN (SELECT node FROM high WHERE total = 1) root"""
+
+
+def _centroid_sql() -> str:
+    """The rounds one after the other; numbers are whole, and small enough to be exact as doubles."""
+    steps = [
+        f"""kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {CLUSTERS})""",
+    ]
+    for n in range(ROUNDS + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+            SELECT vec_id, kept.v, c, list_inner_product(kept.v, kept.v) - 2 * list_inner_product(kept.v, c{n}.v) + list_inner_product(c{n}.v, c{n}.v) AS d
+            FROM kept, c{n} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if n < ROUNDS:
+            steps.append(f"""m{n} AS (
+            SELECT c, i, sum(v[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM (SELECT c, v, unnest(generate_series(1, {COMPONENTS})) AS i FROM a{n}) GROUP BY c, i),
+        c{n + 1} AS MATERIALIZED (
+            SELECT c{n}.c, coalesce(moved.v, c{n}.v) AS v FROM c{n} LEFT JOIN (SELECT c, list((((s - ((s % n) + n) % n)) // n)::DOUBLE ORDER BY i) AS v FROM m{n} GROUP BY c) moved ON c{n}.c = moved.c)""")
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, a{ROUNDS}.c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a{ROUNDS}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(list_transform(c{ROUNDS}.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+        FROM a{ROUNDS} JOIN c{ROUNDS} ON a{ROUNDS}.c = c{ROUNDS}.c"""
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
@@ -178,4 +290,6 @@ ORACLE_SQL = {
         copied AS (SELECT * EXCLUDE (copies), unnest(generate_series(1, copies))::INT AS copy FROM counted WHERE copies > 0)
         SELECT *, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), copy, '7', 'order')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
         FROM copied""",
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_centroid_clustering": _centroid_sql(),
 }
