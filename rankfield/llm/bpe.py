@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from rankfield.llm.memo import MemoTokenizer
 
 #: Nodes of a trie that is still kept for the next slice of text, with its words about 200 bytes each.
-TRIE_NODES = 500_000
+TRIE_NODES = 250_000
 #: Longer words are not kept.
 WORD_BYTES = 64
 #: Remembered answers about neighbours.
-PAIRS_KEPT = 500_000
+PAIRS_KEPT = 200_000
 
 NO_RANK = 1 << 60
 
@@ -223,7 +223,7 @@ class Decoder:
 
     def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The tokens of each run of ids, joined by spaces; ids without a token are left out."""
-        known = (ids >= 0) & (ids < len(self.known))
+        known = ids < len(self.known)
         known[known] = self.known[ids[known]]
         ends = np.append(0, np.cumsum(known))[ends]
         ids = ids[known]
@@ -248,7 +248,7 @@ def _opened(path: str, kind: type):
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs``: the ids of its whole text, without begin and end tokens.
+    """(doc_id, ids) of every row of ``docs``: the ids of its whole text as unsigned 32-bit integers, little-endian, without begin and end tokens.
 
     Null and empty texts have no ids; the strings of added tokens are these tokens, as in the
     library; repeated rows and rows without doc_id keep a row each; an empty table gives no rows;
@@ -259,36 +259,41 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         trie = _opened(tokenizer_path, TrieTokenizer)
         for batch in batches:
             for at, ids, ends in trie.encode(batch.column(1)):
-                offsets = pa.array(np.append(0, ends).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), lists], names=["doc_id", "ids"])
+                packed = _binaries(ids.astype("<u4"), 4 * np.append(0, ends))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), packed], names=["doc_id", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>")
+    return narrow.mapInArrow(run, "doc_id long, ids binary")
 
 
-#: Ids decoded at a time.
-SLICE_IDS = 1 << 19
+def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).cast(pa.binary())
+
+
+#: Bytes of ids decoded at a time.
+SLICE_IDS = 1 << 21
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, decoded): the tokens of each row's ids, special ones too, joined by spaces as the library joins them.
 
-    Null and empty ids give the empty text; ids without a token, and null ones, are left out.
+    Null and empty ids give the empty text; ids without a token are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _opened(tokenizer_path, Decoder)
         for batch in batches:
-            lists = pc.fill_null(batch.column(1), [])
-            stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            packed = batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(packed), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
             at = 0
-            while at < len(lists):
-                upto = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + SLICE_IDS)))
-                some = lists.slice(at, upto - at)
-                ids = pc.fill_null(some.flatten(), -1).to_numpy(zero_copy_only=False)
-                ends = np.cumsum(pc.list_value_length(some).to_numpy(zero_copy_only=False)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), some, decoder.texts(ids, ends)], names=["doc_id", "ids", "decoded"])
+            while at < len(packed):
+                base = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, base + SLICE_IDS)))
+                some = packed.slice(at, upto - at)
+                ids = np.frombuffer(b"".join(x.as_buffer() for x in some if x.is_valid), "<u4").astype(np.int64)
+                texts = decoder.texts(ids, (ends[at:upto] - base) // 4)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), some, texts], names=["doc_id", "ids", "decoded"])
                 at = upto
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -14,7 +14,7 @@ theirs up to the root of all.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,14 +24,12 @@ from pyspark.sql import functions as F
 from rankfield.llm.tables import discard, staged
 
 FANOUT = 16
-#: Levels of a block and its leaves.
+#: Levels of a block, which has 16^3 leaves.
 BLOCK_LEVELS = 3
-BLOCK = FANOUT**BLOCK_LEVELS
 #: Leaves that leave a task at a time, whole blocks.
 OUT_ROWS = 2048
 
 WITNESS = "array<struct<before: string, after: string>>"
-NODE = "tree string, at long, total long, node string, doc_id long, altered string"
 _STEPS = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
 
 
@@ -85,10 +83,10 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     return out
 
 
-def _levels(total: int) -> int:
-    """Levels that a block of a tree of ``total`` leaves climbs."""
+def _levels(total: int, most: int) -> int:
+    """Levels that a block of a tree of ``total`` leaves climbs, ``most`` at most."""
     levels = 0
-    while total > 1 and levels < BLOCK_LEVELS:
+    while total > 1 and levels < most:
         total, levels = -(-total // FANOUT), levels + 1
     return levels
 
@@ -149,19 +147,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
         yield name, rows
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = []
-    for (tree, block), rows in _blocks(batches):
-        total = rows[0][1]
-        block_of = _Appender(_levels(total))
-        for _, _, node in rows:
-            block_of.append(node)
-        out.append((tree, block, -(-total // BLOCK), block_of.close()))
-        if len(out) >= OUT_ROWS:
+def _roots(most: int):
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The root of every block, as a leaf of a tree of blocks."""
+        out = []
+        for (tree, block), rows in _blocks(batches):
+            total = rows[0][1]
+            block_of = _Appender(_levels(total, most))
+            for _, _, node in rows:
+                block_of.append(node)
+            out.append((tree, block, -(-total // FANOUT**most), block_of.close()))
+            if len(out) >= OUT_ROWS:
+                yield _root_batch(out)
+                out = []
+        if out:
             yield _root_batch(out)
-            out = []
-    if out:
-        yield _root_batch(out)
+
+    return roots
 
 
 def _root_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -169,24 +171,27 @@ def _root_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tree", "at", "total", "node"])
 
 
-def _witnessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of every block with their witnesses, each block led by its header."""
-    out, steps = [], []
-    for (tree, _), (header, *rows) in _blocks(batches):
-        *_, above, subroot, root = header
-        above = [(step["before"], step["after"]) for step in above]
-        block_of = _Appender(_levels(rows[0][1]))
-        for row in rows:
-            block_of.append(row[2])
-        block_of.close()
-        for (at, _, node, doc_id, altered, *_), witness in zip(rows, block_of.witnesses, strict=True):
-            out.append((tree, at, node, doc_id, altered, subroot, root))
-            steps.append(witness + above)
-        if len(out) >= OUT_ROWS:
+def _witnessed(most: int):
+    def witnessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of every block with their witnesses, each block led by its header."""
+        out, steps = [], []
+        for (tree, _), (header, *rows) in _blocks(batches):
+            *_, above, subroot, root = header
+            above = [(step["before"], step["after"]) for step in above]
+            block_of = _Appender(_levels(rows[0][1], most))
+            for row in rows:
+                block_of.append(row[2])
+            block_of.close()
+            for (at, _, node, doc_id, altered, *_), witness in zip(rows, block_of.witnesses, strict=True):
+                out.append((tree, at, node, doc_id, altered, subroot, root))
+                steps.append(witness + above)
+            if len(out) >= OUT_ROWS:
+                yield _witness_batch(out, steps)
+                out, steps = [], []
+        if out:
             yield _witness_batch(out, steps)
-            out, steps = [], []
-    if out:
-        yield _witness_batch(out, steps)
+
+    return witnessed
 
 
 def _witness_batch(rows: list[tuple], steps: list[list[tuple[str, str]]]) -> pa.RecordBatch:
@@ -201,28 +206,28 @@ def _witness_batch(rows: list[tuple], steps: list[list[tuple[str, str]]]) -> pa.
     return pa.RecordBatch.from_arrays([*columns, witnesses], names=["tree", "at", "node", "doc_id", "altered", "subroot", "root", "witness"])
 
 
-def _block() -> Column:
-    return F.expr(f"at div {BLOCK}").alias("block")
+def _block(most: int) -> Column:
+    return F.expr(f"at div {FANOUT**most}").alias("block")
 
 
-def _climb(nodes: DataFrame) -> list[DataFrame]:
+def _climb(nodes: DataFrame, most: int) -> list[DataFrame]:
     """Staged (tree, at, total, node) of the block roots over ``nodes``, and of the block roots over these, until every tree has one."""
     levels = []
     while True:
-        keyed = nodes.select("tree", _block(), "at", "total", "node")
+        keyed = nodes.select("tree", _block(most), "at", "total", "node")
         sorted_ = keyed.repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
-        nodes = staged(sorted_.mapInArrow(_roots, "tree string, at long, total long, node string"), "roots")
+        nodes = staged(sorted_.mapInArrow(_roots(most), "tree string, at long, total long, node string"), "roots")
         levels.append(nodes)
         if (nodes.agg(F.max("total")).first()[0] or 1) == 1:
             return levels
 
 
-def _descend(nodes: DataFrame, headers: DataFrame) -> DataFrame:
+def _descend(nodes: DataFrame, headers: DataFrame, most: int) -> DataFrame:
     """``nodes`` with their witnesses, which ``headers`` (tree, at, witness, subroot, root) of their blocks continue."""
-    rows = nodes.select("tree", _block(), "at", "total", "node", "doc_id", "altered", *_nothing("witness", "subroot", "root"))
+    rows = nodes.select("tree", _block(most), "at", "total", "node", "doc_id", "altered", *_nothing("witness", "subroot", "root"))
     heads = headers.select("tree", F.col("at").alias("block"), F.lit(-1).cast("long").alias("at"), *_nothing("total", "node", "doc_id", "altered"), "witness", "subroot", "root")
     together = rows.union(heads).repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
-    return together.mapInArrow(_witnessed, f"tree string, at long, node string, doc_id long, altered string, subroot string, root string, witness {WITNESS}")
+    return together.mapInArrow(_witnessed(most), f"tree string, at long, node string, doc_id long, altered string, subroot string, root string, witness {WITNESS}")
 
 
 _KINDS = {"total": "long", "node": "string", "doc_id": "long", "altered": "string", "subroot": "string", "root": "string", "witness": WITNESS}
@@ -232,29 +237,29 @@ def _nothing(*names: str) -> list[Column]:
     return [F.lit(None).cast(_KINDS[name]).alias(name) for name in names]
 
 
-def _witnesses(nodes: DataFrame, tops: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(``nodes`` with witnesses, the root of each tree); ``tops`` gives (tree, above, root), what continues a tree's witnesses."""
-    levels = _climb(nodes)
-    roots = levels[-1].select("tree", F.col("node").alias("subroot"))
-    if tops is None:
+def _witnesses(nodes: DataFrame, most: int, above: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``nodes`` with witnesses; ``above`` makes of the roots (tree, subroot) what continues a tree's: (tree, above, root)."""
+    levels = _climb(nodes, most)
+    if above is None:
         over = levels[-1].select("tree", "at", F.array().cast(WITNESS).alias("witness"), F.col("node").alias("subroot"), F.col("node").alias("root"))
     else:
-        over = roots.join(tops(roots), "tree").select("tree", F.lit(0).cast("long").alias("at"), F.col("above").alias("witness"), "subroot", "root")
+        roots = levels[-1].select("tree", F.col("node").alias("subroot"))
+        over = roots.join(above(roots), "tree").select("tree", F.lit(0).cast("long").alias("at"), F.col("above").alias("witness"), "subroot", "root")
     for level in reversed(levels[:-1]):
-        over = _descend(level.select("*", *_nothing("doc_id", "altered")), over)
-    return _descend(nodes, over), roots
+        over = _descend(level.select("*", *_nothing("doc_id", "altered")), over, most)
+    return _descend(nodes, over, most)
 
 
-def _over_sources(roots: DataFrame) -> DataFrame:
+def _over_sources(roots: DataFrame, most: int) -> DataFrame:
     """(tree, above, root) for the root of each source: its witness in the tree over all sources."""
     leaves = staged(roots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("subroot").alias("node"), F.lit(0).alias("row")), "sources")
     nodes = placed(leaves, "of")
     discard(leaves)
-    witnessed, _ = _witnesses(nodes.select("tree", "at", "total", "node", *_nothing("doc_id", "altered")), None)
+    witnessed = _witnesses(nodes.select("tree", "at", "total", "node", *_nothing("doc_id", "altered")), most)
     return nodes.select("of", "at").join(witnessed.select("at", "witness", "root"), "at").select(F.col("of").alias("tree"), F.col("witness").alias("above"), "root")
 
 
-def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, altered: Column | None = None, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """(doc_id, source, leaf, altered, subroot, root, witness) of every row of ``docs``.
 
     Leaves digest doc_id, source, lang, n_chars and text and ascend by doc_id within a source; rows
@@ -262,7 +267,8 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
     text that may stand in the place of ``text``, or null; its leaf is given beside the true one. A
     source that is null is the first one, the empty one the next. A witness has the siblings before
     and after the node of each level. An empty table gives no rows; further columns are ignored;
-    equal rows have a leaf each. Runs jobs when called, one more for each factor of 4,096 rows.
+    equal rows have a leaf each. ``block_levels`` sets how many leaves a task appends at a time, not
+    what comes out. Runs jobs when called, one more for each factor of a block's leaves.
     """
     fields = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
     other = F.lit(None).cast("string") if altered is None else F.when(altered.isNotNull(), leaf_digest(*fields, altered))
@@ -271,6 +277,6 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
     leaves = staged(narrow.withColumn("row", F.monotonically_increasing_id()), "leaves")
     nodes = placed(leaves, "doc_id", "node")
     discard(leaves)
-    rows, _ = _witnesses(nodes, _over_sources)
+    rows = _witnesses(nodes, block_levels, lambda roots: _over_sources(roots, block_levels))
     source = F.when(F.col("tree") != "", F.expr("substring(tree, 2)"))
     return rows.select("doc_id", source.alias("source"), F.col("node").alias("leaf"), "altered", "subroot", "root", "witness")
