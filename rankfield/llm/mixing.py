@@ -2,9 +2,9 @@
 
 Each source gets a mean repetition rate: its share of the target bytes over its bytes in the
 corpus. A document's count is drawn by inverting the Poisson distribution at a uniform number
-hashed from its id and a seed, so it depends on nothing but id, seed and rate, and a lost task
-draws the same again. Copies are exploded and shuffled globally by a hash of (id, copy, seed):
-rows are dealt by that key and their text (rows without id share keys) and sorted in each partition.
+hashed from its id (its text where it has none) and a seed, so it depends on nothing but these and
+the rate, and a lost task draws the same again. Copies are exploded and shuffled globally by a hash
+of (id or text, copy, seed): rows are dealt by that key and their text and sorted in each partition.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     Over the output each source has its weight's share of ``epochs`` times the corpus's bytes, in
     expectation. Null sources form one source (weight of "" if weights are given); null and empty
     texts have size 1; documents drawn 0 times are not in the output, by design; rows of equal
-    doc_id (or without one) draw the same count; an empty table gives no rows; columns of ``docs`` named like the
+    doc_id (without one, of equal text) draw the same count; an empty table gives no rows; columns of ``docs`` named like the
     three new ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
@@ -83,12 +83,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     if tables.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
     joined = docs.select(*own).join(tables, F.col("source").eqNullSafe(F.col(source)))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col(f"{law}.parts")),
         F.lit(0),
-        lambda n, part: n + F.size(F.filter(f"{law}.steps", lambda step: step <= uniform(F.col("doc_id"), part, F.lit(seed)))),
+        lambda n, part: n + F.size(F.filter(f"{law}.steps", lambda step: step <= uniform(name, part, F.lit(seed)))),
     )
     drawn = joined.withColumn(drawn_copies, draws).filter(F.col(drawn_copies) > 0)
     copies = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col(drawn_copies))).alias("copy"), F.col(f"{law}.rate").alias("rate"))
-    keyed = copies.withColumn("shuffle_key", uniform(F.col("doc_id"), F.col("copy"), F.lit(seed), F.lit("order")))
+    keyed = copies.withColumn("shuffle_key", uniform(name, F.col("copy"), F.lit(seed), F.lit("order")))
     return keyed.repartition("shuffle_key", F.xxhash64(F.col("text").cast("string"))).sortWithinPartitions("shuffle_key", "doc_id", "copy")

@@ -127,19 +127,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _coding_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [batch.column("ids").slice(i, 1).flatten().to_numpy().astype("<u4").tobytes() for i in range(batch.num_rows)]
-        texts = [text.encode() for text in batch.column("decoded").to_pylist()]
-        columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, texts))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def op11_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and its ids decoded."""
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return coded.mapInArrow(_coding_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select(
+        "doc_id",
+        F.expr("length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,11 +281,11 @@ ORACLE_SQL = {
         drawn AS (
             SELECT d.*, rate, steps, unnest(generate_series(1, parts)) AS part FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
         uniform AS (
-            SELECT *, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), part, '7')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM drawn),
+            SELECT *, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))), part, '7')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM drawn),
         counted AS (
             SELECT doc_id, text, lang, source, n_chars, rate, sum(len(list_filter(steps, lambda s: s <= u)))::INT AS copies FROM uniform GROUP BY ALL),
         copied AS (SELECT * EXCLUDE (copies), unnest(generate_series(1, copies))::INT AS copy FROM counted WHERE copies > 0)
-        SELECT *, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), copy, '7', 'order')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
+        SELECT *, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))), copy, '7', 'order')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
         FROM copied""",
     "op12_merkle_manifest": _merkle_sql(),
     "op13_centroid_clustering": _centroid_sql(),
