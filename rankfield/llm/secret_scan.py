@@ -13,21 +13,25 @@ classes of the alphabet, the number of runs above and below the alphabet's middl
 correlation of neighbouring characters. The smallest of the three p-values, taken as one of three
 independent ones (1 - (1 - p)^3), is the run's score; keys have scores spread evenly over (0, 1].
 
-False-discovery control: the null hypothesis is that a run is no key. Runs full of the letter pairs
-of prose are known not to be keys; their scores are the null distribution of their stratum (encoding
-and length). A run's chance under the null is the share of null runs of a higher score, and the
+False-discovery control: the null hypothesis is that a run is no key but an identifier. Its scores
+come from a reference that does not depend on the table: names put together from common words,
+abbreviations and numbers in the usual styles, and for hex from dates, counters and repeated fields,
+``REFERENCE`` for each stratum (encoding and length), scored by the same tests. Runs of the table
+that are full of the letter pairs of prose are known to be no keys and join them; hex is no prose. A
+run's p-value is the share of null runs of its stratum with its score or a higher one, and the
 Benjamini-Hochberg procedure on the other runs of the stratum gives the smallest score whose expected
-share of false discoveries is within the level. Short runs, where the tests have less power, thereby
-get stricter thresholds. A stratum with few null runs borrows those of other encodings, then of shorter
-and of longer runs; without any null run nothing is called a discovery. A text is searched once;
-its runs with their scores are staged, and only (encoding, length, threshold) counts reach the driver.
+share of false discoveries is within the level; how many of these are no keys is taken from those with
+p-values above one half (Storey's estimate), of which keys have hardly any. Short runs, where the tests have less power, thereby
+get stricter thresholds. Scores are counted by cells of their range, then ranked within a cell, so
+p-values are exact and no stratum meets in one task; the driver gets one threshold for each stratum.
+A level below about 1 / ``REFERENCE`` needs null runs of the table's own.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfield.llm.tables import staged
@@ -50,19 +54,34 @@ ENCODINGS = [
     ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
+#: The first of them are hex.
+HEX_ENCODINGS = 2
 #: Hex in groups joined by dashes, and the fewest digits of it that are tested.
 DASHED_HEX, LEAST_DASHED = "^([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$", 16
 CLASSES = 8
 #: Length strata begin here.
 STRATA = [20, 24, 32, 40, 64, 128]
-#: Thresholds tried on the score.
-GRID = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9]
+#: No run with a lower score is called random; of keys, one in 200 has one.
+LEAST_SCORE = 0.005
+#: Cells of the range of scores, within which runs are ranked.
+CELLS = 1024
+#: Reference runs of each stratum.
+REFERENCE = 256
+#: Words of names that are no keys: the first ``FULL`` written out, the others short forms.
+FULL = 41
+WORDS = (
+    "account action active array batch block branch buffer button cache client column config content context counter cursor customer default device "
+    "document element entry event factory field filter handler header image index input invoice item language layer list manager message metadata method "
+    "abs api arg attr auth bg blk btn buf bytes cb cfg char cnt conv cpu csv ctx db dbl dev dict diff dst env fmt fn gpu hdr html http hw idx img init "
+    "int io ip jpg js json jwt kb key kv len lhs lib ln lvl max md mgr min msg mtx mux nav num obj pct phy pkg pkt pos ptr px qty ref reg req rhs rpc rx "
+    "sql src sys tbl tcp tls tmp tx txt udp uid ui url usb utf util val vec vm ws xhr xls xml yaml zip"
+).split()
+#: Fields of hex that is no key.
+HEX_FIELDS = "00000000 FFFFFFFF DEADBEEF CAFEBABE C0DE F00D FACE 12345678 ABCDEF 55AA A5A5A5A5 0001".split()
 #: Frequent letter pairs of prose.
 PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur co me li ri ro ic ne io ct la el us ge".split()
 #: A run is full of them when they are this share of at least so many pairs of letters; a random run is so less than once in a thousand times.
 PAIR_SHARE, LEAST_PAIRS = 0.3, 8
-#: Null runs that a stratum should have of its own.
-ENOUGH_NULL = 50
 #: Matches whose positions are summed up together; keeps prefix sums from being quadratic in the matches.
 BLOCK = 64
 #: Code points of a chunk of a text that is cut up.
@@ -179,22 +198,26 @@ def _p_value(hit: F.Column, encoding: F.Column) -> F.Column:
     shares = [[sum(c * CLASSES // len(a) == k for c in range(len(a))) / len(a) for k in range(CLASSES)] for _, a in ENCODINGS]
     shares_of = F.array(*[F.array(*[F.lit(x) for x in row]) for row in shares])
 
+    def measured(s: F.Column) -> F.Column:
+        """What the tests read more than once: neighbours, the mean, and the share above the middle."""
+        codes, n = s["codes"], F.size(s["codes"]).cast("double")
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        middle = F.aggregate(codes, F.lit(0.0), lambda t, c: t + c) / n
+        high = F.size(F.filter(codes, lambda c: 2 * c >= s["size"])) / n
+        return F.struct(codes.alias("codes"), s["size"].alias("size"), s["share"].alias("share"), n.alias("n"), pairs.alias("pairs"), middle.alias("middle"), high.alias("high"))
+
     def tested(s: F.Column) -> F.Column:
-        codes, size, share = s["codes"], s["size"], s["share"]
-        n = F.size(codes).cast("double")
+        codes, size, share, n, pairs, middle, high = (s[c] for c in ("codes", "size", "share", "n", "pairs", "middle", "high"))
         counts = F.transform(share, lambda p, k: F.size(F.filter(codes, lambda c: F.floor(c * CLASSES / size) == k)) / n)
         chi = n * F.aggregate(F.zip_with(counts, share, lambda o, e: (o - e) * (o - e) / e), F.lit(0.0), lambda t, x: t + x)
         df = CLASSES - 1
         uniform = _upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.lit((2 / (9 * df)) ** 0.5))
 
-        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        high = F.size(F.filter(codes, lambda c: 2 * c >= size)) / n
         runs = 1 + F.size(F.filter(pairs, lambda p: (2 * p["a"] >= size) != (2 * p["b"] >= size)))
         mean_less_one = 2 * n * high * (1 - high)
         variance = mean_less_one * (mean_less_one - 1) / (n - 1)
         runs_p = F.when(variance > 0, 2 * _upper_tail(F.abs(runs - 1 - mean_less_one) / F.sqrt(F.greatest(variance, F.lit(1e-9))))).otherwise(0.0)
 
-        middle = F.aggregate(codes, F.lit(0.0), lambda t, c: t + c) / n
         spread = F.aggregate(codes, F.lit(0.0), lambda t, c: t + (c - middle) * (c - middle))
         product = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + (p["a"] - middle) * (p["b"] - middle))
         serial_p = F.when(spread > 0, 2 * _upper_tail(F.abs(product / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(0.0)
@@ -203,9 +226,8 @@ def _p_value(hit: F.Column, encoding: F.Column) -> F.Column:
 
     alphabet = F.get(alphabets, encoding)
     codes = F.transform(F.split(F.translate(hit, "-_", "+/"), ""), lambda c: F.call_function("locate", c, alphabet) - 1)
-    return _let(
-        F.struct(codes.alias("codes"), F.char_length(alphabet).alias("size"), F.get(shares_of, encoding).alias("share")), tested
-    )
+    known = F.struct(codes.alias("codes"), F.char_length(alphabet).alias("size"), F.get(shares_of, encoding).alias("share"))
+    return _let(_let(known, measured), tested)
 
 
 def _word_like(hit: F.Column) -> F.Column:
@@ -216,57 +238,105 @@ def _word_like(hit: F.Column) -> F.Column:
     return (pairs >= LEAST_PAIRS) & (frequent >= PAIR_SHARE * pairs)
 
 
+def _scored(found: F.Column, *places: F.Column) -> F.Column:
+    """Struct (places, encoding, stratum, word_like, p) of a run."""
+
+    def judged(run: F.Column) -> F.Column:
+        n = F.char_length(run["hit"])
+        stratum = sum((F.when(n >= least, 1).otherwise(0) for least in STRATA[1:]), F.lit(0))
+        return F.struct(
+            *places,
+            run["encoding"].alias("encoding"),
+            stratum.alias("stratum"),
+            ((run["encoding"] >= HEX_ENCODINGS) & _word_like(run["hit"])).alias("word_like"),
+            F.when(run["encoding"] >= 0, _p_value(run["hit"], run["encoding"])).otherwise(F.lit(-1.0)).alias("p"),
+        )
+
+    return _let(_let(_bare(found), lambda hit: F.struct(hit.alias("hit"), _encoding(hit).alias("encoding"))), judged)
+
+
 def _candidates(text: F.Column) -> F.Column:
     """Array of structs (start, end, encoding, stratum, word_like, p) of the runs that have an encoding."""
 
     def tested(m: F.Column) -> F.Column:
-        def judged(run: F.Column) -> F.Column:
-            n = F.char_length(run["hit"])
-            stratum = sum((F.when(n >= least, 1).otherwise(0) for least in STRATA[1:]), F.lit(0))
-            return F.struct(
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                run["encoding"].alias("encoding"),
-                stratum.alias("stratum"),
-                _word_like(run["hit"]).alias("word_like"),
-                F.when(run["encoding"] >= 0, _p_value(run["hit"], run["encoding"])).otherwise(F.lit(-1.0)).alias("p"),
-            )
-
-        return _let(_let(_bare(m["hit"]), lambda hit: F.struct(hit.alias("hit"), _encoding(hit).alias("encoding"))), judged)
+        return _scored(m["hit"], m["start"].alias("start"), m["end"].alias("end"))
 
     return F.filter(F.transform(_matches(text, CANDIDATE, []), tested), lambda c: c["encoding"] >= 0)
 
 
-def _null_counts(null: dict[tuple[int, int], list[int]], encoding: int, stratum: int) -> list[int]:
-    """Null runs above each threshold, all of them first: of the stratum, then borrowed until there are enough."""
-    lengths = sorted(range(len(STRATA)), key=lambda s: (s != stratum, s > stratum, abs(s - stratum)))
-    order = [(encoding, stratum)] + [(e, s) for s in lengths for e in range(len(ENCODINGS)) if (e, s) != (encoding, stratum)]
-    total = [0] * (len(GRID) + 1)
-    for key in order:
-        if total[0] >= ENOUGH_NULL:
-            break
-        total = [a + b for a, b in zip(total, null.get(key, [0] * len(total)), strict=True)]
-    return total
+def reference_runs(spark: SparkSession) -> DataFrame:
+    """(encoding, stratum, p) of REFERENCE names or hex fields for each encoding and length; always the same."""
+    n = len(STRATA)
+    rows = spark.range(len(ENCODINGS) * n * REFERENCE).select(
+        "id", F.expr(f"cast(id % {len(ENCODINGS)} as int)").alias("style"), F.expr(f"cast(id div {len(ENCODINGS)} % {n} as int)").alias("band")
+    )
+
+    def drawn(i: F.Column | int, below: F.Column | int) -> F.Column:
+        return F.pmod(F.xxhash64("id", F.lit(i) if isinstance(i, int) else i), F.lit(below) if isinstance(below, int) else below).cast("int")
+
+    least = F.array(*map(F.lit, STRATA))
+    span = F.array(*(F.lit(b - a) for a, b in zip(STRATA, [*STRATA[1:], 2 * STRATA[-1]], strict=True)))
+    length = F.get(least, F.col("band")) + drawn(-1, F.get(span, F.col("band")))
+    places = F.sequence(F.lit(0), F.floor(F.col("length") / 3).cast("int") + 2)
+    number = lambda i: drawn(i + 10_000, 1000).cast("string")
+    # One word in four is a short form; a number comes second and seldom again.
+    short = lambda i: F.get(F.array(*map(F.lit, WORDS[FULL:])), drawn(i, len(WORDS) - FULL))
+    word = lambda i: F.when(drawn(i + 50_000, 4) == 0, short(i)).otherwise(F.get(F.array(*map(F.lit, WORDS[:FULL])), drawn(i, FULL)))
+    numbered = lambda i: (i == 1) | (drawn(i + 20_000, 10) == 0)
+    item = lambda i: F.when(numbered(i), number(i)).otherwise(word(i))
+    base32 = lambda i: F.when(numbered(i), F.translate(number(i), "0189", "2345")).otherwise(word(i))
+    field = lambda i: (
+        F.when(drawn(i + 30_000, 3) == 0, F.lpad(F.hex(drawn(i, 4096)), 8, "0"))
+        .when(drawn(i + 30_000, 3) == 1, F.concat(F.lit("20"), F.lpad(drawn(i, 30).cast("string"), 2, "0"), F.lpad((drawn(i + 40_000, 12) + 1).cast("string"), 2, "0"), F.lit("15")))
+        .otherwise(F.get(F.array(*map(F.lit, HEX_FIELDS)), drawn(i, len(HEX_FIELDS))))
+    )
+    joined = lambda items, mark="": F.array_join(F.transform(places, items), mark)
+    camel = lambda of: lambda i: F.when(i == 0, of(i)).otherwise(F.initcap(of(i)))
+    mark = F.get(F.array(F.lit("_"), F.lit("-"), F.lit("/")), drawn(-2, 3))
+    styles = {
+        "hex": F.lower(joined(field)),
+        "upper_hex": joined(field),
+        "base32": F.upper(joined(base32)),
+        "lower_base32": joined(base32),
+        "base36": joined(item),
+        "upper_base36": F.upper(joined(item)),
+        "letters": joined(camel(word)),
+        "alnum": joined(camel(item)),
+        "base64": F.array_join(F.transform(places, lambda i: F.concat(F.when(i > 0, mark).otherwise(""), item(i))), ""),
+    }
+    made = reduce(lambda rest, number: F.when(F.col("style") == number, styles[ENCODINGS[number][0]]).otherwise(rest), range(len(ENCODINGS)), F.lit(""))
+    named = rows.withColumn("length", length).select(F.explode(F.array(F.substring(made, F.lit(1), F.col("length")))).alias("name"))  # evaluated once
+    return named.select(F.explode(F.array(_scored(F.col("name")))).alias("c")).filter("c.encoding >= 0").select("c.encoding", "c.stratum", "c.p")
 
 
 def thresholds(runs: DataFrame, level: float) -> dict[tuple[int, int], float]:
-    """The score above which a run that is not word-like counts as random, by (encoding, stratum); strata where none serves are missing.
+    """The least score of a run that is not word-like and counts as random, by (encoding, stratum); strata where none serves are missing.
 
-    ``runs`` has a row for each run, as the struct ``c``.
+    ``runs`` has a row for each run, as the struct ``c``. Runs of one score are counted together first.
     """
-    above = [F.count(F.when(F.col("c.p") > t, 1)).alias(f"t{i}") for i, t in enumerate(GRID)]
-    counted = runs.groupBy("c.encoding", "c.stratum", "c.word_like").agg(F.count(F.lit(1)).alias("all"), *above)
-    null, tested = {}, {}
-    for row in counted.collect():  # twice encodings times strata
-        (null if row["word_like"] else tested)[row["encoding"], row["stratum"]] = [row["all"], *(row[f"t{i}"] for i in range(len(GRID)))]
-    found = {}
-    for key, (runs_tested, *kept) in tested.items():
-        nulls, *exceeding = _null_counts(null, *key)
-        for t, discoveries, over in zip(GRID, kept, exceeding, strict=True):
-            if discoveries and nulls and runs_tested * (1 + over) / (1 + nulls) <= level * discoveries:
-                found[key] = t
-                break
-    return found
+    names, cell, own = ["encoding", "stratum"], F.floor(F.col("p") * CELLS).alias("cell"), F.col("c.word_like").cast("long")
+    both = runs.select("c.encoding", "c.stratum", "c.p", own.alias("null"), (1 - own).alias("tested")).union(
+        reference_runs(runs.sparkSession).persist().select(*names, "p", F.lit(1).cast("long"), F.lit(0).cast("long"))  # some thousand rows, kept for the session
+    )
+    scores = both.groupBy(*names, "p").agg(F.sum("null").alias("null"), F.sum("tested").alias("tested")).withColumn("cell", cell)
+    cells = scores.groupBy(*names, "cell").agg(F.sum("null").alias("cell_null"), F.sum("tested").alias("cell_tested"))  # at most CELLS a stratum
+    whole, higher = Window.partitionBy(*names), Window.partitionBy(*names).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    based = cells.select(
+        *names,
+        "cell",
+        *(F.sum(f"cell_{c}").over(whole).alias(f"all_{c}") for c in ("null", "tested")),
+        *(F.coalesce(F.sum(f"cell_{c}").over(higher), F.lit(0)).alias(f"above_{c}") for c in ("null", "tested")),
+    )
+    inside = Window.partitionBy(*names, "cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nulls, found = (F.col(f"above_{c}") + F.sum(c).over(inside) for c in ("null", "tested"))
+    ranked = scores.join(based, [*names, "cell"]).select(*names, "p", "tested", "all_null", "all_tested", nulls.alias("nulls"), found.alias("found"))
+    ranked = ranked.withColumn("chance", (1 + F.col("nulls")) / (1 + F.col("all_null")))
+    unlike = ranked.groupBy(*names).agg(F.sum(F.when(F.col("chance") > 0.5, F.col("tested")).otherwise(0)).alias("unlike"))  # a row for each stratum
+    ranked = ranked.join(F.broadcast(unlike), names)
+    names_among = F.least("all_tested", 2 * (F.col("unlike") + 1))
+    within = names_among * F.col("chance") <= level * F.col("found")
+    kept = ranked.filter((F.col("p") >= LEAST_SCORE) & (F.col("found") > 0) & within).groupBy(*names).agg(F.min("p").alias("least"))
+    return {(row["encoding"], row["stratum"]): row["least"] for row in kept.collect()}  # encodings times strata at most
 
 
 def _searched(docs: DataFrame, level: float) -> DataFrame:
@@ -281,13 +351,11 @@ def _judged(searched: DataFrame, level: float) -> DataFrame:
     if not limits:
         return searched.withColumn("secrets", base)
     passes = reduce(
-        lambda rest, item: lambda c: ((c["encoding"] == item[0][0]) & (c["stratum"] == item[0][1]) & (c["p"] > item[1])) | rest(c),
+        lambda rest, item: lambda c: ((c["encoding"] == item[0][0]) & (c["stratum"] == item[0][1]) & (c["p"] >= item[1])) | rest(c),
         sorted(limits.items()),
         lambda c: F.lit(False),
     )
-    clear = F.filter(
-        "secrets.runs", lambda c: ~c["word_like"] & passes(c) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    )
+    clear = F.filter("secrets.runs", lambda c: ~c["word_like"] & passes(c))
     extra = F.transform(clear, lambda c: F.struct(c["start"], F.lit(KINDS.index("random")).alias("kind"), c["end"]).cast(SPAN))
     return searched.withColumn("secrets", F.array_sort(F.concat(base, extra)))
 
@@ -295,9 +363,9 @@ def _judged(searched: DataFrame, level: float) -> DataFrame:
 def find_secrets(docs: DataFrame, level: float = 0.1) -> DataFrame:
     """``docs`` with ``secrets``: array of (start, kind, end), by start, then kind; kind indexes KINDS.
 
-    Offsets are code points of the whole text, ends exclusive. Spans of the method that overlap a
-    base span are left out. Null and empty texts have no spans; repeated rows get equal spans; an
-    empty table gives no rows; a column of ``docs`` named secrets is replaced.
+    Offsets are code points of the whole text, ends exclusive. A run may be found by a base rule and
+    by the method, and then has a span of each. Null and empty texts have no spans; repeated rows get
+    equal spans; an empty table gives no rows; a column of ``docs`` named secrets is replaced.
     """
     return _searched(docs.drop("secrets"), level)
 
