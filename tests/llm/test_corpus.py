@@ -246,6 +246,30 @@ def test_false_discoveries_are_within_the_level(spark):
     assert len(found[0.2]) > len(found[0.0001])
 
 
+@pytest.mark.parametrize("names", [0, 4, 8])
+def test_keys_are_found_whatever_else_the_table_has(spark, names):
+    rng = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(200)]
+    found = spans_found(spark, keys + camel_names(rng, names))
+    assert sum(i < 200 for i in found) >= 190 and not any(i >= 200 for i in found)
+    assert spans_found(spark, [FORMS["upper hex"](rng)]) == {0}  # a key alone
+
+
+def test_the_reference_covers_every_stratum(spark):
+    """Names for each encoding and length, ten for each unit of 1 / level at least; they score low and do not change."""
+    rows = secret_scan.reference_runs(spark).collect()
+    cells = Counter((r["encoding"], r["stratum"]) for r in rows)
+    assert len(cells) == len(secret_scan.ENCODINGS) * len(secret_scan.STRATA) and min(cells.values()) >= 100
+    assert sum(r["p"] < 0.1 for r in rows) > 0.7 * len(rows) and sorted(rows) == sorted(secret_scan.reference_runs(spark).collect())
+
+
+@pytest.mark.parametrize("level", [0.1, 0.3])
+def test_counters_and_dates_are_no_discoveries(spark, level):
+    plain = [f"0x{'0' * 16}{i:06X}FACE" for i in range(300)] + [f"2024{m:02d}{d:02d}T00000000Z{m:04d}" for m in range(1, 13) for d in range(1, 29)]
+    assert len(spans_found(spark, plain, level)) <= 3
+
+
 def brute_score(run, alphabet):
     """The three tests in plain Python."""
     tail = lambda z: 1 / (1 + np.exp(1.5976 * min(max(z, -8), 8) + 0.07056 * min(max(z, -8), 8) ** 3))
@@ -275,7 +299,7 @@ def brute_word_like(run):
 
 
 def test_random_spans_equal_a_plain_version(spark):
-    """Scores, known names, borrowed nulls, thresholds and spans, all in plain Python."""
+    """Scores, known names, p-values, thresholds and spans, all in plain Python but for the names of the reference."""
     rng = np.random.default_rng(12)
     keys = [FORMS[form](rng) for form in FORMS for _ in range(12)]
     tails = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n)) for n in (20, 30, 50, 90, 200) * 4]
@@ -291,20 +315,16 @@ def test_random_spans_equal_a_plain_version(spark):
             has = [bool(re.search(p, run)) for p in ("[0-9]", "[a-z]", "[A-Z]")]
             if sum(has) >= 2 and kinds:
                 stratum = sum(len(run) >= least for least in secret_scan.STRATA[1:])
-                runs.append((doc, m.start(), m.end(), kinds[0], stratum, brute_word_like(run), brute_score(run, secret_scan.ENCODINGS[kinds[0]][1])))
-    spans = set()
+                runs.append((doc, m.start(), m.end(), kinds[0], stratum, kinds[0] >= 2 and brute_word_like(run), brute_score(run, secret_scan.ENCODINGS[kinds[0]][1])))
+    spans, reference = set(), secret_scan.reference_runs(spark).collect()
     for key in {(r[3], r[4]) for r in runs if not r[5]}:
-        mine = [r for r in runs if (r[3], r[4]) == key and not r[5]]
-        null = []
-        for stratum in sorted(range(6), key=lambda s: (s != key[1], s > key[1], abs(s - key[1]))):
-            for kind in sorted(range(len(names)), key=lambda e: (stratum != key[1] or e != key[0], e)):
-                if len(null) < 50:
-                    null += [r[6] for r in runs if (r[3], r[4]) == (kind, stratum) and r[5]]
-        for t in secret_scan.GRID:
-            kept = [r for r in mine if r[6] > t]
-            if kept and null and len(mine) * (1 + sum(x > t for x in null)) / (1 + len(null)) <= 0.1 * len(kept):
-                spans |= {r[:3] for r in kept if not any(a < r[2] and r[1] < b for a, _, b in brute_spans(texts[r[0]]))}
-                break
+        mine = sorted(r[6] for r in runs if (r[3], r[4]) == key and not r[5])
+        null = [r[6] for r in runs if (r[3], r[4]) == key and r[5]] + [r["p"] for r in reference if (r["encoding"], r["stratum"]) == key]
+        p_value = lambda score, null=null: (1 + sum(x >= score - 1e-12 for x in null)) / (1 + len(null))
+        names_among = min(len(mine), 2 * (1 + sum(p_value(s) > 0.5 for s in mine)))
+        kept = [s for n, s in enumerate(mine) if s >= secret_scan.LEAST_SCORE and names_among * p_value(s) <= 0.1 * (len(mine) - n)]  # Benjamini-Hochberg
+        if kept:
+            spans |= {r[:3] for r in runs if (r[3], r[4]) == key and not r[5] and r[6] >= kept[0]}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = secret_scan.secret_spans(docs).collect()
     assert {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["secrets"] if s["kind"] == 3} == spans and len(spans) > 60
