@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rankfield.llm.tables import discard, staged
 
 #: Candidates of a block and queries of a chunk at most, about.
-MOST_BLOCK, MOST_CHUNK = 65_536, 32_768
+MOST_BLOCK, MOST_CHUNK = 65_536, 65_536
 #: Pairs of a query and a candidate held as matrices at a time, and pairs followed one by one at a time.
 CELLS, PAIRS = 2_000_000, 100_000
 #: Width of a column block.
@@ -343,22 +343,27 @@ def _scanner(index: Index, k: int):
 
 
 def _by_group(parts: list[int]) -> F.Column:
-    """The number of blocks of the row's group; groups are about the cube root of the table in number and lists at most."""
+    """The number of blocks or chunks of the row's group; groups are about the cube root of the table in number and lists at most."""
     return F.get(F.array(*[F.lit(n) for n in parts]), F.col("group"))
 
 
-def _scanned(index: Index, k: int, listed: DataFrame, probing: DataFrame, blocks: list[int], chunks: int) -> DataFrame:
-    """(query_id, twin, vec_id, score): what the probed lists give, up to k rows a query from each block."""
-    every = F.explode(F.sequence(F.lit(0), _by_group(blocks) - 1))
-    left = listed.select(
+def _scanned(index: Index, k: int, listed: DataFrame, probing: DataFrame, blocks: list[int]) -> DataFrame:
+    """(query_id, twin, vec_id, score): what the probed lists give, up to k rows a query from each block.
+
+    A group's candidates are copied once for each chunk of the queries that probe this group.
+    """
+    asking = {r["group"]: r["count"] for r in probing.groupBy("group").count().collect()}  # a number per group
+    chunks = [-(-asking.get(g, 0) // MOST_CHUNK) for g in range(len(blocks))]
+    left = listed.filter(_by_group(chunks) > 0).select(
         "group",
         F.pmod(F.xxhash64("vec_id", "embedding"), _by_group(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), _by_group(chunks) - 1)).alias("chunk"),
         "vec_id",
         "embedding",
         "list",
     )
-    chunk = F.pmod(F.xxhash64("query_id", "twin"), F.lit(chunks)).cast("int").alias("chunk")
+    every = F.explode(F.sequence(F.lit(0), _by_group(blocks) - 1))
+    chunk = F.pmod(F.xxhash64("query_id", "twin"), _by_group(chunks)).cast("int").alias("chunk")
     right = probing.select("group", every.alias("block"), chunk, "query_id", "twin", "query", "bound", "lists")
     key = ["group", "block", "chunk"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_scanner(index, k), FOUND)
@@ -390,10 +395,11 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, sample: int = 81
     asked = staged(rows.filter(queries).distinct().select(F.col("vec_id").alias("query_id"), twin, F.col("embedding").alias("query")), "queries")
     sizes = {r["group"]: r["count"] for r in listed.groupBy("group").count().collect()}  # a number per group
     blocks = [max(1, -(-sizes.get(g, 1) // MOST_BLOCK)) for g in range(index.groups.max() + 1)]
-    chunks = max(1, -(-asked.count() // MOST_CHUNK))
+    spent = []
 
     def scanned(probing: DataFrame, home: bool | None) -> DataFrame:
-        return _scanned(index, k, listed, probing.mapInArrow(_prober(index, k, home), PROBE.format(kind=kind)), blocks, chunks)
+        spent.append(staged(probing.mapInArrow(_prober(index, k, home), PROBE.format(kind=kind)), "probes"))
+        return _scanned(index, k, listed, spent[-1], blocks)
 
     own = staged(_nearest_of(scanned(asked, True), k).drop("rank"), "home")
     reached = own.groupBy("query_id", "twin").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -403,7 +409,7 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, sample: int = 81
     full = found.groupBy("query_id", "twin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("query_id", "twin")
     short = asked.join(full, ["query_id", "twin"], "left_anti") if enough else asked.filter("false")
     result = found
-    discard(known, own)
+    discard(known, own, *spent)
     if not short.isEmpty():
         result = found.join(full, ["query_id", "twin"], "left_semi").unionByName(_nearest_of(scanned(short, None), k))
     return result.select("query_id", "rank", "vec_id", "score")
