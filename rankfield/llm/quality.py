@@ -4,8 +4,7 @@ Words (runs of letters, digits and other non-ASCII characters; runs of marks) ar
 48-bit hashes. Each word has a sparse index vector derived from its hash; its context vector is the
 sum of the index vectors of the words up to ``WINDOW`` places away, over all documents. These sums
 are integers, added up in blocks of texts and then over a shuffle by word, so they do not depend on
-how the work was divided; what a block gets back of a frequent word's vector is its direction, to one
-part in seven of its largest number. A document's features pool its words' context vectors (mean and spread),
+how the work was divided; a block gets them back as they are, and beyond 16 bits as directions of that precision. A document's features pool its words' context vectors (mean and spread),
 with the shares of distinct words and of repeats, and lengths. A two-layer network in numpy is fitted on labelled rows and its
 logits are divided by a temperature fitted on rows that the weights never saw.
 
@@ -30,8 +29,8 @@ from rankfield.llm.tables import staged
 DIM, NONZERO, WINDOW = 32, 4, 2
 #: Bits of a word's hash, a multiple of 8; words are dealt by this many leading ones of them at least.
 WORD_BITS, PART_BITS = 48, 10
-#: Magnitudes of vectors that are packed alike, and the largest number of a vector that is given back.
-MAGNITUDES, LARGEST = (1, 2, 3, 7, 31, 127), 7
+#: Magnitudes of vectors that are packed alike, and the largest number of a vector that is given back; larger vectors lose less than a float of 32 bits does in pooling.
+MAGNITUDES, LARGEST = (1, 2, 3, 7, 31, 127), 32767
 #: Text bytes of a block, and words of sets pooled at a time.
 BLOCK_BYTES, SLICE_WORDS = 32 << 20, 100_000
 #: Neighbours counted at a time.
@@ -154,7 +153,8 @@ def _packed(vectors: np.ndarray) -> bytes:
     parts = [_squeezed(kind.astype(np.uint8).tobytes())]
     for k, largest in enumerate(MAGNITUDES):
         parts.append(_squeezed(_digits(vectors[kind == k], largest)))
-    parts.append(_squeezed(vectors[kind == len(MAGNITUDES)].astype(np.int64).tobytes()))
+    large = vectors[kind == len(MAGNITUDES)].astype(np.int64).ravel()
+    parts.append(_squeezed(_planes((large << 1) ^ (large >> 63), 8)))  # signs last, so that high planes are empty
     return b"".join([np.array([len(p) for p in parts], np.uint32).tobytes(), *parts])
 
 
@@ -166,12 +166,17 @@ def _unpacked(packed: pa.Buffer) -> np.ndarray:
     vectors = np.empty((len(kind), DIM), dtype=np.int64)
     for k, part in enumerate(parts):
         rows = kind == k
-        vectors[rows] = _from_digits(part, rows.sum(), MAGNITUDES[k]) if k < len(MAGNITUDES) else np.frombuffer(part, np.int64).reshape(-1, DIM)
+        vectors[rows] = _from_digits(part, rows.sum(), MAGNITUDES[k]) if k < len(MAGNITUDES) else _from_signed_planes(part).reshape(-1, DIM)
     return vectors
 
 
+def _from_signed_planes(raw: bytes) -> np.ndarray:
+    folded = _from_planes(raw, 0, len(raw) // 8, 8)
+    return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
+
+
 def _given_back(sums: np.ndarray) -> np.ndarray:
-    """Context vectors as blocks get them: as they are while small; the direction, in LARGEST steps, of others."""
+    """Context vectors as blocks get them: as they are in 16 bits; of larger ones the direction in 16 bits."""
     most = np.abs(sums).max(axis=1, keepdims=True, initial=0)
     return np.where(most <= LARGEST, sums, np.rint(sums * (LARGEST / np.maximum(most, 1)))).astype(np.int64)
 
