@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfield.functions import clean
+from rankfield.operators.store import filled, stable
 
 # Fixed values.
 POINTS, BONUS, PICKS = 33.33, 10.0, 3
@@ -157,16 +158,26 @@ def worst_run(runs: DataFrame, *metrics: str) -> DataFrame:
 
 
 def heuristic_picks(entries: DataFrame) -> DataFrame:
-    """(race_id, predicted, confidence): three entries by year rate plus a share of the odds, total rate, then odds rank.
+    """(race_id, predicted, confidence): three entries by place rate and a share of the odds, then total rate, then odds rank.
 
-    Rows have year_rate, total_rate, win_odds, odds_rank; confidence is 0.52 + 0.45 of the picks' mean score within [0.55, 0.88].
+    Rows have the counters starts_y, places_y, starts_t, places_t (null is 0), win_odds (null is 99)
+    and odds_rank (null is 999). The total rate is places_t / (starts_t + 15), the year's rate
+    places_y / (starts_y + 2), or the total one for an entry without a start. Confidence is 0.52 +
+    0.45 of the picks' mean score, within [0.55, 0.88]. An event with fewer than three entries has
+    no picks and confidence 0.
     """
-    score = F.col("year_rate") + 0.06 / F.greatest(F.col("win_odds"), F.lit(1.01))
-    scored = entries.withColumn("score", score)
-    place = F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc("score"), F.desc("total_rate"), "odds_rank", "entry_no"))
-    best = scored.withColumn("place", place).filter(F.col("place") <= PICKS)
-    grouped = best.groupBy("race_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry_no"))), lambda x: x["entry_no"]).alias("predicted"), F.avg("score").alias("mean"))
-    return grouped.select("race_id", "predicted", F.least(F.greatest(0.52 + 0.45 * F.col("mean"), F.lit(0.55)), F.lit(0.88)).alias("confidence"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    total = count("places_t") / (count("starts_t") + 15)
+    year = F.when(count("starts_y") > 0, count("places_y") / (count("starts_y") + 2)).otherwise(total)
+    scored = entries.select(
+        "race_id", "entry_no", (year + 0.06 / F.greatest(F.coalesce("win_odds", F.lit(99.0)), F.lit(1.01))).alias("score"), total.alias("total"), F.coalesce("odds_rank", F.lit(999)).alias("odds_rank")
+    )
+    order = F.struct((-F.col("score")).alias("a"), (-F.col("total")).alias("b"), "odds_rank", "entry_no", "score")
+    best = scored.groupBy("race_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, PICKS).alias("best"))  # an event's entries are tens
+    mean = F.aggregate("best", F.lit(0.0), lambda s, x: s + x["score"]) / PICKS
+    enough = F.size("best") == PICKS
+    picked = F.when(enough, F.transform("best", lambda x: x["entry_no"])).otherwise(F.array().cast("array<int>"))
+    return best.select("race_id", picked.alias("predicted"), F.when(enough, F.least(F.greatest(0.52 + 0.45 * mean, F.lit(0.55)), F.lit(0.88))).otherwise(0.0).alias("confidence"))
 
 
 def changed_state(entries: DataFrame, notices: DataFrame, source_present: Column) -> DataFrame:
@@ -199,16 +210,16 @@ def entry_number(c: Column) -> Column:
 
 
 def normalised_before_split(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Entries (race_id, chul_no and fields as text) with a number, one per (event, number): the fullest, then the first as text.
+    """Entries (race_id, chul_no and fields, nested ones too) with a number, one per (event, number): the fullest, then the first as text.
 
-    ``copies`` says how many rows stood for it.
+    Leaves are counted at any depth. ``copies`` says how many rows stood for it.
     """
-    number = entry_number(F.col("chul_no"))
-    filled = sum((F.coalesce((clean.text(F.col(c)).isNotNull()).cast("int"), F.lit(0)) for c in fields), F.lit(0))
-    key = Window.partitionBy("race_id", "chul_no")
-    numbered = rows.withColumn("chul_no", number).filter("chul_no IS NOT NULL")
-    ranked = numbered.withColumn("_n", F.row_number().over(key.orderBy(F.desc(filled), F.to_json(F.struct(*sorted(fields)))))).withColumn("copies", F.count(F.lit(1)).over(key))
-    return ranked.filter("_n = 1").drop("_n")
+    numbered = rows.withColumn("chul_no", entry_number(F.col("chul_no"))).filter("chul_no IS NOT NULL")
+    whole = F.struct(*fields)
+    kind = numbered.select(whole.alias("x")).schema["x"].dataType
+    order = F.struct((-filled(whole, kind)).alias("n"), F.to_json(stable(whole, kind)).alias("text"))
+    best = numbered.groupBy("race_id", "chul_no").agg(F.min_by(whole, order).alias("_row"), F.count(F.lit(1)).alias("copies"))
+    return best.select("race_id", "chul_no", "_row.*", "copies")
 
 
 def past_of_either_key(targets: DataFrame, past: DataFrame) -> DataFrame:

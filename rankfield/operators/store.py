@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
@@ -41,14 +42,44 @@ def month_cutoff(today: Column, keep_months: int) -> Column:
     return F.add_months(F.trunc(today, "month"), 1 - keep_months)
 
 
-def filled_fields(columns: list[str]) -> Column:
-    """How many columns are neither null nor blank."""
-    return reduce(lambda a, b: a + b, [F.coalesce((F.trim(F.col(c).cast("string")) != "").cast("int"), F.lit(0)) for c in columns])
+def filled(value: Column, kind: T.DataType) -> Column:
+    """How many leaves of a value are filled, at any depth; null, blank text, NaN and infinite numbers are not."""
+    if isinstance(kind, T.StructType):
+        parts = [filled(value[f.name], f.dataType) for f in kind.fields]
+        return F.when(value.isNotNull(), reduce(lambda a, b: a + b, parts, F.lit(0))).otherwise(0)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        items, of = (value, kind.elementType) if isinstance(kind, T.ArrayType) else (F.map_values(value), kind.valueType)
+        return F.coalesce(F.aggregate(items, F.lit(0), lambda n, x: n + filled(x, of)), F.lit(0))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        present = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    else:
+        present = F.trim(value.cast("string")) != "" if isinstance(kind, T.StringType) else value.isNotNull()
+    return F.coalesce(present.cast("int"), F.lit(0))
+
+
+def filled_fields(rows: DataFrame, columns: list[str] | None = None) -> Column:
+    """How many leaves of the columns are filled."""
+    return reduce(lambda a, b: a + b, [filled(F.col(c), rows.schema[c].dataType) for c in columns or rows.columns], F.lit(0))
+
+
+def stable(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs in the order of their names, at any depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[stable(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: stable(x, kind.elementType))
+    return value
 
 
 def canonical_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Deduplicate by key: the fullest row stays, ties go to the smallest JSON text."""
-    return keep_latest(rows, keys, F.desc(filled_fields(rows.columns)), F.asc(F.to_json(F.struct(*sorted(rows.columns)))))
+    """Deduplicate by key: the row with the most filled leaves stays, ties go to the smallest JSON text.
+
+    An aggregation with partial results, so copies of a frequent key never meet in one task.
+    """
+    whole = F.struct(*rows.columns)
+    text = F.to_json(stable(whole, rows.schema))
+    best = F.min_by(whole, F.struct((-filled_fields(rows)).alias("n"), text.alias("text")))
+    return rows.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
 
 
 def truthy(c: Column) -> Column:

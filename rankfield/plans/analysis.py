@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankfield.functions import clean
 from rankfield.operators import analysis as A
 from rankfield.plans.analogue import ENTRIES_SQL, EVENTS_SQL, entries, events
+from rankfield.plans.prediction import HISTORY_SQL, finished, with_history
 from rankfield.plans.registry import query
 from rankfield.sources.tables import table
 
@@ -209,16 +210,20 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH "
-    + ENTRIES_SQL
-    + """, o_v AS (SELECT race_id, entry_no, CASE WHEN win_odds > 0 THEN row_number() OVER (PARTITION BY race_id, coalesce(win_odds > 0, false) ORDER BY win_odds, entry_no) ELSE 99 END AS odds_rank, horse_id % 7 / (horse_id % 9 + 2.0e0) + 0.06e0 / greatest(coalesce(win_odds, 999), 1.01e0) AS score, horse_id % 11 / 20.0e0 AS total_rate FROM entries_v),
-        r AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score DESC, total_rate DESC, odds_rank, entry_no) AS place FROM o_v)
-        SELECT race_id, string_agg(entry_no::VARCHAR, ',' ORDER BY place) AS predicted, round(least(greatest(0.52 + 0.45 * avg(score), 0.55), 0.88), 6) AS confidence FROM r WHERE place <= 3 GROUP BY 1"""
+    + HISTORY_SQL
+    + """, o_v AS (
+            SELECT race_id, entry_no, CASE WHEN win_odds > 0 THEN row_number() OVER (PARTITION BY race_id, coalesce(win_odds > 0, false) ORDER BY win_odds, entry_no) ELSE 99 END AS odds_rank,
+                top3_t / (starts_t + 15) AS total, CASE WHEN starts > 0 THEN top3 / (starts + 2) ELSE top3_t / (starts_t + 15) END AS year, greatest(coalesce(win_odds, 99), 1.01) AS odds FROM history_v),
+        r AS (SELECT *, year + 0.06::DOUBLE / odds AS score FROM o_v),
+        p AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score DESC, total DESC, odds_rank, entry_no) AS place, count(*) OVER (PARTITION BY race_id) AS n FROM r)
+        SELECT race_id, CASE WHEN n >= 3 THEN string_agg(entry_no::VARCHAR, ',' ORDER BY place) ELSE '' END AS predicted,
+            round(CASE WHEN n >= 3 THEN least(greatest(0.52 + 0.45 * avg(score), 0.55), 0.88) ELSE 0 END, 6) AS confidence FROM p WHERE place <= 3 GROUP BY race_id, n"""
 )
 def heuristic_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three entries of every event by the heuristic, with its confidence."""
-    h = F.col("horse_id")
-    rows = A.with_odds_rank(entries(spark, sf_dir)).select("race_id", "entry_no", "odds_rank", F.coalesce("win_odds", F.lit(999.0)).alias("win_odds"), (h % 7 / (h % 9 + 2)).alias("year_rate"), (h % 11 / 20).alias("total_rate"))
-    return A.heuristic_picks(rows).select("race_id", F.array_join("predicted", ",").alias("predicted"), F.round("confidence", 6).alias("confidence"))
+    """Three entries of every event by the heuristic on the horses' counters, with its confidence; none where there are fewer entries."""
+    rows = A.with_odds_rank(with_history(finished(spark, sf_dir)))
+    counters = rows.select("race_id", F.col("entry_no").cast("int"), "win_odds", "odds_rank", *[F.col(c).alias(n) for c, n in (("starts", "starts_y"), ("top3", "places_y"), ("starts_t", "starts_t"), ("top3_t", "places_t"))])
+    return A.heuristic_picks(counters).select("race_id", F.array_join("predicted", ",").alias("predicted"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(
@@ -254,17 +259,21 @@ def order_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + ENTRIES_SQL
-    + """, d AS (SELECT race_id, CASE horse_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE entry_no END AS no, lpad(horse_id::VARCHAR, 7, '0') AS a, CASE WHEN rider_id % 2 = 0 THEN 'x' END AS b FROM entries_v),
-        r AS (SELECT *, row_number() OVER (PARTITION BY race_id, no ORDER BY (b IS NOT NULL)::INT DESC, a) AS k, count(*) OVER (PARTITION BY race_id, no) AS copies FROM d WHERE no IS NOT NULL)
+    + """, d AS (
+            SELECT race_id, CASE horse_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE entry_no END AS no, lpad(horse_id::VARCHAR, 7, '0') AS a,
+                (rider_id % 2 = 0)::INT + (discount > 0.03)::INT + (rider_id % 3 = 0)::INT * (entry_no % 4) AS more FROM entries_v),
+        r AS (SELECT *, row_number() OVER (PARTITION BY race_id, no ORDER BY more DESC, a) AS k, count(*) OVER (PARTITION BY race_id, no) AS copies FROM d WHERE no IS NOT NULL)
         SELECT race_id, no::INT AS chul_no, a, copies, (SELECT count(*) FROM d WHERE no IS NULL) AS dropped FROM r WHERE k = 1"""
 )
 def normalised_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries before a split: numbers read, one row each, copies and drops counted."""
-    h, no = F.col("horse_id"), F.col("entry_no").cast("string")
+    """Entries before a split: numbers read, the one with most filled leaves of each, copies and drops counted."""
+    h, no, r = F.col("horse_id"), F.col("entry_no").cast("string"), F.col("rider_id")
     text = F.when(h % 6 == 0, F.get(F.array(F.lit("true"), F.lit(""), F.lit("2.5")), (h % 3).cast("int"))).when(h % 6 == 1, "1.0").when(h % 6 == 2, "no. 2").otherwise(no)
-    rows = entries(spark, sf_dir).select("race_id", text.alias("chul_no"), F.lpad(h.cast("string"), 7, "0").alias("a"), F.when(F.col("rider_id") % 2 == 0, "x").alias("b"))
+    starts = F.when(r % 3 == 0, F.array_repeat(F.struct(F.lit(1).alias("place"), F.lit(" ").alias("note")), (F.col("entry_no") % 4).cast("int")))
+    detail = F.struct(F.when(r % 2 == 0, "x").otherwise(" ").alias("name"), F.when(F.col("discount") > 0.03, 1.5).otherwise(float("nan")).alias("rate"), starts.alias("starts"))
+    rows = entries(spark, sf_dir).select("race_id", text.alias("chul_no"), F.lpad(h.cast("string"), 7, "0").alias("a"), detail.alias("detail"))
     dropped = rows.filter(A.entry_number(F.col("chul_no")).isNull()).agg(F.count(F.lit(1)).alias("dropped"))
-    return A.normalised_before_split(rows, ["a", "b"]).join(F.broadcast(dropped)).select("race_id", "chul_no", "a", "copies", "dropped")
+    return A.normalised_before_split(rows, ["a", "detail"]).join(F.broadcast(dropped)).select("race_id", "chul_no", "a", "copies", "dropped")
 
 
 @query(

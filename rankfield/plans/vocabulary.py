@@ -9,6 +9,7 @@ from rankfield.functions import clean, rates
 from rankfield.operators import jobs as J
 from rankfield.operators import journal as N
 from rankfield.operators import policy as P
+from rankfield.operators.leakage import RESULT_FIELDS, SECTIONAL
 from rankfield.operators import ranking as R
 from rankfield.plans.registry import query
 from rankfield.sources.tables import table
@@ -135,7 +136,7 @@ def ordered_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = [P.Rule("race.date", "ALLOW"), P.Rule("horses[].rank", "LABEL_ONLY"), P.Rule("horses[].hr.*", "ALLOW_STORED_ONLY"), P.Rule("horses[].hr.prize", "HOLD"), P.Rule("meta.*", "META_ONLY")]
-FORBIDDEN = r"^(sj|bu|se)(G[1-8]f|S[12]f|_[1-4]c)(Ord|AccTime|GTime)$|^finish_time$"
+FORBIDDEN = rf"^({'|'.join(RESULT_FIELDS)})$|{SECTIONAL}|^finish_time$"
 
 
 @query(
