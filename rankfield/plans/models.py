@@ -47,6 +47,13 @@ def paired_difference_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.paired_bootstrap(rows, "a", "b")
 
 
+@query()
+def brier_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the mean squared error of the first picks' probabilities, a continuous measure, by Poisson replicates. Runs when planned."""
+    rows = outcomes(spark, sf_dir).select("race_id", "p", F.col("winner").cast("int").alias("y"))
+    return L.poisson_bootstrap(rows, F.pow(F.col("p") - F.col("y"), F.lit(2)), ["race_id"])
+
+
 @query(
     "WITH "
     + ENTRIES_SQL

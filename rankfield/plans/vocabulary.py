@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.functions import clean, rates
+from rankfield.operators import decisions as D
 from rankfield.operators import jobs as J
 from rankfield.operators import journal as N
 from rankfield.operators import policy as P
-from rankfield.operators.leakage import RESULT_FIELDS, SECTIONAL
 from rankfield.operators import ranking as R
+from rankfield.operators.leakage import RESULT_FIELDS, SECTIONAL
 from rankfield.plans.registry import query
 from rankfield.sources.tables import table
 
@@ -176,14 +177,42 @@ def tagged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tagged_paths(leaf_paths(docs, "id", "doc"), contract, "stored_only").groupBy("path", "tag").agg(F.count(F.lit(1)).alias("documents"))
 
 
+_WORDS = {
+    "consumer_scope": "CASE p_partkey % 9 WHEN 0 THEN 'label_only' WHEN 1 THEN NULL ELSE 'train_inference' END",
+    "train_inference_flag": "CASE p_size % 10 WHEN 0 THEN 'HOLD' WHEN 1 THEN 'LABEL_ONLY' WHEN 2 THEN 'ALLOW_SNAPSHOT_ONLY' WHEN 3 THEN 'ALLOW_SNAPSHOT_ONLY' WHEN 4 THEN 'ALLOW_STORED_ONLY' WHEN 5 THEN 'ALLOW_STORED_ONLY' WHEN 6 THEN 'BLOCK' ELSE 'ALLOW' END",
+    "availability_stage": "CASE WHEN p_partkey % 31 = 0 THEN 'L+1' WHEN p_partkey % 29 = 0 THEN '?' WHEN p_size % 10 IN (2, 3) THEN 'L0 snapshot' WHEN p_partkey % 23 = 0 THEN NULL ELSE 'L0' END",
+    "as_of_requirement": "CASE WHEN p_size % 10 IN (2, 3) THEN 'PRE_CUTOFF_SNAPSHOT' WHEN p_size % 10 IN (4, 5) THEN 'STORED_AS_OF_SNAPSHOT' ELSE 'DIRECT_PRE_RACE' END",
+    "time_boundary_rule": "CASE WHEN p_size % 10 IN (2, 3) THEN 'SNAPSHOT_CAPTURED_AT_OR_BEFORE_ENTRY_FINALIZED_AT' WHEN p_size % 10 = 4 THEN 'STORED_ROW_AT_OR_BEFORE_ENTRY_FINALIZED_AT' ELSE 'VALUE_AT_OR_BEFORE_ENTRY_FINALIZED_AT' END",
+    "generated_at_kind": "CASE WHEN p_partkey % 37 = 0 THEN 'POSTRACE_CONFIRMATION_TIME' ELSE 'SOURCE_PUBLICATION_TIME' END",
+    "updated_at_kind": "CASE WHEN p_partkey % 41 = 0 THEN 'UNVERIFIED_TIME' ELSE 'SOURCE_PUBLICATION_TIME' END",
+    "identifier_pattern": "CASE WHEN p_partkey % 43 = 0 THEN ' ' ELSE p_name END",
+}
+_TAG = "CASE WHEN p_partkey % 47 = 0 THEN 'post_entry_only' WHEN p_partkey % 53 = 0 THEN 'hold' ELSE 'pre_entry_allowed' END"
+
+
+@query(
+    f"""WITH w AS (SELECT p_brand AS field_path, {", ".join(f"{e} AS {c}" for c, e in _WORDS.items())}, {_TAG} AS tag FROM part),
+        d AS (SELECT field_path, CASE
+            WHEN train_inference_flag = 'BLOCK' OR coalesce(availability_stage = 'L+1', false) OR generated_at_kind = 'POSTRACE_CONFIRMATION_TIME' OR tag = 'post_entry_only' THEN 'block_postrace_or_leakage_signal'
+            WHEN coalesce(consumer_scope, '') <> 'train_inference' THEN 'block_non_feature_scope'
+            WHEN train_inference_flag = 'HOLD' OR coalesce(availability_stage = '?', false) OR updated_at_kind = 'UNVERIFIED_TIME' OR tag = 'hold' THEN 'review_unverified_timing_signal'
+            WHEN trim(identifier_pattern) = '' OR (train_inference_flag = 'ALLOW' AND coalesce(availability_stage, '') <> 'L0') OR (train_inference_flag = 'ALLOW_STORED_ONLY' AND time_boundary_rule = 'VALUE_AT_OR_BEFORE_ENTRY_FINALIZED_AT') THEN 'review_inconsistent_allowed_contract'
+            WHEN starts_with(train_inference_flag, 'ALLOW') AND availability_stage IS NOT NULL THEN 'allow_explicit_prerace_contract' ELSE 'review_fallback_incomplete_schema' END AS reason FROM w)
+        SELECT reason, count(*) AS rows, count(DISTINCT field_path) AS fields FROM d GROUP BY 1"""
+)
+def schema_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of a registry allow, block or need a review of a field, and why."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("field_path"), *[F.expr(e).alias(c) for c, e in _WORDS.items()], F.array(F.expr(_TAG)).alias("tags"))
+    return rows.select("field_path", D.decision().alias("d")).groupBy("d.reason").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("field_path").alias("fields"))
+
+
 @query(
-    """WITH f AS (SELECT 'f' || s AS feature, CASE WHEN s % 4 = 0 THEN 0 WHEN s % 4 = 1 THEN 2 ELSE 1 END AS owners, s % 6 = 2 AS blocked FROM generate_series(0, 39) g(s)), o AS (SELECT feature, CASE WHEN blocked THEN 0 ELSE owners END AS owners FROM f)
-        SELECT feature, owners FROM o WHERE owners <> 1"""
+    """WITH c AS (SELECT p_brand AS feature, count(*) FILTER (p_size = 2) AS owners FROM part GROUP BY 1)
+        SELECT feature, owners FROM c WHERE owners <> 1"""
 )
 def source_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that the contract does not own exactly once with an allowed flag."""
-    features = spark.range(40).select(F.concat(F.lit("f"), "id").alias("feature"), "id")
-    times = F.when(F.col("id") % 4 == 0, 0).when(F.col("id") % 4 == 1, 2).otherwise(1)
-    flag = F.when(F.col("id") % 6 == 2, "BLOCK").otherwise("ALLOW")
-    contract = features.select("feature", flag.alias("flag"), F.explode(F.array_repeat(F.lit(1), times)).alias("n"))
-    return P.ownership_violations(features.select("feature"), contract)
+    """Brands that the contract, the smallest parts, does not own exactly once with an allowed flag."""
+    part = table(spark, sf_dir, "part")
+    flag = F.when(F.col("p_size") == 1, "BLOCK").otherwise("ALLOW")
+    contract = part.filter("p_size <= 2").select(F.col("p_brand").alias("feature"), flag.alias("flag"))
+    return P.ownership_violations(part.select(F.col("p_brand").alias("feature")).distinct(), contract)
