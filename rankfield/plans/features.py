@@ -121,12 +121,19 @@ def join_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("entries"), F.count("k").alias("matched"), (F.count(F.lit(1)) - F.count("k")).alias("unmatched"), F.coalesce(F.sum("k"), F.lit(0)).alias("keys"))
 
 
-@query("SELECT strftime(d, '%Y%m%d') AS day, m::INT AS meet, n::INT AS race_number FROM generate_series(DATE '2024-01-30', DATE '2024-02-02', INTERVAL 1 DAY) x(d), generate_series(1, 3) y(m), generate_series(1, 12) z(n)")
+@query(
+    "WITH "
+    + EVENTS_SQL
+    + """, r AS (SELECT meet, unnest(generate_series(min(race_date), max(race_date), INTERVAL 1 DAY))::DATE AS d FROM events_v GROUP BY 1), n AS (SELECT meet, race_date AS d, count(*) AS n FROM events_v GROUP BY 1, 2)
+        SELECT strftime(d, '%Y%m%d') AS day, meet, coalesce(n, 0) AS collected FROM r LEFT JOIN n USING (meet, d)"""
+)
 def date_range_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates by meets by numbers of a requested range."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-30").cast("date"), F.lit("2024-02-02").cast("date"))).alias("d"))
-    tasks = days.select("d", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("meet")).select("d", "meet", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("race_number"))
-    return tasks.select(F.date_format("d", "yyyyMMdd").alias("day"), "meet", "race_number")
+    """A task for every day of each meet's range, with the events that are there already; days without any are to be collected."""
+    rows = events(spark, sf_dir)
+    span = rows.groupBy("meet").agg(F.min("race_date").alias("first"), F.max("race_date").alias("last"))
+    days = span.select("meet", F.explode(F.sequence("first", "last")).alias("race_date"))
+    there = rows.groupBy("meet", "race_date").agg(F.count(F.lit(1)).alias("n"))
+    return days.join(there, ["meet", "race_date"], "left").select(F.date_format("race_date", "yyyyMMdd").alias("day"), "meet", F.coalesce("n", F.lit(0)).alias("collected"))
 
 
 @query(

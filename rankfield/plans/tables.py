@@ -309,15 +309,6 @@ def best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keep_latest(pairs, ["race_id"], F.desc("w"), F.asc("x"), F.asc("y"))
 
 
-@query("SELECT a::INT AS add_weight, d::INT AS drop_weight, p::INT AS pair_weight, b::INT AS bias FROM generate_series(0, 4) x(a), generate_series(0, 2) y(d), generate_series(0, 2) z(p), generate_series(0, 5) w(b)")
-def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 270-point grid of weights; configuration, so its size is fixed."""
-    grid = spark.range(1)
-    for name, n in (("add_weight", 5), ("drop_weight", 3), ("pair_weight", 3), ("bias", 6)):
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(i) for i in range(n)])))
-    return grid.drop("id")
-
-
 @query(
     "WITH "
     + PREDICTIONS_SQL

@@ -141,15 +141,19 @@ FORBIDDEN = rf"^({'|'.join(RESULT_FIELDS)})$|{SECTIONAL}|^finish_time$"
 
 
 @query(
-    r"""WITH p(path, flag) AS (VALUES ('race.date', 'ALLOW'), ('horses[].no', 'ALLOW'), ('horses[].rank', 'LABEL_ONLY'), ('horses[].hr.starts', 'ALLOW_STORED_ONLY'), ('horses[].hr.prize', 'HOLD'), ('horses[].sjG1fOrd', 'BLOCK'), ('horses[].finish_time', 'BLOCK'), ('meta.source', 'META_ONLY'))
-        SELECT flag, string_agg(path, ',' ORDER BY path) AS fields, flag IN ('ALLOW', 'ALLOW_STORED_ONLY', 'ALLOW_SNAPSHOT_ONLY') AS operational, flag IN ('ALLOW', 'ALLOW_STORED_ONLY', 'ALLOW_SNAPSHOT_ONLY', 'HOLD', 'LABEL_ONLY') AS training FROM p GROUP BY flag"""
+    r"""WITH p(path, flag) AS (VALUES ('race.date', 'ALLOW'), ('horses[].no', 'ALLOW'), ('horses[].rank', 'LABEL_ONLY'), ('horses[].hr.starts', 'ALLOW_STORED_ONLY'), ('horses[].hr.prize', 'HOLD'), ('horses[].sjG1fOrd', 'BLOCK'), ('horses[].payout', 'BLOCK'), ('meta.source', 'META_ONLY'))
+        SELECT flag, string_agg(path, ',' ORDER BY path) AS fields, flag IN ('ALLOW', 'ALLOW_STORED_ONLY', 'ALLOW_SNAPSHOT_ONLY') AS operational, flag IN ('ALLOW', 'ALLOW_STORED_ONLY', 'ALLOW_SNAPSHOT_ONLY', 'HOLD', 'LABEL_ONLY') AS training, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS documents FROM p GROUP BY flag"""
 )
 def field_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fields of a document's schema by their flags, and which a consumer may read."""
-    schema = "race struct<date:string>, horses array<struct<no:int,rank:int,hr:struct<starts:int,prize:double>,sjG1fOrd:int,finish_time:double>>, meta struct<source:string>"
-    report = P.policy_report(spark.createDataFrame([], schema), RULES, FORBIDDEN)
+    """The fields of documents made of lines by their flags, and which a consumer may read."""
+    detail = F.struct(F.col("l_suppkey").alias("starts"), F.col("l_extendedprice").alias("prize"))
+    horse = F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("rank"), detail.alias("hr"), F.col("l_quantity").alias("sjG1fOrd"), F.col("l_tax").alias("payout"))
+    first = lambda c, name: F.struct(F.first(c).alias(name))
+    documents = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(first("l_shipdate", "date").alias("race"), F.collect_list(horse).alias("horses"), first("l_linestatus", "source").alias("meta"))
+    report = P.policy_report(documents.drop("l_orderkey"), RULES, FORBIDDEN)
     allowed = lambda *options: F.col("flag").isin([f for f in ("ALLOW", "ALLOW_STORED_ONLY", "ALLOW_SNAPSHOT_ONLY", "HOLD", "LABEL_ONLY", "META_ONLY", "BLOCK") if P.is_allowed(f, *options)])
-    return report.select("flag", F.array_join("fields", ",").alias("fields"), allowed().alias("operational"), allowed("hold", "label").alias("training"))
+    counted = documents.agg(F.count(F.lit(1)).alias("documents"))
+    return report.select("flag", F.array_join("fields", ",").alias("fields"), allowed().alias("operational"), allowed("hold", "label").alias("training")).join(F.broadcast(counted))  # one row
 
 
 @query(
