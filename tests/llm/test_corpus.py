@@ -366,3 +366,14 @@ def test_every_form_of_key_is_found(spark):
     assert all(found[form] >= 70 for form in FORMS) and found["name"] < 20 and found["word"] == 0, found
     marked = Counter(r["form"] for r in secret_scan.redact(docs).collect() if r["text"] == "a [secret] b")
     assert all(marked[form] >= found[form] for form in FORMS)
+
+
+def test_rows_without_id_draw_by_their_text(spark):
+    """Texts draw for themselves, equal ones the same; one draw of 0 does not take all rows along."""
+    rows = [(None, f"text {i % 300}", "s") for i in range(600)] + [(None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    drawn = Counter(r["text"] for r in mixing.mix(docs).collect())
+    copies = [drawn[f"text {i}"] for i in range(300)]
+    assert all(n % 2 == 0 for n in copies) and 60 < sum(n == 0 for n in copies) < 160 and 450 < sum(copies) < 750
+    assert drawn[None] == drawn[""]
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs.repartition(2)).collect()))
