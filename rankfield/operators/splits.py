@@ -61,3 +61,29 @@ def newest_complete_dates(rows: DataFrame, date: str, included: str, least: int)
     dates = rows.groupBy(date).agg(F.count(F.lit(1)).alias("n"), F.min(F.col(included).cast("int")).alias("_all")).filter("_all = 1")
     newer = F.sum("n").over(Window.orderBy(F.desc(date))) - F.col("n")  # one row per date
     return dates.withColumn("newer", newer).filter(F.col("newer") < least).select(date, "n", "newer")
+
+
+def holdout_plan(rows: DataFrame, date: str, included: str, sets: list[tuple[str, int]]) -> DataFrame:
+    """``rows`` of complete dates with ``dataset``: the newest dates that hold the first set's least number of rows, then those before them for the next.
+
+    A date is complete if all its rows are included; incomplete ones are passed over, and no date is
+    in two sets. Too few rows for a set are an error. Windows and the broadcast hold one row per date.
+    """
+    dates = rows.groupBy(date).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(included).cast("int")).alias("_all")).filter("_all = 1")
+    dates = dates.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.desc(date)))).withColumn("_newer", F.col("_upto") - F.col("_n"))
+    begun, dataset = F.lit(0).cast("long"), F.lit(None).cast("string")
+    for i, (name, least) in enumerate(sets):
+        dates = dates.withColumn(f"_end{i}", F.min(F.when(F.col("_upto") >= begun + least, F.col("_upto"))).over(Window.partitionBy()))
+        end = F.coalesce(F.col(f"_end{i}"), F.raise_error(F.lit(f"too few rows of complete dates for {name}")).cast("long"))
+        dataset = F.when((F.col("_newer") >= begun) & (F.col("_newer") < end), name).otherwise(dataset)
+        begun = end
+    chosen = dates.select(date, dataset.alias("dataset")).filter("dataset IS NOT NULL")
+    return rows.join(F.broadcast(chosen), date)
+
+
+def plan_manifest(planned: DataFrame, key: str, date: str) -> DataFrame:
+    """(dataset, races, dates, first_day, last_day, digest) of a plan; the digest is a sum over ids, so it does not depend on their order."""
+    word = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return planned.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("races"), F.count_distinct(date).alias("dates"), F.min(date).alias("first_day"), F.max(date).alias("last_day"), F.sum(word).cast("string").alias("digest")
+    )

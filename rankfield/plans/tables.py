@@ -258,6 +258,22 @@ def complete_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.newest_complete_dates(rows, "race_date", "included", 500)
 
 
+@query(
+    "WITH "
+    + EVENTS_SQL
+    + """, d AS (SELECT race_date, count(*) AS n, bool_and(status <> 'P') AS whole FROM events_v GROUP BY 1), c AS (SELECT race_date, n, sum(n) OVER (ORDER BY race_date DESC) AS upto FROM d WHERE whole),
+        a AS (SELECT min(upto) AS t FROM c WHERE upto >= 300), b AS (SELECT min(upto) AS t FROM c, a WHERE upto >= a.t + 120),
+        s AS (SELECT c.race_date, CASE WHEN upto <= a.t THEN 'holdout' WHEN upto <= b.t THEN 'mini_val' END AS dataset FROM c, a, b)
+        SELECT dataset, count(*) AS races, count(DISTINCT race_date) AS dates, min(race_date) AS first_day, max(race_date) AS last_day, sum(('0x' || substr(md5(race_id::VARCHAR), 1, 12))::BIGINT)::VARCHAR AS digest
+        FROM events_v JOIN s USING (race_date) WHERE dataset IS NOT NULL GROUP BY 1""",
+    dates=("first_day", "last_day"),
+)
+def holdout_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest complete dates as a holdout set, those before them for quick validation, with digests of their ids."""
+    rows = events(spark, sf_dir).withColumn("included", F.col("status") != "P")
+    return P.plan_manifest(P.holdout_plan(rows, "race_date", "included", [("holdout", 300), ("mini_val", 120)]), "race_id", "race_date")
+
+
 @query(
     "WITH "
     + ENTRIES_SQL

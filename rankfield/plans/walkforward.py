@@ -173,11 +173,11 @@ def _text(items: str):
     return F.array_join(F.col(items).cast("array<string>"), "-")
 
 
-@query("WITH " + WALK_SQL + " SELECT race_date, rank, list, array_to_string(pattern, '-') AS pattern, rate, weight FROM src", dates=("race_date",))
+@query("WITH " + WALK_SQL + " SELECT race_date, rank AS place, list AS ranked_by, array_to_string(pattern, '-') AS pattern, rate, weight FROM src", dates=("race_date",))
 def policy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rank patterns as of each date, from the events of earlier dates."""
     sources = W.chosen_sources(W.policy_state(lists_of(spark, sf_dir), LISTS, DEPTH), SOURCES, "match", RANK_WEIGHT)
-    return sources.select("race_date", F.inline("sources")).select("race_date", "rank", "list", _text("pattern").alias("pattern"), "rate", "weight")
+    return sources.select("race_date", F.inline("sources")).select("race_date", F.col("rank").alias("place"), F.col("list").alias("ranked_by"), _text("pattern").alias("pattern"), "rate", "weight")
 
 
 @query("WITH " + WALKED_SQL + f" SELECT race_id, array_to_string(combo, '-') AS combo, {', '.join(f'round({c}, 10) AS {c}' for c in COLUMNS)}, exact FROM cand")
@@ -289,7 +289,7 @@ def _probe_sql() -> str:
     tried_v AS (
         SELECT p.*, x."add", y."drop", z."pair", 100 * base + x."add" * aw - y."drop" * gw + z."pair" * tw AS total FROM part_v p, (SELECT unnest({ADDS}) AS "add") x, (SELECT unnest({DROPS}) AS "drop") y, (SELECT unnest({PAIR_WEIGHTS}) AS "pair") z),
     best_v AS (SELECT * FROM tried_v QUALIFY row_number() OVER (PARTITION BY grp, race_id, "add", "drop", "pair" ORDER BY total DESC, support DESC, combo) = 1)
-    SELECT grp || '@' || win::VARCHAR AS setting, "add", "drop", "pair", bias, count(*) FILTER (total >= 100 * own + bias * 1000000) AS switched,
+    SELECT grp || '@' || win::VARCHAR AS setting, "add" AS add_weight, "drop" AS drop_weight, "pair" AS pair_weight, bias, count(*) FILTER (total >= 100 * own + bias * 1000000) AS switched,
         coalesce(sum(exact - own_exact) FILTER (total >= 100 * own + bias * 1000000), 0)::BIGINT AS gained
     FROM best_v, (SELECT unnest({BIASES}) AS bias) GROUP BY ALL""")
     return "WITH " + "".join(parts)
@@ -310,4 +310,5 @@ def overlap_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = W.candidate_rows(late, W.chosen_sources(state, count, metric), last, "as_of")
         own = W.overlap_parts(rows).withColumn("setting", F.concat(F.lit(f"{metric}-{count}@"), start.cast("string")))
         parts = own if parts is None else parts.union(own)
-    return W.probe_weights(parts, ADDS, DROPS, PAIR_WEIGHTS, BIASES, "setting")
+    found = W.probe_weights(parts, ADDS, DROPS, PAIR_WEIGHTS, BIASES, "setting")
+    return found.withColumnsRenamed({"add": "add_weight", "drop": "drop_weight", "pair": "pair_weight"})

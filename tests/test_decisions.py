@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankfield.operators import decisions as D
 from rankfield.operators import feature_rows as X
 from rankfield.operators import learning as L
+from rankfield.operators import splits as P
 
 WORDS = {
     "consumer_scope": ["train_inference", "train_inference", "train_inference", "label_only", None],
@@ -117,3 +118,25 @@ def test_ranks_of_feature_rows(spark):
     assert {(r["race_id"], r["chulNo"]): r["target"] for r in found} == {k: int(p <= 3) for k, p in places.items() if sum(k[0] == q for q, _ in places) >= 3}
     answers = frame.filter("place <= 3").groupBy("race_id").agg(F.collect_list("chul_no").alias("top3"))
     assert sorted(map(str, X.feature_rows(frame, answers).select(*sorted(found[0].asDict())).collect())) == sorted(str(r) for r in X.feature_rows(frame, place="place").select(*sorted(found[0].asDict())).collect())
+
+
+def test_holdout_plan(spark):
+    rng = random.Random(8)
+    rows = [(race, f"2024-01-{1 + race % 28:02d}", rng.random() > 0.03) for race in range(400)]
+    frame = spark.createDataFrame(rows, "race_id int, race_date string, included boolean").withColumn("race_date", F.to_date("race_date"))
+    planned = P.holdout_plan(frame.repartition(3), "race_date", "included", [("holdout", 60), ("mini_val", 25)])
+    found = {str(r["race_date"]): r["dataset"] for r in planned.collect()}
+    left, want = iter([("holdout", 60), ("mini_val", 25)]), {}
+    name, least, held = *next(left), 0
+    for day in sorted({r[1] for r in rows}, reverse=True):  # the plain walk from the newest date
+        mine = [r for r in rows if r[1] == day]
+        if all(r[2] for r in mine) and name:
+            want[day] = name
+            held += len(mine)
+            if held >= least:
+                (name, least), held = next(left, (None, 0)), 0
+    assert found == want and set(want.values()) == {"holdout", "mini_val"}
+    one, other = ({r["dataset"]: tuple(r) for r in P.plan_manifest(P.holdout_plan(frame.repartition(n), "race_date", "included", [("holdout", 60), ("mini_val", 25)]), "race_id", "race_date").collect()} for n in (1, 5))
+    assert one == other and one["holdout"][1] >= 60 and one["mini_val"][4] < one["holdout"][3]  # ends before the holdout starts
+    with pytest.raises(Exception, match="too few rows of complete dates for mini_val"):
+        P.holdout_plan(frame, "race_date", "included", [("holdout", 60), ("mini_val", 4000)]).collect()
