@@ -33,7 +33,7 @@ def test_dedup_leaves_single_documents(spark, data):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_agrees(spark, data, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {table} as select * from read_parquet('{data}/{table}.parquet')")
     want = con.execute(ORACLE_SQL[name])
     columns = sorted(c[0] for c in want.description)
