@@ -174,18 +174,31 @@ def _or_zero(c: Column, kind: str) -> Column:
     return F.coalesce(clean.number(c).cast(kind), F.lit(0).cast(kind))
 
 
+def first_items(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, item): the first item of each envelope that has one; an envelope is parsed once, whatever is read from its item."""
+    return rows.select(key, F.explode(F.slice(all_items(F.col(payload)), 1, 1)).alias("item")).filter("item IS NOT NULL")
+
+
 def horse_info(payload: Column) -> Column:
-    """Typed detail of a horse from the first item, with the item kept; null without items. Numbers that cannot be read are 0."""
-    item = first_item(payload)
+    """``horse_detail`` of the first item; null without items."""
+    return clean.once(first_item(payload), horse_detail)
+
+
+def person_info(payload: Column, kind: str) -> Column:
+    """``person_detail`` of the first item; null without items."""
+    return clean.once(first_item(payload), lambda item: person_detail(item, kind))
+
+
+def horse_detail(item: Column) -> Column:
+    """Typed detail of a horse, with the item kept. Numbers that cannot be read are 0."""
     return F.when(
         item.isNotNull(),
         F.struct(item["hrNo"].alias("hr_no"), item["hrName"].alias("hr_name"), _or_zero(item["win_rate_t"], "double").alias("win_rate"), _or_zero(item["place_rate_t"], "double").alias("place_rate"), item["recent_form"].alias("recent_form"), item.alias("raw_data")),
     )
 
 
-def person_info(payload: Column, kind: str) -> Column:
+def person_detail(item: Column, kind: str) -> Column:
     """Typed detail of a jockey (``jk``) or trainer (``tr``), likewise."""
-    item = first_item(payload)
     counts = {"race_count": "rc_cnt_t", "win_count": "win_cnt_t", "place_count": "place_cnt_t"}
     return F.when(
         item.isNotNull(),
@@ -208,11 +221,12 @@ def join_value(item: Column, join_key: str) -> Column:
     return clean.identifier(item[join_key])
 
 
-def detail_rows(rows: DataFrame, key: str, payload: str, join_key: str) -> DataFrame:
-    """(key, join_key, join_value, value) of every item of a detail response."""
-    return rows.select(key, F.explode(all_items(F.col(payload))).alias("item")).select(
-        key, F.lit(join_key).alias("join_key"), join_value(F.col("item"), join_key).alias("join_value"), F.col("item").cast(renamed(_parsed(ITEM), inner_name)).alias("value")
-    )
+def detail_rows(rows: DataFrame, key: str, payload: str, *join_keys: str) -> DataFrame:
+    """(key, join_key, join_value, value) of every item of a detail response, for each join key; responses are read and parsed once for all."""
+    item = F.col("item")
+    joins = F.array(*[F.struct(F.lit(k).alias("join_key"), join_value(item, k).alias("join_value")) for k in join_keys])
+    found = rows.select(key, F.explode(all_items(F.col(payload))).alias("item")).select(key, F.inline(joins), "item")
+    return found.select(key, "join_key", "join_value", item.cast(renamed(_parsed(ITEM), inner_name)).alias("value"))
 
 
 def field_records(rows: DataFrame, key: str, payload: str, fields: list[str], required: list[str]) -> DataFrame:
@@ -281,7 +295,7 @@ def collected_top3(found: Column) -> Column:
     """Entry numbers of the first three places by finishing order; null with fewer than three finishers."""
     finished = F.filter(found, lambda x: F.coalesce(clean.whole(x["ord"]) > 0, F.lit(False)))
     keyed = F.array_sort(F.transform(finished, lambda x, i: F.struct(clean.whole(x["ord"]).alias("ord"), i.alias("i"), clean.whole(x["chulNo"]).alias("no"))))
-    return F.when(F.size(keyed) >= 3, F.transform(F.slice(keyed, 1, 3), lambda x: x["no"]))
+    return clean.once(keyed, lambda k: F.when(F.size(k) >= 3, F.transform(F.slice(k, 1, 3), lambda x: x["no"])))
 
 
 def projected_result(top3: Column, found: Column) -> Column:
@@ -289,12 +303,15 @@ def projected_result(top3: Column, found: Column) -> Column:
 
     def of(number: Column, place: Column) -> Column:
         item = F.get(F.filter(found, lambda x: clean.whole(x["chulNo"]) == number), F.lit(0))
-        return F.struct(
-            (place + 1).alias("ord"),
-            number.alias("chulNo"),
-            item["hrName"].alias("hr_name"),
-            _or_zero(item["winOdds"], "double").alias("win_odds"),
-            _or_zero(item["rating"], "int").alias("rating"),
+        return clean.once(
+            item,
+            lambda item: F.struct(
+                (place + 1).alias("ord"),
+                number.alias("chulNo"),
+                item["hrName"].alias("hr_name"),
+                _or_zero(item["winOdds"], "double").alias("win_odds"),
+                _or_zero(item["rating"], "int").alias("rating"),
+            ),
         )
 
     return F.transform(top3, of)

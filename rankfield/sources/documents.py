@@ -41,9 +41,7 @@ def scalar(text: Column) -> Column:
 
 def items(payload: Column, item: str = ITEM) -> Column:
     """response.body.items.item as an array: an object is wrapped, a missing level is empty; text that begins with < is XML."""
-    path = F.get_json_object(payload, "$.response.body.items.item")
-    wrapped = F.when(path.startswith("{"), F.concat(F.lit("["), path, F.lit("]"))).otherwise(path)
-    from_json = F.from_json(wrapped, f"array<{item}>")
+    from_json = F.from_json(F.get_json_object(payload, "$.response.body.items.item"), f"array<{item}>")  # a lone object is an array of one
     from_xml = F.from_xml(payload, f"body struct<items:struct<item:array<{item}>>>")["body"]["items"]["item"]
     return F.coalesce(F.when(F.ltrim(payload).startswith("<"), from_xml).otherwise(from_json), F.array().cast(f"array<{item}>"))
 
