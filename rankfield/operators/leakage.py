@@ -24,27 +24,32 @@ def meaningful(value: Column) -> Column:
 def leaked_fields(documents: DataFrame, key: str, document: str, depth: int = 12) -> DataFrame:
     """(key, path) of every forbidden field with a meaningful value; array places are numbered from 0.
 
-    A level at a time: members of objects and arrays are unnested once, forbidden ones leave with
-    their path and their inside is searched too. Members deeper than ``depth`` levels are an error.
-    Texts that are no JSON, and nulls, leak nothing.
+    A level at a time: members of objects and arrays are unnested once, forbidden ones go on with
+    their path and their inside is searched too. All levels are one pass over the documents, without
+    a shuffle. Members deeper than ``depth`` levels are an error. Texts that are no JSON, and nulls,
+    leak nothing.
     """
-    spread = documents.sparkSession.tvf.variant_explode
-    level = documents.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v")).filter(F.col("v").isNotNull())
-    found = None
+    spread = documents.sparkSession.tvf.variant_explode_outer
+    state = "struct<path:string,v:variant,found:boolean>"
+    level = documents.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v"), F.lit(False).alias("found")).filter(F.col("v").isNotNull())
     for _ in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        containers = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).withColumnRenamed("v", "_v")
-        inner = containers.lateralJoin(spread(F.col("_v").outer()))
-        name = F.when(F.col("key").isNull(), F.concat(F.col("path"), F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        name = name.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        level = inner.select(containers[key], name.alias("path"), F.col("key").alias("_name"), F.col("value").alias("v"))
-        bad = level.filter(forbidden(F.col("_name")) & meaningful(F.col("v"))).select(key, "path")
-        found = bad if found is None else found.unionByName(bad)
-        level = level.drop("_name")
+        outer = level.select(F.col(key).alias("_key"), F.col("path").alias("_path"), F.col("v").alias("_v"), F.col("found").alias("_found"))
+        inner = outer.lateralJoin(spread(F.col("_v").outer()))
+        name = F.when(F.col("key").isNull(), F.concat(F.col("_path"), F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        name = name.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
+        # A field that was found goes on as it is; a member goes on with its inside, and once more if it is a find.
+        member, none = ~F.col("_found") & F.col("pos").isNotNull(), F.lit(None).cast("variant")
+        bad = member & forbidden(F.col("key")) & meaningful(F.col("value"))
+        onward = F.array(
+            F.when(F.col("_found"), F.struct(F.col("_path"), none, F.lit(True)).cast(state)),
+            F.when(bad, F.struct(name, none, F.lit(True)).cast(state)),
+            F.when(member, F.struct(name, F.col("value"), F.lit(False)).cast(state)),
+        )
+        level = inner.select(F.col("_key").alias(key), F.explode(F.array_compact(onward)).alias("_on")).select(key, "_on.path", "_on.v", "_on.found")
     kind = F.schema_of_variant("v")
-    deeper = level.filter(kind.startswith("OBJECT<") | kind.startswith("ARRAY<")).filter(~F.to_json("v").isin("[]", "{}"))
-    beyond = deeper.select(key, F.raise_error(F.concat(F.lit(f"deeper than {depth} levels: "), "path")).cast("string").alias("path"))
-    return found.unionByName(beyond)
+    deeper = (kind.startswith("OBJECT<") | kind.startswith("ARRAY<")) & ~F.to_json("v").isin("[]", "{}")
+    beyond = F.raise_error(F.concat(F.lit(f"deeper than {depth} levels: "), "path")).cast("string")
+    return level.filter(F.col("found") | deeper).select(key, F.when(F.col("found"), F.col("path")).otherwise(beyond).alias("path"))
 
 
 def leakage_report(documents: DataFrame, issues: DataFrame, key: str) -> DataFrame:

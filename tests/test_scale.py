@@ -42,3 +42,7 @@ def test_result_shapes_of_long_ids(spark, data, tmp_path):
 def test_envelopes_are_parsed_once(spark, data, name):
     text = plan(QUERIES[name](spark, data))
     assert text.count("from_json") == 1 and text.count("get_json_object") == 1
+
+
+def test_leaked_fields_read_documents_once(spark, data):
+    assert plan(QUERIES["leaked_result_fields"](spark, data)).count("Relation [") == 2  # lines and orders
