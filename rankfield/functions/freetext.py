@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankfield.functions.clean import once
+
 #: Fields that may hold picks, in order of precedence.
 PICK_FIELDS = ["selected_horses", "predicted", "prediction"]
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
@@ -27,9 +29,13 @@ def valid_object(text: Column) -> Column:
     The parser alone would stop at the end of a first value. Within brackets as well as within
     braces, nothing can follow the object that both of them allow.
     """
-    parsed = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-    return F.when(parsed & alone, text)
+
+    def whole(text: Column) -> Column:
+        parsed = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+        alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+        return F.when(parsed & alone, text)
+
+    return once(text, whole)
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -61,7 +67,7 @@ def balanced(text: Column) -> Column:
 
     begin = F.struct(F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0), F.lit(1)).cast(STATE)
     last = F.aggregate(F.split(text, ""), begin, step, lambda s: F.struct(s["start"], s["end"]))
-    return F.when(last["end"] > 0, F.substring(text, last["start"], last["end"] - last["start"] + 1))
+    return once(last, lambda at: F.when(at["end"] > 0, F.substring(text, at["start"], at["end"] - at["start"] + 1)))
 
 
 def repaired(text: Column) -> Column:
@@ -81,9 +87,13 @@ def prediction_object(text: Column) -> Column:
 
 def any_object(text: Column) -> Column:
     """The object of a prediction or of a reply, else the first whole one in the text, as it stands or repaired."""
-    whole = balanced(text)
-    mended = repaired(text)
-    return F.coalesce(prediction_object(text), answer_object(text), valid_object(whole), valid_object(repaired(whole)), valid_object(balanced(mended)))
+    return F.coalesce(prediction_object(text), answer_object(text), mended_object(text))
+
+
+def mended_object(text: Column) -> Column:
+    """The first whole object in the text, as it stands or repaired, else in the repaired text."""
+    inner = once(balanced(text), lambda whole: F.coalesce(valid_object(whole), valid_object(repaired(whole))))
+    return F.coalesce(inner, valid_object(balanced(repaired(text))))
 
 
 def picks(document: Column) -> Column:

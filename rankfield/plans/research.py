@@ -90,7 +90,8 @@ def free_text_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.col("horse_id") * 10 + F.col("entry_no")
     cards = entries(spark, sf_dir).groupBy("race_id").agg(F.min_by("entry_no", order).alias("a"), F.max_by("entry_no", order).alias("b"), F.count(F.lit(1)).alias("c"))
     rows = cards.select("race_id", F.expr(_TEXT).alias("text"))
-    found = rows.select("race_id", X.prediction_object("text").alias("prediction"), X.answer_object("text").alias("reply"), X.any_object(F.col("text")).alias("any"))
+    found = rows.select("race_id", X.prediction_object("text").alias("prediction"), X.answer_object("text").alias("reply"), "text")
+    found = found.select("race_id", "prediction", "reply", F.coalesce("prediction", "reply", X.mended_object(F.col("text"))).alias("any"))
     kind = F.when(F.col("prediction").isNotNull(), "prediction").when(F.col("reply").isNotNull(), "reply").when(F.col("any").isNotNull(), "repaired").otherwise("none")
     return found.select("race_id", F.array_join(X.picks(F.col("any")), ",").alias("picks"), kind.alias("kind"))
 

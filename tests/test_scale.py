@@ -46,3 +46,8 @@ def test_envelopes_are_parsed_once(spark, data, name):
 
 def test_leaked_fields_read_documents_once(spark, data):
     assert plan(QUERIES["leaked_result_fields"](spark, data)).count("Relation [") == 2  # lines and orders
+
+
+def test_braces_are_balanced_once_a_text(spark):
+    rows = spark.range(1).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("t"))
+    assert plan(rows.select(X.any_object(F.col("t")))).count("aggregate(") <= 4
