@@ -116,16 +116,16 @@ def chosen_sources(state: DataFrame, count: int, metric: str, rank_weight: float
     return weighted.groupBy("race_date").agg(F.array_sort(F.collect_list(F.struct("rank", "list", "pattern", "rate", "weight"))).alias("sources"))
 
 
-def candidate_rows(events: DataFrame, sources: DataFrame, fallbacks: DataFrame, as_of: str = "race_date") -> DataFrame:
-    """A row for each combination that an event's sources name, and for its fallback, with all that a ranker may look at.
+def voted_combinations(events: DataFrame, sources: DataFrame, fallbacks: DataFrame, as_of: str = "race_date") -> DataFrame:
+    """A row for each combination that an event's sources name, and for its fallback, with its sums of votes in millionths.
 
     ``sources`` holds for events whose ``as_of`` is their race_date; ``fallbacks`` is (race_id,
-    fallback), a sorted triple or null. Score, support and their sums over pairs and entries are
-    shares of the number of sources; orders go from 0, best, to 1; ``exact`` says whether the
-    combination is the answer. Votes, pairs, entries and orders of an event stay in its partition.
+    fallback), a sorted triple or null. Events meet their fallbacks first, the one shuffle by event;
+    sources are a row a date and are broadcast, so they are in no shuffle and votes stay in the
+    event's partition.
     """
-    voting = events.withColumn("voted_on", F.col(as_of)).join(sources.withColumnRenamed("race_date", "voted_on"), "voted_on", "left")
-    voting = voting.join(fallbacks, "race_id", "left").withColumn("n", F.greatest(F.coalesce(F.size("sources"), F.lit(0)), F.lit(0)))
+    voting = events.withColumn("voted_on", F.col(as_of)).join(fallbacks.hint("merge"), "race_id", "left")
+    voting = voting.join(F.broadcast(sources.withColumnRenamed("race_date", "voted_on")), "voted_on", "left").withColumn("n", F.greatest(F.coalesce(F.size("sources"), F.lit(0)), F.lit(0)))
 
     def vote(s: Column) -> Column:
         items = F.get("lists", s["list"])
@@ -134,20 +134,49 @@ def candidate_rows(events: DataFrame, sources: DataFrame, fallbacks: DataFrame,
 
     none = F.lit(0).cast("long")
     last = F.struct(F.col("fallback").alias("combo"), none.alias("weight"), F.lit(0).alias("vote"), (F.col("n") + 1).alias("rank"), none.alias("rate"))
-    votes = voting.repartition("race_id").select(
-        "race_id", "race_date", "answer", "fallback", "n", F.explode(F.concat(F.coalesce(F.transform("sources", vote), F.array()), F.array(last))).alias("v")
-    )
-    combos = votes.filter(F.col("v.combo").isNotNull()).groupBy("race_id", F.col("v.combo").alias("combo")).agg(
-        F.first("race_date").alias("race_date"),
-        F.first("answer").alias("answer"),
-        F.first("fallback").alias("fallback"),
-        F.first("n").alias("n"),
+    about = ["race_date", "answer", "fallback", "n"]
+    votes = voting.select("race_id", *about, F.explode(F.concat(F.coalesce(F.transform("sources", vote), F.array()), F.array(last))).alias("v"))
+    return votes.filter(F.col("v.combo").isNotNull()).groupBy("race_id", F.col("v.combo").alias("combo"), *about).agg(
         F.sum("v.weight").alias("score"),
         F.sum("v.vote").alias("support"),
         F.max("v.weight").alias("most"),
         F.min("v.rank").alias("first_rank"),
         F.sum("v.rate").alias("rates"),
     )
+
+
+def _shared() -> Column:
+    return F.coalesce(F.size(F.array_intersect("combo", "fallback")), F.lit(0))
+
+
+def judged_rows(combos: DataFrame) -> DataFrame:
+    """The columns of ``candidate_rows`` that the bucket model and the overlap rule look at: (race_id, race_date, combo, fallback, score, support_share, support, overlap, is_fallback, place, points, exact, answered)."""
+    n = F.greatest("n", F.lit(1))
+    return combos.select(
+        "race_id",
+        "race_date",
+        "combo",
+        "fallback",
+        (F.col("score") / MILLION / n).alias("score"),
+        (F.col("support") / n).alias("support_share"),
+        F.col("support").cast("long").alias("support"),
+        _shared().alias("overlap"),
+        F.coalesce(F.col("combo") == F.col("fallback"), F.lit(False)).alias("is_fallback"),
+        (F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc("score"), "combo")) - 1).cast("int").alias("place"),
+        F.col("score").alias("points"),
+        F.coalesce(F.col("combo") == F.col("answer"), F.lit(False)).alias("exact"),
+        F.col("answer").isNotNull().alias("answered"),
+    )
+
+
+def candidate_rows(events: DataFrame, sources: DataFrame, fallbacks: DataFrame, as_of: str = "race_date") -> DataFrame:
+    """``voted_combinations`` with all that a ranker may look at.
+
+    Score, support and their sums over pairs and entries are shares of the number of sources; orders
+    go from 0, best, to 1; ``exact`` says whether the combination is the answer. Votes, pairs,
+    entries and orders of an event stay in its partition.
+    """
+    combos = voted_combinations(events, sources, fallbacks, as_of)
     parts = F.array(
         *[F.struct(F.col("combo")[i].alias("a"), F.lit(0).alias("b")) for i in range(3)], *[F.struct(F.col("combo")[i].alias("a"), F.col("combo")[j].alias("b")) for i, j in PAIRS]
     )
@@ -178,7 +207,7 @@ def candidate_rows(events: DataFrame, sources: DataFrame, fallbacks: DataFrame,
         F.coalesce(F.max(F.when(is_fallback, F.col("support"))).over(event), F.lit(0)).alias("own_support"),
     )
     n, votes_of = F.greatest("n", F.lit(1)), F.greatest("support", F.lit(1))
-    shared = F.coalesce(F.size(F.array_intersect("combo", "fallback")), F.lit(0))
+    shared = _shared()
     units = lambda c: F.col(c) / MILLION
     shares = [
         (F.col(f"{name}_{kind}_{label}") / (MILLION if kind == "score" else 1) / n).alias(f"{name}_{kind}_{label}")
@@ -275,30 +304,28 @@ def overlap_parts(candidates: DataFrame) -> DataFrame:
     kept pair weigh, each the sum over the event's candidates that hold it of score and support
     share. ``own`` is the fallback's own. Any weights of the parts can be tried on these rows.
     """
-    base = F.col("base")
-    rows = candidates.filter(F.col("fallback").isNotNull()).withColumn("base", F.round(F.col("score") * MILLION).cast("long"))
+    base = F.round(F.col("score") * MILLION).cast("long")
     weight = base + F.round(F.col("support_share") * MILLION).cast("long")
-    parts = F.array(
-        *[F.struct(F.col("combo")[i].alias("a"), F.lit(0).alias("b")) for i in range(3)], *[F.struct(F.col("combo")[i].alias("a"), F.col("combo")[j].alias("b")) for i, j in PAIRS]
-    )
-    weighed = rows.select("race_id", weight.alias("w"), F.explode(parts).alias("part")).groupBy("race_id", "part").agg(F.sum("w").alias("w"))
-    weights = weighed.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "part.a", "part.b"), "w"))).alias("weights"))
-    own = rows.groupBy("race_id").agg(F.max(F.when(F.col("is_fallback"), base)).alias("own"), F.max(F.when(F.col("is_fallback"), F.col("exact").cast("int"))).alias("fallback_exact"))
-    kept = F.array_sort(F.array_intersect("combo", "fallback"))
-    near = rows.filter((F.col("overlap") == 2) & ~F.col("is_fallback")).join(weights, "race_id").join(own, "race_id")
-    part = lambda *x: F.coalesce(F.element_at("weights", F.concat_ws("-", *x)), F.lit(0))
+    rows = candidates.filter(F.col("fallback").isNotNull())
+    held = F.struct("combo", base.alias("base"), weight.alias("w"), "support", (F.col("overlap") == 2).alias("near"), "is_fallback", F.col("exact").cast("int").alias("exact"))
+    events = rows.groupBy("race_id", "race_date", "fallback").agg(F.collect_list(held).alias("all"))
+    own = F.get(F.filter("all", lambda c: c["is_fallback"]), F.lit(0))
+    events = events.select("race_id", "race_date", "fallback", "all", F.coalesce(own["base"], F.lit(0)).alias("own"), F.coalesce(own["exact"], F.lit(0)).alias("fallback_exact"))
+    near = events.select("*", F.explode(F.filter("all", lambda c: c["near"] & ~c["is_fallback"])).alias("c"))
+    near = near.withColumn("kept", F.array_intersect("c.combo", "fallback"))
+    holding = lambda items: F.aggregate("all", F.lit(0).cast("long"), lambda s, c: s + F.when(F.size(F.array_except(items, c["combo"])) == 0, c["w"]).otherwise(0))
     return near.select(
         "race_id",
         "race_date",
-        "combo",
-        "base",
-        part(F.array_except("combo", "fallback")[0], F.lit(0)).alias("added"),
-        part(F.array_except("fallback", "combo")[0], F.lit(0)).alias("dropped"),
-        part(kept[0], kept[1]).alias("kept"),
-        "support",
-        F.coalesce("own", F.lit(0)).alias("own"),
-        F.col("exact").cast("int").alias("exact"),
-        F.coalesce("fallback_exact", F.lit(0)).alias("fallback_exact"),
+        "c.combo",
+        "c.base",
+        holding(F.array_except("c.combo", "fallback")).alias("added"),
+        holding(F.array_except("fallback", "c.combo")).alias("dropped"),
+        holding(F.col("kept")).alias("kept"),
+        "c.support",
+        "own",
+        "c.exact",
+        "fallback_exact",
     )
 
 
@@ -307,13 +334,17 @@ def probe_weights(parts: DataFrame, adds: list[int], drops: list[int], pairs: li
 
     ``switched`` counts the events whose fallback is replaced, ``gained`` how many more answers are
     met by that. The best candidate of an event depends on the first three weights alone, so it is
-    found once for these and compared with each bias after.
+    found once for these, in the event's own row, and compared with each bias after.
     """
     settings = F.array(*[F.struct(F.lit(a).alias("add"), F.lit(d).alias("drop"), F.lit(p).alias("pair")) for a in adds for d in drops for p in pairs])
-    tried = parts.select("*", F.explode(settings).alias("s"))
-    total = 100 * F.col("base") + F.col("s.add") * F.col("added") - F.col("s.drop") * F.col("dropped") + F.col("s.pair") * F.col("kept")
-    rank = F.struct(total.alias("total"), "support", F.transform("combo", lambda x: -x).alias("least"), "exact")
-    best = tried.groupBy(group, "race_id", "s").agg(F.max(rank).alias("best"), F.first("own").alias("own"), F.first("fallback_exact").alias("fallback_exact"))
+    held = F.struct("base", "added", "dropped", "kept", "support", F.transform("combo", lambda x: -x).alias("least"), "exact")
+    events = parts.groupBy(group, "race_id", "own", "fallback_exact").agg(F.collect_list(held).alias("all"))
+
+    def best_of(s: Column) -> Column:
+        total = lambda c: 100 * c["base"] + s["add"] * c["added"] - s["drop"] * c["dropped"] + s["pair"] * c["kept"]
+        return F.struct(s.alias("s"), F.array_max(F.transform("all", lambda c: F.struct(total(c).alias("total"), c["support"].alias("support"), c["least"].alias("least"), c["exact"].alias("exact")))).alias("best"))
+
+    best = events.select(group, "own", "fallback_exact", F.inline(F.transform(settings, best_of)))
     each = best.select(group, "s", "best", "own", "fallback_exact", F.explode(F.array(*map(F.lit, biases))).alias("bias"))
     switched = F.col("best.total") >= 100 * F.col("own") + F.col("bias") * MILLION
     return each.groupBy(group, F.col("s.add").alias("add"), F.col("s.drop").alias("drop"), F.col("s.pair").alias("pair"), "bias").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankfield.functions import freetext as X
 from rankfield.operators import analysis as A
+from rankfield.operators import walkforward as W
 from rankfield.plans import ORACLE_SQL, QUERIES
 
 
@@ -51,3 +52,11 @@ def test_leaked_fields_read_documents_once(spark, data):
 def test_braces_are_balanced_once_a_text(spark):
     rows = spark.range(1).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("t"))
     assert plan(rows.select(X.any_object(F.col("t")))).count("aggregate(") <= 4
+
+
+VOTED = "race_id long, race_date date, fallback array<int>, combo array<int>, score double, support_share double, support long, overlap int, is_fallback boolean, exact boolean"
+
+
+def test_overlap_parts_read_candidates_once(spark):
+    parts = W.overlap_parts(spark.createDataFrame([], VOTED))
+    assert plan(parts).count("LogicalRDD") == 1
