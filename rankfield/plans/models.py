@@ -12,6 +12,7 @@ from rankfield.operators.evaluation import hits
 from rankfield.plans.analogue import ENTRIES_SQL, entries
 from rankfield.plans.prediction import PREDICTIONS_SQL, outcomes, scored
 from rankfield.plans.registry import query
+from rankfield.sources.staging import staged
 
 FEATURES = ["rating", "burden", "discount", "win_odds", "skill", "starts", "top3"]
 
@@ -25,7 +26,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on early events, predict later ones, set match by number of hits."""
-    rows = training_rows(spark, sf_dir)
+    rows = staged(training_rows(spark, sf_dir), "training-rows")  # imputer, weights, fit and both rankings read it
     early = rows.filter("race_date < '1998-01-01'")
     fitted = L.model("logreg", FEATURES, weight="w").fit(early.withColumn("w", L.balanced_weight(early)))
     late = L.scored(fitted, rows.filter("race_date >= '1998-01-01'"), ["race_id", "entry_no", "place"])

@@ -69,3 +69,8 @@ def test_sources_of_dates_are_in_no_shuffle(spark):
     rows = W.candidate_rows(events, sources, spark.createDataFrame([], "race_id long, fallback array<int>"))
     text = rows._jdf.queryExecution().sparkPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION" not in text and "hashpartitioning(voted_on" not in text and text.count("Exchange hashpartitioning") == 2
+
+
+def test_model_rows_are_made_once(spark, data):
+    """Fit and predictions read staged rows, not the tables again."""
+    assert "l_orderkey" not in plan(QUERIES["model_top3"](spark, data))
