@@ -74,3 +74,13 @@ def test_sources_of_dates_are_in_no_shuffle(spark):
 def test_model_rows_are_made_once(spark, data):
     """Fit and predictions read staged rows, not the tables again."""
     assert "l_orderkey" not in plan(QUERIES["model_top3"](spark, data))
+
+
+def steps(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feature_rows_sort_only_lines(spark, data):
+    """Rows are shuffled and sorted once, by event, while they are as narrow as lines."""
+    text = steps(QUERIES["feature_rows"](spark, data))
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("+- Sort [") == 1
