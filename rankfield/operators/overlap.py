@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ITEMS = 3
+
+
 def combination_key(items):
     """Sorted triple; null unless there are three distinct items."""
-    triple = F.array_sort(F.array_distinct(F.slice(items, 1, 3)))
-    return F.when(F.size(triple) == 3, triple)
+    triple = F.array_sort(F.array_distinct(F.slice(items, 1, ITEMS)))
+    return F.when(F.size(triple) == ITEMS, triple)
 
 
 def select_overlapping(candidates: DataFrame, fallbacks: DataFrame, sources: int, add: float, drop: float, pair: float, bias: float) -> DataFrame:
@@ -18,32 +21,36 @@ def select_overlapping(candidates: DataFrame, fallbacks: DataFrame, sources: int
     Items and pairs of an event weigh the sum of score + support / sources over the candidates
     that hold them. A candidate that shares two items with the fallback scores its own score plus
     added, less dropped, plus kept pair, each weighted; the best one replaces the fallback if it
-    reaches the fallback's score plus ``bias``. Everything is joined on (event, item) or (event,
-    pair), so shuffles are by event and items, and candidates are never paired with each other.
+    reaches the fallback's score plus ``bias``. An event's candidates, one for each different
+    combination of its sources, are gathered once and meet its fallback in one join.
     """
-    weight = F.col("score") + F.col("support") / F.lit(max(sources, 1))
-    items = candidates.select("race_id", F.explode("combo").alias("item"), weight.alias("w")).groupBy("race_id", "item").agg(F.sum("w").alias("item_w"))
-    pairs_of = F.array(*[F.struct(F.col("combo")[i].alias("x"), F.col("combo")[j].alias("y")) for i, j in ((0, 1), (0, 2), (1, 2))])
-    pairs = candidates.select("race_id", F.explode(pairs_of).alias("p"), weight.alias("w")).groupBy("race_id", "p").agg(F.sum("w").alias("pair_w"))
-
-    joined = candidates.join(fallbacks, "race_id").withColumn("kept", F.array_sort(F.array_intersect("combo", "fallback")))
-    near = joined.filter((F.size("kept") == 2) & (F.col("combo") != F.col("fallback"))).select(
-        "*",
-        F.array_except("combo", "fallback")[0].alias("added"),
-        F.array_except("fallback", "combo")[0].alias("dropped"),
-        F.struct(F.col("kept")[0].alias("x"), F.col("kept")[1].alias("y")).alias("p"),
-    )
-    near = near.join(items.select("race_id", F.col("item").alias("added"), F.col("item_w").alias("add_w")), ["race_id", "added"], "left")
-    near = near.join(items.select("race_id", F.col("item").alias("dropped"), F.col("item_w").alias("drop_w")), ["race_id", "dropped"], "left")
-    near = near.join(pairs, ["race_id", "p"], "left")
+    held = candidates.groupBy("race_id").agg(F.collect_list(F.struct("combo", "score", "support")).alias("candidates"))
+    return chosen_overlapping(fallbacks.join(held, "race_id", "left"), sources, add, drop, pair, bias)
+
+
+def chosen_overlapping(events: DataFrame, sources: int, add: float, drop: float, pair: float, bias: float) -> DataFrame:
+    """As ``select_overlapping``, of events (race_id, fallback, candidates), where candidates are structs (combo, score, support): a map, without shuffles."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    total = F.col("score") + add * zero(F.col("add_w")) - drop * zero(F.col("drop_w")) + pair * zero(F.col("pair_w"))
-    near = near.withColumn("total", F.round(total, 9))
-    order = [F.desc("total"), F.desc("support"), F.asc("combo")]
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("race_id").orderBy(*order))).filter("n = 1").select("race_id", F.col("combo").alias("best"), "total")
-    own = joined.filter(F.col("combo") == F.col("fallback")).groupBy("race_id").agg(F.max("score").alias("own"))
-    found = fallbacks.join(best, "race_id", "left").join(own, "race_id", "left")
+    weight = lambda x: zero(x["score"] + x["support"] / F.lit(max(sources, 1)))
+    held = lambda has: F.aggregate(F.filter("candidates", has), F.lit(0.0), lambda s, x: s + weight(x))
+    rows = events.select("race_id", "fallback", F.coalesce("candidates", F.array()).alias("candidates"))
+    # Weights are needed of items only, and of the three pairs that a fallback can keep, named by the item it drops.
+    items = F.array_distinct(F.concat(F.flatten(F.transform("candidates", lambda x: x["combo"])), "fallback"))
+    rows = rows.withColumn("_items", items)
+    by_item = F.map_from_arrays("_items", F.transform("_items", lambda i: held(lambda x: F.array_contains(x["combo"], i))))
+    by_pair = F.map_from_arrays("fallback", F.transform("fallback", lambda i: held(lambda x: F.size(F.array_intersect(x["combo"], F.array_remove("fallback", i))) == 2)))
+    rows = rows.select("race_id", "fallback", "candidates", by_item.alias("_item"), by_pair.alias("_pair"))
+
+    def total(x: Column) -> Column:
+        added, dropped = F.array_except(x["combo"], "fallback")[0], F.array_except("fallback", x["combo"])[0]
+        value = x["score"] + add * zero(F.col("_item")[added]) - drop * zero(F.col("_item")[dropped]) + pair * zero(F.col("_pair")[dropped])
+        value = F.round(value, 9)
+        return F.struct(value.isNull().alias("none"), (-value).alias("down"), (-x["support"]).alias("rare"), x["combo"].alias("combo"), value.alias("total"))
+
+    near = F.filter("candidates", lambda x: F.size(F.array_intersect(x["combo"], "fallback")) == 2)
+    own = F.array_max(F.transform(F.filter("candidates", lambda x: x["combo"] == F.col("fallback")), lambda x: x["score"]))
+    rows = rows.select("race_id", "fallback", F.array_min(F.transform(near, total)).alias("_best"), own.alias("own")).select("race_id", "fallback", F.col("_best.combo").alias("best"), F.col("_best.total").alias("total"), "own")
     switch = F.coalesce(F.col("total") >= zero(F.col("own")) + bias, F.lit(False))
-    return found.select(
+    return rows.select(
         "race_id", F.when(switch, F.col("best")).otherwise(F.col("fallback")).alias("chosen"), switch.alias("switched"), F.when(switch, F.col("total")).otherwise(zero(F.col("own"))).alias("score")
     )

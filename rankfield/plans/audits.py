@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankfield.operators import jobs as J
 from rankfield.operators import journal as N
 from rankfield.operators import overlap as O
+from rankfield.operators import ranking as R
 from rankfield.operators import timing as T
 from rankfield.plans.analogue import ENTRIES_SQL, entries
 from rankfield.plans.prediction import PREDICTIONS_SQL, outcomes
@@ -208,16 +209,14 @@ def sequence_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combinations that share two entries with the fallback and beat it."""
-    event = Window.partitionBy("race_id")
-    rank = lambda *order: F.row_number().over(event.orderBy(*order))
-    rows = entries(spark, sf_dir).select(
-        "race_id", "entry_no", F.array(rank(F.desc("price"), "entry_no"), rank(F.desc("rating"), "entry_no"), rank(F.desc("discount"), "entry_no"), rank("burden", "discount", "entry_no")).alias("r")
-    )
-    long = rows.select("race_id", "entry_no", F.posexplode("r").alias("v", "rank")).filter("rank <= 3")
-    lists = long.groupBy("race_id", "v").agg(F.array_sort(F.collect_list("entry_no")).alias("items")).withColumn("combo", O.combination_key(F.col("items"))).filter("combo is not null")
-    candidates = lists.groupBy("race_id", "combo").agg(F.count(F.lit(1)).alias("support"), F.sum(1.0 / (F.col("v") + 2)).alias("score"))
-    fallbacks = lists.filter("v = 0").select("race_id", F.col("combo").alias("fallback"))
-    found = O.select_overlapping(candidates, fallbacks, 4, 0.5, 0.25, 0.1, 0.2)
+    rows = R.gathered(entries(spark, sf_dir), "race_id", "entry_no", ["entry_no", "price", "rating", "discount", "burden"])
+    orders = [[("price", True)], [("rating", True)], [("discount", True)], [("burden", False), ("discount", False)]]
+    combos = F.array(*[O.combination_key(R.first_items(F.col("all"), "entry_no", O.ITEMS, *keys)) for keys in orders])
+    rows = rows.select("race_id", combos.alias("combos"))
+    votes = lambda c: F.filter(F.transform("combos", lambda x, i: F.when(x == c, 1.0 / (i + 2))), lambda x: x.isNotNull())
+    candidate = lambda c: F.struct(c.alias("combo"), F.aggregate(votes(c), F.lit(0.0), lambda s, x: s + x).alias("score"), F.size(votes(c)).alias("support"))
+    voted = rows.select("race_id", F.col("combos")[0].alias("fallback"), F.transform(F.array_distinct(F.array_compact("combos")), candidate).alias("candidates")).filter("fallback IS NOT NULL")
+    found = O.chosen_overlapping(voted, len(orders), 0.5, 0.25, 0.1, 0.2)
     return found.select("race_id", F.array_join(F.col("chosen").cast("array<string>"), "-").alias("chosen"), "switched", F.round("score", 6).alias("score"))
 
 
