@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.functions.rates import blend, dense_percentile, dense_percentile_from, ordinal_percentile, ordinal_rank, over_group, place_rate, safe_div
+from rankfield.functions.rates import blend, dense_share, ordinal_rank, ordinal_share, over_group, place_rate, safe_div
 from rankfield.operators import evaluation as E
 from rankfield.operators import ranking as R
 from rankfield.operators.history import rolling_history
@@ -284,13 +284,14 @@ def race_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percentile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and ordinal percentile ranks in the event."""
     rows = entries(spark, sf_dir)
-    rows = rows.withColumn("_r1", dense_percentile(F.col("win_odds"), "race_id", reverse=True)).withColumn("_r2", dense_percentile(F.col("burden"), "race_id"))
+    rows = rows.select("race_id", "entry_no", F.struct("win_odds", "burden", F.struct("rating", "pos").alias("place")).alias("own"))
+    rows = rows.select("*", F.collect_list("own").over(over_group("race_id")).alias("all"))
     return rows.select(
         "race_id",
         "entry_no",
-        F.round(dense_percentile_from(F.col("_r1"), "race_id"), 6).alias("odds_rr"),
-        F.round(dense_percentile_from(F.col("_r2"), "race_id"), 6).alias("burden_rr"),
-        F.round(ordinal_percentile("race_id", F.desc("rating"), F.desc("pos")), 6).alias("rating_ordinal"),
+        F.round(dense_share(F.col("all.win_odds"), F.col("own.win_odds"), reverse=True), 6).alias("odds_rr"),
+        F.round(dense_share(F.col("all.burden"), F.col("own.burden")), 6).alias("burden_rr"),
+        F.round(ordinal_share(F.col("all.place"), F.col("own.place")), 6).alias("rating_ordinal"),
     )
 
 

@@ -86,7 +86,7 @@ def test_feature_rows_sort_only_lines(spark, data):
     assert text.count("Exchange hashpartitioning") == 1 and text.count("+- Sort [") == 1
 
 
-@pytest.mark.parametrize("name", ["overlap_selection"])
+@pytest.mark.parametrize("name", ["percentile_ranks", "overlap_selection"])
 def test_events_are_gathered_by_one_sort(spark, data, name):
     text = steps(QUERIES[name](spark, data))
     assert text.count("Exchange hashpartitioning") == 1 and text.count("+- Sort [") == 1 and "Aggregate(" not in text
