@@ -305,14 +305,16 @@ VOTERS_SQL = """,
 
 
 def voters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(race_id, v, items): top-3 lists of three predictors, ranked in one pass over the entries."""
-    rows = entries(spark, sf_dir)
+    """(race_id, v, items): top-3 lists of three predictors."""
+    return voted(spark, sf_dir).select("race_id", F.inline("lists")).select("race_id", "v", "items")
+
+
+def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(race_id, lists): an event's top-3 lists of three predictors as structs (v, items), from its entries gathered once."""
     keys = ["price", "rating", "discount"]
-    rows = rows.select("race_id", "entry_no", *[ordinal_rank("race_id", F.desc(k), F.asc("entry_no")).alias(k) for k in keys])
-    places = [F.struct(F.lit(i + 1).alias("v"), F.col(k).alias("r")) for i, k in enumerate(keys)]
-    long = rows.select("race_id", "entry_no", F.explode(F.array(*places)).alias("x")).filter("x.r <= 3")
-    lists = long.groupBy("race_id", "x.v").agg(F.array_sort(F.collect_list(F.struct("x.r", "entry_no"))).alias("i"))
-    return lists.select("race_id", "v", F.transform("i", lambda x: x["entry_no"]).alias("items"))
+    rows = R.gathered(entries(spark, sf_dir), "race_id", "entry_no", ["entry_no", *keys])
+    lists = [F.struct(F.lit(i + 1).alias("v"), R.first_items(F.col("all"), "entry_no", 3, (k, True)).alias("items")) for i, k in enumerate(keys)]
+    return rows.select("race_id", F.array(*lists).alias("lists"))
 
 
 @query(
@@ -328,16 +330,13 @@ def voters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def weighted_borda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted rank voting of three predictors, its consistency and whether to abstain."""
-    lists = voters(spark, sf_dir)
-    weight = F.when(F.col("v") == 1, 0.5).when(F.col("v") == 2, 0.3).otherwise(0.2)
-    points = R.borda(lists, "race_id", "v", "items", weight)
-    keyed = points.select("race_id", F.struct((-F.round("votes", 9)).alias("s"), "first_seen", "item").alias("k"))
-    best = keyed.groupBy("race_id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    counts = lists.select("race_id", F.explode("items").alias("item")).groupBy("race_id", "item").count()
-    tops = counts.groupBy("race_id").agg(F.sort_array(F.collect_list("count"), asc=False).alias("cs"))
+    weight = lambda v: F.when(v == 1, 0.5).when(v == 2, 0.3).otherwise(0.2)
+    best = R.borda_of_groups(voted(spark, sf_dir), "race_id", "lists", "v", "items", weight)
+    count = lambda x: F.size(F.filter("voted", lambda n: n == x["item"])).cast("long")
+    best = best.select("race_id", "ks", F.sort_array(F.transform("ks", count), asc=False).alias("cs"))
     share = F.aggregate(F.slice("cs", 1, 3), F.lit(0).cast("long"), lambda a, x: a + x) / 9.0
     winners = F.concat_ws(",", F.transform(F.slice("ks", 1, 3), lambda x: x["item"].cast("string")))
-    return best.join(tops, "race_id").select("race_id", winners.alias("winners"), F.round(share, 6).alias("consistency"), (share < 0.6).alias("abstain"))
+    return best.select("race_id", winners.alias("winners"), F.round(share, 6).alias("consistency"), (share < 0.6).alias("abstain"))
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from rankfield.functions import freetext as X
 from rankfield.operators import analysis as A
 from rankfield.operators import inference as I
+from rankfield.operators import learning as L
+from rankfield.operators import ranking as R
 from rankfield.operators import walkforward as W
 from rankfield.plans import ORACLE_SQL, QUERIES
 from rankfield.plans.inference import sources
@@ -109,3 +111,20 @@ def test_picks_from_rows_are_those_of_events(spark, data):
     found = I.final_picks(held, scores, ranking)
     assert shown(found) == shown(picks.drop("scores", "ranking"))
     assert shown(I.supplements(scores, ranking, found)) == shown(I.supplements_of_events(picks))
+
+
+@pytest.mark.parametrize("name", ["weighted_borda", "voter_agreement"])
+def test_voters_are_ranked_by_one_sort(spark, data, name):
+    text = steps(QUERIES[name](spark, data))
+    sides = 2 if name == "voter_agreement" else 1  # pairs of voters are a join
+    assert text.count("+- Sort [") <= 1 + 2 * (sides - 1) and text.count("Exchange hashpartitioning") == sides
+
+
+def test_votes_of_groups_are_those_of_rows(spark):
+    rows = spark.createDataFrame([("a", 1, [5, 6, 7, 8]), ("a", 2, [6, 5]), ("a", 3, [7]), ("b", 1, [])], "g string, v int, items array<int>")
+    weight = lambda v: F.when(v == 1, 0.5).otherwise(0.25)
+    want = {(r["g"], r["item"]): (round(r["votes"], 9), tuple(r["first_seen"])) for r in R.borda(rows, "g", "v", "items", weight(F.col("v"))).collect()}
+    held = rows.groupBy("g").agg(F.collect_list(F.struct("v", "items")).alias("lists"))
+    found = R.borda_of_groups(held, "g", "lists", "v", "items", weight).collect()
+    assert {(r["g"], k["item"]): (-k["s"], tuple(k["first_seen"])) for r in found for k in r["ks"]} == want
+    assert {r["g"]: [k["item"] for k in r["ks"]] for r in found} == {"a": [5, 6, 7], "b": []}
