@@ -128,3 +128,9 @@ def test_votes_of_groups_are_those_of_rows(spark):
     found = R.borda_of_groups(held, "g", "lists", "v", "items", weight).collect()
     assert {(r["g"], k["item"]): (-k["s"], tuple(k["first_seen"])) for r in found for k in r["ks"]} == want
     assert {r["g"]: [k["item"] for k in r["ks"]] for r in found} == {"a": [5, 6, 7], "b": []}
+
+
+def test_rule_order_reads_numbers_as_numbers(spark, data):
+    """Numbers are not cast to text and back, and no feature is made that no rule reads."""
+    text = plan(QUERIES["rule_order"](spark, data))
+    assert "transform(sequence(0, 30" not in text and steps(QUERIES["rule_order"](spark, data)).count("Exchange hashpartitioning") == 1
