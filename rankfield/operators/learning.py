@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankfield.sources.staging import staged
+
 SEED = 42
 #: Distinct values whose counts may come to the driver.
 MOST_VALUES = 100_000
@@ -119,6 +121,7 @@ def poisson_bootstrap(rows: DataFrame, value: Column, key: list[str], confidence
     """
     spark = rows.sparkSession
     held = rows.select(F.xxhash64(*key).alias("key"), value.cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    held = staged(held, "resampled")  # the mean and the replicates read it, so that what made it runs once
     whole = held.agg(F.avg("value").alias("mean")).first()["mean"]
     parts = held.mapInArrow(_replicate_sums(rounds, SEED), "replicate int, n long, total double")
     found = parts.groupBy("replicate").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).filter("n > 0").collect()

@@ -134,3 +134,17 @@ def test_rule_order_reads_numbers_as_numbers(spark, data):
     """Numbers are not cast to text and back, and no feature is made that no rule reads."""
     text = plan(QUERIES["rule_order"](spark, data))
     assert "transform(sequence(0, 30" not in text and steps(QUERIES["rule_order"](spark, data)).count("Exchange hashpartitioning") == 1
+
+
+def test_resampled_rows_are_made_once(spark):
+    """Whatever makes the rows runs once, for the mean and the replicates together."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("id", "double(id) AS v").mapInArrow(seen, "id long, v double")
+    assert L.poisson_bootstrap(rows, F.col("v"), ["id"], rounds=100).first()["mean"] == 24.5
+    assert made.value == 50
