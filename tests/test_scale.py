@@ -148,3 +148,15 @@ def test_resampled_rows_are_made_once(spark):
     rows = spark.range(50).selectExpr("id", "double(id) AS v").mapInArrow(seen, "id long, v double")
     assert L.poisson_bootstrap(rows, F.col("v"), ["id"], rounds=100).first()["mean"] == 24.5
     assert made.value == 50
+
+
+def test_past_counts_are_those_of_pairs(spark, data):
+    """Counts by either key equal counted pairs, also where events match by both keys, on one day, and with missing keys."""
+    entries = spark.range(400).selectExpr("id % 90 AS race_id", "CASE WHEN id % 11 <> 0 THEN id * 7 % 9 END AS hr_no", "CASE WHEN id % 13 <> 0 THEN id * 5 % 8 END AS entry_no")
+    rows = entries.withColumn("race_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("race_id") % 30).cast("int")))
+    targets = rows.select("hr_no", "entry_no", "race_date").distinct().withColumn("id", F.concat_ws("-", F.coalesce("hr_no", F.lit(-1)), F.coalesce("entry_no", F.lit(-1)), "race_date"))
+    want = A.past_of_either_key(targets, rows).groupBy("id").agg(F.count(F.lit(1)).alias("races"))
+    found = A.past_counts_of_either_key(targets, rows)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 100
+    text = plan(QUERIES["past_of_either_key"](spark, data))
+    assert "race_date#" in text and " < " not in text  # no join by a range of dates
