@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,26 @@ def test_example_scores_at_the_threshold(spark):
     assert {r["average"] for r in scores.collect()} == {0.05}
 
 
+def test_example_scores_add_in_the_order_of_rows(spark):
+    """The same values in another order have another sum of doubles; whatever the partitions, the given order decides."""
+    values = [0.07, 0.1, 0.09, 0.05, 0.04, 0.01, 0.06, 0.0, 0.03, 0.08, 0.02]
+    orders = [(n, i, v) for n in range(11) for i, v in enumerate(values[n:] + values[:n])]
+    rows = spark.createDataFrame(orders, "k int, row int, v double").repartition(7, "row")
+    found = {r["k"]: r["average"] for r in A.example_scores(rows, "k", "v", "row").collect()}
+    assert found == {n: reduce(float.__add__, values[n:] + values[:n], 0.0) / 11 for n in range(11)}
+    assert len(set(found.values())) > 1
+
+
+def test_example_scores_are_those_of_sql(spark):
+    """At sf0.01, where exact means keep one example that SQL drops or drop one that it keeps."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE VIEW lineitem AS SELECT * FROM read_parquet('/root/testdata/sf0.01/lineitem.parquet')")
+    want = con.execute(f"SELECT id, kept FROM ({ORACLE_SQL['example_scores']})").fetchall()
+    found = QUERIES["example_scores"](spark, "/root/testdata/sf0.01").select("id", "kept").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_result_shapes_of_long_ids(spark, data, tmp_path):
     """Identifiers of more than six digits are cut as in every other document."""
     con = duckdb.connect()
