@@ -14,8 +14,11 @@ candidates as there are sources.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ MILLION = 1_000_000
 PAIRS = [(0, 1), (0, 2), (1, 2)]
 #: Order ranks of a candidate that the bucket model tells apart, and its prior: one in PRIOR candidates is right.
 ORDERS, PRIOR = 8, 20
+#: Events that are probed at a time, and bits of an entry's code.
+BLOCK, CODE = 8_192, 20
 
 
 def patterns(depth: int) -> list[tuple[int, int, int]]:
@@ -37,24 +42,46 @@ def ranked_lists(rows: DataFrame, features: list[str], depth: int, place: str |
     ``lists`` has for each feature its first ``depth`` entries, high values first, then low values
     first; nulls come last, ties go to the smaller number. ``answer`` is the sorted triple of the
     entries with places 1 to 3, null where ``place`` is None or fewer than three are known. One
-    shuffle by event; an event's entries are sorted in its own row.
+    shuffle by event; the entries of a batch of gathered events are sorted together.
     """
     known = F.col(place) if place else F.lit(None).cast("int")
-    member = F.struct(F.col("entry_no").cast("int").alias("no"), known.alias("place"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    member = F.struct(F.col("entry_no").cast("int").alias("no"), known.cast("int").alias("place"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
     events = rows.groupBy("race_id", "race_date").agg(F.collect_list(member).alias("members")).filter(F.size("members") >= 3)
-
-    def listed(i: int, sign: int) -> Column:
-        keyed = F.transform("members", lambda m: F.struct(m[f"f{i}"].isNull().alias("unknown"), (-sign * m[f"f{i}"]).alias("key"), m["no"].alias("no")))
-        return F.transform(F.slice(F.array_sort(keyed), 1, depth), lambda k: k["no"])
-
-    answer = F.array_sort(F.transform(F.filter("members", lambda m: m["place"] <= 3), lambda m: m["no"]))
-    return events.select(
-        "race_id",
-        "race_date",
-        F.size("members").alias("size"),
-        F.array(*[listed(i, sign) for i in range(len(features)) for sign in (1, -1)]).alias("lists"),
-        F.when(F.size(answer) == 3, answer).alias("answer"),
-    )
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields[:2]]
+    return events.mapInArrow(_lister(len(features), depth), ", ".join([*kinds, "size int", "lists array<array<int>>", "answer array<int>"]))
+
+
+def _lister(features: int, depth: int):
+    """For ``mapInArrow``: (race_id, race_date, members) to the columns of ``ranked_lists``; the members of a batch of events are sorted together."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            members, size = batch.column("members"), batch.column("members").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            no, place, *values = members.flatten().flatten()
+            no, event, within = no.to_numpy(zero_copy_only=False), np.repeat(np.arange(size.size), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            taken, placed = within < depth, place.fill_null(4).to_numpy(zero_copy_only=False) <= 3
+            named = np.empty((2 * features, int(taken.sum())), np.int32)
+            for i, column in enumerate(values):
+                unknown, value = column.is_null().to_numpy(zero_copy_only=False), column.fill_null(0.0).to_numpy(zero_copy_only=False)
+                for j, key in enumerate((-value, value)):
+                    named[2 * i + j] = no[np.lexsort((no, key, unknown, event))][taken]
+            short = np.minimum(size, depth)
+            order = np.argsort(np.tile(event[taken], 2 * features), kind="stable")  # an event's lists, one after the other
+            lists = _nested(_nested(pa.array(named.ravel()[order]), np.repeat(short, 2 * features)), np.full(size.size, 2 * features))
+            right = np.bincount(event[placed], minlength=size.size)
+            found = placed & (right == 3)[event]
+            answer = _nested(pa.array(no[np.lexsort((no, ~found, event))][within < np.where(right == 3, 3, 0)[event]]), np.where(right == 3, 3, 0), right != 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), lists, answer], ["race_id", "race_date", "size", "lists", "answer"])
+
+    return listed
+
+
+def _nested(values: pa.Array, lengths: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """Lists of these lengths; null where ``missing``."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values, mask=None if missing is None else pa.array(missing))
 
 
 def _as_dates(events: DataFrame, as_of: DataFrame | None) -> DataFrame:
@@ -350,3 +377,124 @@ def probe_weights(parts: DataFrame, adds: list[int], drops: list[int], pairs: li
     return each.groupBy(group, F.col("s.add").alias("add"), F.col("s.drop").alias("drop"), F.col("s.pair").alias("pair"), "bias").agg(
         F.count(F.when(switched, 1)).alias("switched"), F.coalesce(F.sum(F.when(switched, F.col("best.exact") - F.col("fallback_exact"))), F.lit(0)).alias("gained")
     )
+
+
+def _sums(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each id the sum of the weights of all equal ids; whole numbers below 2**53."""
+    if ids.max(initial=0) > 16 * ids.size:
+        ids = np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
+    return np.bincount(ids.ravel(), weights.ravel()).astype(np.int64)[ids]
+
+
+def _millionths(shares: np.ndarray) -> np.ndarray:
+    """Round to whole millionths, halves up; shares are not negative."""
+    scaled = shares * MILLION
+    whole = np.floor(scaled)
+    return (whole + (scaled - whole >= 0.5)).astype(np.int64)
+
+
+def _coded(block: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Lists (events x lists x depth, -1 where they end), fallbacks (3 x events), keys of the answers (-1 if none) and the number of codes: entries as codes from 0 in their order."""
+    lists, fallback, answer = (block.column(c) for c in ("lists", "fallback", "answer"))
+    inner = lists.flatten()
+    lengths, answered = inner.value_lengths().to_numpy(zero_copy_only=False), answer.is_valid().to_numpy(zero_copy_only=False)
+    parts = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (inner, fallback, answer)]
+    items = np.concatenate(parts)
+    items = items - items.min() if np.ptp(items) < 1 << CODE else np.unique(items, return_inverse=True)[1]
+    named, last, right = np.split(items, np.cumsum([p.size for p in parts])[:2])
+    depth = max(depth, lengths.max())
+    placed = np.full((lengths.size, depth), -1)
+    placed[np.arange(depth) < lengths[:, None]] = named
+    keys = np.full(block.num_rows, -1)
+    keys[answered] = _key(*right.reshape(-1, 3).T)
+    return placed.reshape(block.num_rows, -1, depth), last.reshape(-1, 3).T, keys, int(items.max()) + 1
+
+
+def _key(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One number for a sorted triple of codes; numbers are in the order of triples."""
+    return low << 2 * CODE | middle << CODE | high
+
+
+def _probe(lists: np.ndarray, fallback: np.ndarray, answer: np.ndarray, codes: int, sources: list, weights: np.ndarray, biases: np.ndarray) -> np.ndarray | None:
+    """(settings x biases x 2) switched and gained over the events of one date by its sources; None if no event has a candidate near its fallback."""
+    # Votes: a combination for each source and the fallback, equal ones of an event brought together by sorting its keys.
+    ranks = np.array([s["pattern"] for s in sources]) - 1
+    x, y, z = (lists[:, [s["list"] for s in sources], ranks[:, i]] for i in range(3))
+    low, high = np.minimum(np.minimum(x, y), z), np.maximum(np.maximum(x, y), z)
+    none = 1 << 3 * CODE
+    own_key = _key(*fallback)
+    keys = np.column_stack([np.where(low < 0, none, _key(low, x + y + z - low - high, high)), own_key])
+    order = np.argsort(keys, axis=1)
+    keys = np.take_along_axis(keys, order, 1)
+    starts = np.flatnonzero(np.diff(keys, axis=1, prepend=-1).ravel())
+    votes = [np.add.reduceat(np.array([*column, 0])[order].ravel(), starts) for column in ([s["weight"] for s in sources], [1] * len(sources))]
+    key, event = keys.ravel()[starts], starts // keys.shape[1]
+    named = key < none
+    key, event, points, support = (c[named] for c in (key, event, *votes))
+
+    # Parts of the scores, as in overlap_parts.
+    base = _millionths(points / MILLION / len(sources))
+    weight = np.broadcast_to(base + _millionths(support / len(sources)), (3, key.size))
+    items = np.stack([key >> 2 * CODE, key >> CODE & (1 << CODE) - 1, key & (1 << CODE) - 1])
+    of_item = _sums(event * codes + items, weight)
+    of_pair = _sums((event * codes + items[[0, 0, 1]]) * codes + items[[1, 2, 2]], weight)
+    same = items[:, None] == fallback[None, :, event]
+    shared, held = same.any(1), same.any(0)
+    own = np.flatnonzero(key == own_key[event])  # one an event, in the order of events
+    exact = (key == answer[event]).astype(np.int64)
+    near = np.flatnonzero(shared.sum(0) == 2)
+    if not near.size:
+        return None
+    near = near[np.lexsort((-support[near], event[near]))]  # of equal support the smaller combination is first
+    event = event[near]
+    added, dropped = np.argmin(shared[:, near], 0), np.argmin(held[:, near], 0)
+    parts = 100 * base[near], of_item[added, near], of_item[dropped, own[event]], of_pair[2 - added, near]
+
+    # The best candidate of each event for each setting: its total and its place among equal ones in one number.
+    starts = np.flatnonzero(np.diff(event, prepend=-1))
+    place = np.arange(near.size) - np.repeat(starts, np.diff(starts, append=near.size))
+    bits = int(place.max()).bit_length()
+    total = parts[0] + weights[:, :1] * parts[1] - weights[:, 1:2] * parts[2] + weights[:, 2:] * parts[3]
+    best = np.maximum.reduceat((total << bits) + ((1 << bits) - 1 - place), starts, axis=1)
+    own = own[event[starts]]
+    gain = exact[near][starts + (1 << bits) - 1 - (best & (1 << bits) - 1)] - exact[own]
+    lead = (best >> bits) - 100 * base[own]
+    switched = [lead >= b * MILLION for b in biases]
+    return np.stack([np.stack([s.sum(1), (gain * s).sum(1)], 1) for s in switched], 1)
+
+
+def probe_events(events: DataFrame, sources: DataFrame, adds: list[int], drops: list[int], pairs: list[int], biases: list[int]) -> DataFrame:
+    """(group, as_of, add, drop, pair, bias, switched, gained): ``probe_weights`` of ``overlap_parts`` of the combinations that sources vote for, in one pass over events.
+
+    ``events`` has as_of, lists, answer and fallback (a sorted triple), ``sources`` is
+    ``chosen_sources`` with a group: a row for each group and date, which goes to every task. Votes,
+    parts and settings of a block of events are arrays; a task returns the sums of its events, a row a
+    setting.
+    """
+    tried = {}
+    for row in sources.select("group", "race_date", "sources").collect():
+        tried.setdefault(row["race_date"], []).append((row["group"], [s.asDict() for s in row["sources"]]))
+    depth = max((s["pattern"][2] for groups in tried.values() for _, chosen in groups for s in chosen), default=1)
+    settings = list(product(adds, drops, pairs))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for block in (batch.slice(at, BLOCK) for batch in batches for at in range(0, batch.num_rows, BLOCK)):
+            lists, fallback, answer, codes = _coded(block, depth)
+            days = block.column("as_of").to_numpy(zero_copy_only=False)
+            for date, groups in tried.items():
+                on = days == np.datetime64(date)
+                if not on.any():
+                    continue
+                for group, chosen in groups:
+                    found = _probe(lists[on], fallback[:, on], answer[on], codes, chosen, np.array(settings), np.array(biases))
+                    if found is not None:
+                        sums[group, date] = sums.get((group, date), 0) + found
+        rows = [(*at, *s, b, *map(int, found[i, j])) for at, found in sums.items() for i, s in enumerate(settings) for j, b in enumerate(biases)]
+        names = ["group", "as_of", "add", "drop", "pair", "bias", "switched", "gained"]
+        kinds = [pa.string(), pa.date32(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    found = events.select("as_of", "lists", "answer", "fallback").mapInArrow(probed, "group string, as_of date, add int, drop int, pair int, bias int, switched long, gained long")
+    return found.groupBy("group", "as_of", "add", "drop", "pair", "bias").agg(F.sum("switched").alias("switched"), F.sum("gained").alias("gained"))

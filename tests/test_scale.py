@@ -88,6 +88,12 @@ def test_overlap_parts_read_candidates_once(spark):
     assert plan(parts).count("LogicalRDD") == 1
 
 
+def test_overlap_probe_reads_events_once(spark, data):
+    """One pass over the ranked events for all groups and settings, not one a group with rows for votes and settings."""
+    text = plan(QUERIES["overlap_probe"](spark, data))
+    assert sum("Relation [" in line and "lists#" in line for line in text.splitlines()) == 1
+
+
 def test_sources_of_dates_are_in_no_shuffle(spark):
     """Events are shuffled by event before the sources of their date join them, and not again."""
     events = spark.createDataFrame([], "race_id long, race_date date, size int, lists array<array<int>>, answer array<int>")

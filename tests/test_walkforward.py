@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,37 @@ def test_probe_tries_every_setting(spark):
                 gain += best["exact"] - next(r["exact"] for r in mine if r["is_fallback"])
         assert (switched, gained) == (n, gain)
     assert len(found) == 8 and any(n for n, _ in found.values())
+
+
+def test_probe_in_blocks_is_the_probe_by_candidates(spark):
+    """Arrays of blocks of events give what rows of candidates give: with equal totals, unknown answers, a date without sources, and entries numbered far apart."""
+    rows, last = fixture(11, days=40)
+    for far in (1, 1_000_003):
+        events = W.ranked_lists(spark.createDataFrame([(r[0], r[1], r[2] * far, *r[3:]) for r in rows], SCHEMA), FEATURES, DEPTH).cache()
+        fallbacks = spark.createDataFrame([(race, [x * far for x in combo]) for race, combo in last], "race_id long, fallback array<int>")
+        state = W.policy_state(events, 4, DEPTH)
+        groups = {"five": W.chosen_sources(state, 5, "exact"), "all": W.chosen_sources(state, 40, "match")}
+        weights = [0, 25, 100], [0, 25], [0, 10], [0, 20, 80]
+        want = set()
+        for name, sources in groups.items():
+            parts = W.overlap_parts(W.judged_rows(W.voted_combinations(events, sources, fallbacks))).withColumn("w", F.concat(F.lit(name), F.col("race_date").cast("string")))
+            want |= set(map(tuple, W.probe_weights(parts, *weights, "w").collect()))
+        sources = groups["five"].withColumn("group", F.lit("five")).union(groups["all"].withColumn("group", F.lit("all")))
+        late = events.withColumn("as_of", F.col("race_date")).join(fallbacks, "race_id")
+        found = W.probe_events(late, sources, *weights)
+        assert {(r["group"] + str(r["as_of"]), *tuple(r)[2:]) for r in found.collect()} == want
+        assert len({w[0] for w in want}) > 40 and any(w[5] for w in want) and any(w[6] for w in want)
+
+
+def test_rounding_to_millionths(spark):
+    shares = [k / W.MILLION / 24 for k in range(0, 3_000_000, 997)] + [0.5e-6, 1.5e-6, 2.5e-6]
+    want = spark.createDataFrame([(x,) for x in shares], "x double").select(F.round(F.col("x") * W.MILLION).cast("long")).collect()
+    assert W._millionths(np.array(shares)).tolist() == [r[0] for r in want]
+
+
+def test_ranked_lists_of_nothing_known(spark):
+    """Events whose values are all null, whose places are unknown or of which more or fewer than three were first."""
+    rows = [(1, START, n, None, None, None, "x") for n in (4, 2, 9)] + [(2, START, n, 1.0, -0.0 if n % 2 else 0.0, n % 3, "x") for n in range(8)] + [(3, START, 5, 1.0, 1.0, 1, "x")]
+    found = {r["race_id"]: r for r in W.ranked_lists(spark.createDataFrame(rows, SCHEMA), FEATURES, DEPTH).collect()}
+    assert set(found) == {1, 2} and found[1]["lists"] == [[2, 4, 9]] * 4 and found[2]["lists"] == [[0, 1, 2, 3, 4]] * 4
+    assert [found[r]["size"] for r in (1, 2)] == [3, 8] and found[1]["answer"] is None and found[2]["answer"] is None
